@@ -47,7 +47,7 @@ QUERIES = {
         *_args(t), "l", "paper", t.sql("SELECT DISTINCT email FROM user_dir WHERE domain_id < 5")),
     "contact_card": lambda t: C.contact_card(
         t.contact, t.contact_email, t.contact_phone, t.contact_address, t.map_tag, t.tag, t.user_dir, t.contact_block, t.archive_entity),
-    "same_name": lambda t: C.same_name(t.contact, t.sql("SELECT owner_id, id, firstname || ' ' || lastname AS key FROM contact")),
+    "same_name": lambda t: C.same_name(t.contact, t.sql("SELECT owner_id, 'new' || id AS id, firstname || ' ' || lastname AS key FROM contact")),
     "block_flags": lambda t: C.block_flags(*_args(t)),
     "presence": lambda t: C.presence(t.contact, t.socket, t.user_dir),
     "presence_on_server": lambda t: C.presence_on_server(t.contact, t.socket, "srv1"),
@@ -118,7 +118,7 @@ ORACLES = {
       {_json("(SELECT id, contact_id, category, sys_id, json_extract_string(address, '$.street') AS street, json_extract_string(address, '$.city') AS city FROM contact_address) x WHERE x.contact_id = c.id", ["id", "street", "city", "category"], "x.sys_id")} AS addresses,
       {_json("(SELECT m.owner_id, m.id, g.tag_id, g.name, g.position FROM map_tag m JOIN tag g ON g.tag_id = m.tag_id) x WHERE x.id = c.id", ["tag_id", "name", "position:n"], "x.tag_id")} AS tags
       FROM {_STAR}""",
-    "same_name": """SELECT a.owner_id, a.id, arg_min(b.id, b.sys_id) AS contact_id FROM contact a JOIN contact b ON b.owner_id = a.owner_id AND b.id <> a.id
+    "same_name": """SELECT a.owner_id, 'new' || a.id AS id, arg_min(b.id, b.sys_id) AS contact_id FROM contact a JOIN contact b ON b.owner_id = a.owner_id
       AND a.firstname || ' ' || a.lastname = b.firstname || ' ' || b.lastname GROUP BY a.owner_id, a.id""",
     "block_flags": f"SELECT c.owner_id, c.id, {_MINE}, {_HIS} FROM {_STAR}",
     "presence": """SELECT c.owner_id, c.uid, d.connected AS status, min_by(struct_pack(x := COALESCE(c.firstname, d.firstname)), c.sys_id).x AS firstname,

@@ -52,8 +52,7 @@ QUERIES = {
     "forward_messages": _forward,
     "message_attachments": lambda t: M.message_attachments(t.channel, t.hub_media),
     "delivery_status": lambda t: M.delivery_status(t.team_channel, t.team_read),
-    "fully_deleted": lambda t: M.fully_deleted(
-        t.team_delete, t.sql("SELECT DISTINCT hub_id, author_id AS uid FROM team_channel WHERE sys_id % 3 = 0")),
+    "fully_deleted": lambda t: M.fully_deleted(t.delete_channel, t.hub_read_channel),
     "chat_rooms": lambda t: _rooms(t).drop("message", "metadata"),
     "chat_rooms_page": lambda t: _rooms(t, key="f1", flag="contact", option="active", page=2, rows=4).select("owner_id", "entity_id", "display", "message"),
     "group_chat_rooms": lambda t: M.group_chat_rooms(t.sql(ROOMS), t.team_channel, t.team_read, t.team_delete, "supplier#00000000"),
@@ -161,9 +160,8 @@ ORACLES = {
     "delivery_status": """SELECT c.hub_id, c.message_id, count(*) AS delivered, count(*) FILTER (r.ref_sys_id >= c.sys_id) AS seen,
       CASE WHEN count(*) FILTER (r.ref_sys_id >= c.sys_id) >= count(*) THEN 1 ELSE 0 END AS is_seen
       FROM team_channel c JOIN team_read r ON r.hub_id = c.hub_id GROUP BY c.hub_id, c.message_id""",
-    "fully_deleted": """WITH mem AS (SELECT DISTINCT hub_id, author_id AS uid FROM team_channel WHERE sys_id % 3 = 0)
-      SELECT DISTINCT d.hub_id, d.ref_sys_id FROM team_delete d WHERE d.hub_id IN (SELECT hub_id FROM mem) AND NOT EXISTS (SELECT 1 FROM mem WHERE mem.hub_id = d.hub_id
-        AND NOT EXISTS (SELECT 1 FROM team_delete e WHERE e.hub_id = d.hub_id AND e.ref_sys_id = d.ref_sys_id AND e.uid = mem.uid))""",
+    "fully_deleted": """SELECT DISTINCT d.hub_id, d.ref_sys_id FROM delete_channel d WHERE NOT EXISTS (SELECT 1 FROM hub_read_channel r WHERE r.hub_id = d.hub_id
+      AND NOT EXISTS (SELECT 1 FROM delete_channel e WHERE e.hub_id = d.hub_id AND e.ref_sys_id = d.ref_sys_id AND e.uid = r.uid))""",
     "chat_rooms": f"WITH {_ROOMLIST} SELECT * EXCLUDE (ak, message) FROM roomlist",
     "chat_rooms_page": f"""WITH {_ROOMLIST}, f AS (SELECT r.* FROM roomlist r JOIN contact c ON c.id = r.contact_id WHERE r.is_archived = 0 AND
       (lower(c.firstname) LIKE 'f1%' OR lower(c.lastname) LIKE 'f1%' OR lower(c.surname) LIKE 'f1%' OR lower(c.source) LIKE 'f1%'))

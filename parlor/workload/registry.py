@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("messaging", "contacts")
+MODULES = ("messaging", "contacts", "grants", "notify")
 
 
 def _collect(attribute: str) -> dict:

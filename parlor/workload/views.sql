@@ -298,3 +298,24 @@ SELECT c.owner_id, c.entity_id, c.sys_id, c.author_id, c.message, c.message_id,
        CASE WHEN c.sys_id % 5 = 0 THEN 'm' || CAST(f.first_id AS STRING) WHEN c.sys_id % 5 = 1 THEN 'gone' END AS thread_id
 FROM channel c JOIN (SELECT owner_id, entity_id, min(sys_id) AS first_id FROM channel GROUP BY owner_id, entity_id) f
   ON f.owner_id = c.owner_id AND f.entity_id = c.entity_id
+-- name: grant_rule
+SELECT resource_id, entity_id, permission, expiry_time, CASE WHEN permission = 3 THEN 'shared ' || resource_id ELSE '' END AS message FROM permission
+WHERE resource_id <> '*' OR permission > 7
+UNION ALL
+SELECT 'root', 'u' || CAST(n_nationkey * 9 + 5 AS STRING), 1, 0, 'root' FROM nation
+;
+-- name: grant_request
+SELECT DISTINCT CASE WHEN l_partkey % 40 = 0 THEN 'nobody' WHEN l_partkey % 3 = 0 THEN 'u' || CAST((o_custkey + 1) % 10 AS STRING)
+  ELSE 'u' || CAST(l_partkey % (SELECT count(*) FROM customer) AS STRING) END AS uid,
+  'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS node_id
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+;
+-- name: hub_log
+SELECT sys_id, 'h' || CAST(sys_id % (SELECT count(*) FROM supplier) AS STRING) AS hub_id, uid, action, category, notify_to,
+  'u' || CAST(sys_id * 3 % (SELECT count(*) FROM customer) AS STRING) AS entity_id, log, ctime
+FROM action_log
+;
+-- name: desk_node
+SELECT uid AS owner_id, hub_id AS id, 'root' AS parent_id, 'hub' AS category, hub_id AS user_filename, CAST(0 AS BIGINT) AS filesize, sys_id % 3 AS rank FROM hub_member
+UNION ALL
+SELECT owner_id, id, '0', category, user_filename, filesize, sys_id % 3 FROM hub_media
