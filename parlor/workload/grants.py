@@ -50,7 +50,7 @@ _EFF = f"""{_UP}, req AS (SELECT uid, node_id, CASE WHEN uid IN ('nobody', 'ffff
   cand AS (SELECT r.uid, r.node_id, g.permission, g.expiry_time, g.message, CASE WHEN u.d = 0 THEN 0 ELSE 1 + u.d END AS pri FROM req r JOIN up u ON u.id = r.node_id JOIN grant_rule g ON g.resource_id = u.anc AND g.entity_id = r.who
     UNION ALL SELECT r.uid, r.node_id, g.permission, g.expiry_time, g.message, 1 FROM req r JOIN grant_rule g ON g.resource_id = '*' AND g.entity_id = r.who),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, node_id ORDER BY pri, permission DESC, expiry_time DESC) AS rn FROM cand) WHERE rn = 1),
-  eff AS (SELECT r.uid, r.node_id, COALESCE(b.expiry_time, 0) AS expiry_time, COALESCE(b.message, '') AS message, COALESCE(b.permission, 0) AS permission
+  eff AS (SELECT r.uid, r.node_id, CAST(COALESCE(b.expiry_time, 0) AS BIGINT) AS expiry_time, COALESCE(b.message, '') AS message, COALESCE(b.permission, 0) AS permission
     FROM req r LEFT JOIN best b ON b.uid = r.uid AND b.node_id = r.node_id)"""
 
 ORACLES = {
