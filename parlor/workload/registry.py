@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("messaging", "contacts", "grants", "notify", "pages", "files")
+MODULES = ("messaging", "contacts", "grants", "notify", "pages", "files", "changes")
 
 
 def _collect(attribute: str) -> dict:
