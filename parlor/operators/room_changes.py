@@ -11,6 +11,7 @@ from parlor.operators.grants import expiry_from_hours
 from parlor.operators.pages import current_revision, unique_names
 from parlor.operators.trees import tag_closure, tag_cycle_check
 from parlor.plans.skew import rank_in_groups
+from parlor.session import cut_lineage
 
 GRANT = ["hub_id", "resource_id", "entity_id"]
 
@@ -114,17 +115,18 @@ def tag_edit(tag: DataFrame, changes: DataFrame) -> DataFrame:
     ``rename`` sets the name, ``assign`` the parent unless that closes a cycle, ``remove`` drops the tag with all below.
     """
     added = changes.where("op = 'add'").groupBy("tag_id").agg(F.min_by(F.struct("seq", "parent_tag_id", "name"), "seq").alias("a")).select("tag_id", "a.*").join(tag.select("tag_id"), "tag_id", "left_anti")
-    scoped = added.withColumn("scope", F.lit(0))
+    scoped = cut_lineage(added.withColumn("scope", F.lit(0)))
     names = unique_names(tag.select(F.lit(0).alias("scope"), "name"), scoped.select("scope", "seq", "name"), ["scope"]).select("seq", "unique_name")
     last = tag.agg(F.coalesce(F.max("position"), F.lit(0))).scalar()
     placed = rank_in_groups(scoped, ["scope"], "seq", "_n").join(names, "seq").select(
         "tag_id", "parent_tag_id", F.col("unique_name").alias("name"), (last + F.col("_n")).cast("int").alias("position"))
-    now = tag.select("tag_id", "parent_tag_id", "name", "position").unionByName(placed)
+    now = cut_lineage(tag.select("tag_id", "parent_tag_id", "name", "position").unionByName(placed))
     renamed = changes.where("op = 'rename'").groupBy("tag_id").agg(F.max_by("name", "seq").alias("new_name"))
     moves = changes.where("op = 'assign'").groupBy("tag_id").agg(F.max_by("parent_tag_id", "seq").alias("parent_tag_id"))
     fine = tag_cycle_check(tag_closure(now, moves), moves).where("is_cycle = 0").select("tag_id", F.col("parent_tag_id").alias("new_parent"), F.lit(1).alias("moved"))
     edited = now.join(renamed, "tag_id", "left").join(fine, "tag_id", "left").select(
         "tag_id", F.when(F.col("moved") == 1, F.col("new_parent")).otherwise(F.col("parent_tag_id")).alias("parent_tag_id"), F.coalesce("new_name", "name").alias("name"), "position")
+    edited = cut_lineage(edited)
     gone = tag_closure(edited, changes.where("op = 'remove'").select("tag_id")).select(F.col("descendant").alias("tag_id")).distinct()
     return edited.join(gone, "tag_id", "left_anti")
 
@@ -148,31 +150,46 @@ CREATED, UPDATED, DELETED = "customer.subscription.created", "customer.subscript
 EXPIRED, BASIC, PRO = "incomplete_expired", "basic", "pro"
 
 
-def subscription_fold(events: DataFrame) -> DataFrame:
-    """Subscription and plan per account after ``events(seq, entity_id, subscription_id, type, status, amount)``.
+def billing_kind(events: DataFrame) -> DataFrame:
+    """Route an event: ``row`` (created, updated), ``ended`` (deleted, or expired before completion), ``paid``, ``failed``."""
+    ends = (F.col("type") == DELETED) | ((F.col("type") == UPDATED) & (F.col("status") == EXPIRED))
+    kind = F.when(ends, "ended").when(F.col("type").isin(CREATED, UPDATED), "row").when(F.col("type") == PAID, "paid").when(F.col("type") == FAILED, "failed")
+    return events.withColumn("kind", kind).where("kind IS NOT NULL")
+
+
+BILLING_KEYS = ("entity_id", "kind")
+
+
+def billing_last() -> list:
+    """Aggregates per account and kind: the last event and how many there were.  Also the state of the stream."""
+    return [F.max("seq").alias("seq"), F.max_by(F.struct("subscription_id", "status"), "seq").alias("last"), F.count(F.lit(1)).alias("n")]
+
 
-    Paid: renewal and plan quota.  Failed: open.  Created or updated: the subscription's row, unless it expired before
-    completion.  That, or a deletion, removes it and falls back to the basic plan.
+def subscription_state(last: DataFrame) -> DataFrame:
+    """Account row from the last event per kind.
+
+    Paid: renewal and plan quota.  Failed: open.  Created or updated: the subscription's row.  Ended: no row, basic plan.
     """
-    ends = (F.col("type") == DELETED) | ((F.col("type") == UPDATED) & (F.col("status") == EXPIRED))
-    row = F.col("type").isin(CREATED, UPDATED) & ~ends
-    kind = F.when(ends, "ended").when(row, "row").when(F.col("type") == PAID, "paid").when(F.col("type") == FAILED, "failed")
-    routed = events.withColumn("kind", kind).where("kind IS NOT NULL")
+    k = F.col("kind")
 
-    def last(test, value):
+    def latest(test, value):
         return F.max_by(F.when(test, value), F.when(test, F.col("seq")))
 
-    k = F.col("kind")
-    return routed.groupBy("entity_id").agg(
-        last(k.isin("row", "ended"), F.struct("kind", "subscription_id", "status")).alias("s"),
-        last(k.isin("paid", "failed"), F.col("kind")).alias("payment"), F.max(F.when(k == "paid", F.col("seq"))).alias("renewed_seq"),
-        F.max(F.when(k == "ended", F.col("seq"))).alias("ended_seq"), F.count_if(k == "paid").alias("n_paid"),
+    return last.groupBy("entity_id").agg(
+        latest(k.isin("row", "ended"), F.struct("kind", "last")).alias("s"), latest(k.isin("paid", "failed"), k).alias("payment"),
+        F.max(F.when(k == "paid", F.col("seq"))).alias("renewed_seq"), F.max(F.when(k == "ended", F.col("seq"))).alias("ended_seq"),
+        F.coalesce(F.max(F.when(k == "paid", F.col("n"))), F.lit(0)).alias("n_paid"),
     ).select(
-        "entity_id", F.when(F.col("s.kind") == "row", F.col("s.subscription_id")).alias("subscription_id"), F.when(F.col("s.kind") == "row", F.col("s.status")).alias("status"),
+        "entity_id", F.when(F.col("s.kind") == "row", F.col("s.last.subscription_id")).alias("subscription_id"), F.when(F.col("s.kind") == "row", F.col("s.last.status")).alias("status"),
         F.when(F.col("payment") == "failed", F.lit("open")).when(F.col("payment") == "paid", F.lit("paid")).alias("payment"), "renewed_seq", "n_paid",
         F.when(F.col("renewed_seq").isNotNull() & (F.col("ended_seq").isNull() | (F.col("renewed_seq") > F.col("ended_seq"))), F.lit(PRO)).otherwise(F.lit(BASIC)).alias("plan"))
 
 
+def subscription_fold(events: DataFrame) -> DataFrame:
+    """Subscription and plan per account after ``events(seq, entity_id, subscription_id, type, status)``."""
+    return subscription_state(billing_kind(events).groupBy(*BILLING_KEYS).agg(*billing_last()))
+
+
 def index_upsert(index: DataFrame, changes: DataFrame) -> DataFrame:
     """Indexed content of a page and language, ``(key, content, hashtag)`` with key ``id-lang``, replaced by the last change."""
     keyed = changes.select(F.concat_ws("-", "id", "lang").alias("key"), "content", "hashtag", "seq", F.lit("upsert").alias("op"))

@@ -1,0 +1,66 @@
+"""Streaming state kept as Parquet: small deltas per micro-batch, read back as the latest row per key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class KeyedStore:
+    """Rows by key.  Batch n writes ``batch=n`` with the keys it touched; the newest batch of a key counts.
+
+    Writing a batch again replaces its folder, so a repeated micro-batch changes nothing.  Every ``compact`` batches
+    the folder holds all keys instead (``full=n``), and older folders are no longer read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], compact: int = 50):
+        self.spark, self.path, self.schema, self.keys, self.compact = spark, path, schema, list(keys), compact
+
+    def _batches(self, kind: str, before: int | None) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        done = []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith(kind + "=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                done.append(int(name.split("=")[1]))
+        return sorted(n for n in done if before is None or n < before)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """State before a batch, or the newest."""
+        full = self._batches("full", before)
+        start = full[-1] if full else -1
+        paths = [f"{self.path}/batch={n}" for n in self._batches("batch", before) if n > start]
+        paths += [f"{self.path}/full={start}"] if full else []
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema + ", _batch bigint").parquet(*paths)
+        values = [c for c in rows.columns if c not in self.keys and c != "_batch"]
+        latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
+        return latest.select(*self.keys, "v.*")
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if batch and batch % self.compact == 0:
+            self.read(batch + 1).withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/full={batch}")
+
+
+class AppendStore:
+    """Rows that only ever come in addition, one folder per batch; a repeated batch replaces its own folder."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        self._lister = KeyedStore(spark, path, schema, [])
+
+    def read(self, before: int | None = None) -> DataFrame:
+        paths = [f"{self.path}/batch={n}" for n in self._lister._batches("batch", before)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")

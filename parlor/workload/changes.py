@@ -16,7 +16,7 @@ BLACK = f"""SELECT 'u' || CAST(o_custkey % 60 AS STRING) AS owner_id, o_orderkey
   CASE o_orderkey % 4 WHEN 0 THEN 'upsert' WHEN 1 THEN 'delete' ELSE 'insert' END AS op, o_orderkey AS seq FROM orders"""
 OLD_BLACK = """SELECT 'u' || CAST(c_custkey % 60 AS STRING) AS owner_id, max(c_custkey) AS sys_id, 'w' || CAST(c_custkey % 19 AS STRING) || '@b.example' AS email FROM customer GROUP BY c_custkey % 60, c_custkey % 19"""
 ORDERS = """SELECT 'u1' AS owner_id, '["r3","r1","n4"]' AS ids FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'u2', '["r0","n1"]' FROM region WHERE r_regionkey = 1"""
-OWNED_TAGS = "SELECT 'u' || CAST(r_regionkey AS STRING) AS owner_id, tag_id, position FROM tag JOIN region ON r_regionkey < 4"
+OWNED_TAGS = "SELECT 'u1' AS owner_id, tag_id, position FROM tag UNION ALL SELECT 'u2', tag_id, position FROM tag UNION ALL SELECT 'u3', tag_id, position FROM tag"
 POSTS = f"""SELECT * FROM (SELECT event_id AS seq, 'u' || CAST(user_id AS STRING) AS author_id, 'u' || CAST((user_id * 5 + 1) % {NU} AS STRING) AS entity_id,
   CASE WHEN event_id % 4 = 0 THEN 'm' || CAST(event_id AS STRING) ELSE 'p' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) END AS message_id,
   CASE WHEN event_id % 9 = 0 THEN '' ELSE event_type END AS message, CAST(NULL AS STRING) AS attachment, 1710000000 + event_id AS ctime,
@@ -275,6 +275,16 @@ ORACLES = {
     "revision_pages": f"""WITH {_REV} SELECT master_id AS id, COALESCE((SELECT arg_max(hashtag, seq) FROM ok WHERE ok.op IN ('save', 'rename') AND ok.master_id = lf.master_id), (SELECT hashtag FROM block b WHERE b.id = lf.master_id)) AS hashtag,
       max(serial) AS active FROM lf GROUP BY master_id""",
     "revision_refused": f"WITH {_REV} SELECT seq, master_id, hashtag, 1 AS hash_exist FROM cl",
+    "tag_edit": f"""WITH RECURSIVE ed AS ({TAG_EDITS}),
+      ad AS (SELECT tag_id, parent_tag_id, seq, row_number() OVER (ORDER BY seq) AS pos, CASE WHEN name = 'fresh' AND row_number() OVER (PARTITION BY name ORDER BY seq) = 1 THEN name
+        ELSE name || ' (' || (row_number() OVER (PARTITION BY name ORDER BY seq) - CASE WHEN name = 'fresh' THEN 1 ELSE 0 END) || ')' END AS name FROM ed WHERE op = 'add'),
+      nw AS (SELECT tag_id, parent_tag_id, name, CAST(position AS INTEGER) AS position FROM tag UNION ALL SELECT tag_id, parent_tag_id, name, CAST((SELECT max(position) FROM tag) + pos AS INTEGER) FROM ad),
+      dn AS (SELECT tag_id AS anc, tag_id AS d FROM nw UNION ALL SELECT dn.anc, nw.tag_id FROM dn JOIN nw ON nw.parent_tag_id = dn.d),
+      mv AS (SELECT tag_id, arg_max(parent_tag_id, seq) AS np FROM ed WHERE op = 'assign' GROUP BY tag_id),
+      xx AS (SELECT nw.tag_id, CASE WHEN mv.np IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dn WHERE dn.anc = nw.tag_id AND dn.d = mv.np) THEN mv.np ELSE nw.parent_tag_id END AS parent_tag_id,
+        COALESCE((SELECT arg_max(name, seq) FROM ed WHERE op = 'rename' AND ed.tag_id = nw.tag_id), nw.name) AS name, nw.position FROM nw LEFT JOIN mv ON mv.tag_id = nw.tag_id),
+      rm AS (SELECT tag_id FROM ed WHERE op = 'remove' UNION SELECT xx.tag_id FROM rm JOIN xx ON xx.parent_tag_id = rm.tag_id)
+      SELECT * FROM xx WHERE tag_id NOT IN (SELECT tag_id FROM rm)""",
     "language_state": f"""WITH c AS (SELECT hub_id, base, arg_max(state, seq) AS ns FROM ({LANGS}) z GROUP BY ALL), j AS (SELECT l.*, COALESCE(c.ns, l.state) AS w FROM language l LEFT JOIN c ON c.hub_id = l.hub_id AND c.base = l.base),
       k AS (SELECT *, count(*) FILTER (state = 'active') OVER (PARTITION BY hub_id) AS had, count(*) FILTER (w = 'active') OVER (PARTITION BY hub_id) AS keeps FROM j)
       SELECT hub_id, sys_id, base, CASE WHEN had > 0 AND keeps = 0 THEN state ELSE w END AS state FROM k""",

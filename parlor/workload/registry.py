@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("messaging", "contacts", "grants", "notify", "pages", "files", "changes")
+MODULES = ("messaging", "contacts", "grants", "notify", "pages", "files", "changes", "streams")
 
 
 def _collect(attribute: str) -> dict:
