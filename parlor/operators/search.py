@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlor.plans.skew import paginate, top_in_groups
@@ -48,13 +48,18 @@ def match_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def word_search(queries: DataFrame, index: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
-    """Best word per query and document, best documents first; the highest score wins, then the smallest word."""
+    """Best word per query and document, best documents first; the highest score wins, then the smallest word.
+
+    The matched words of a query are numbered from best to worst, so that a document's best word is a plain
+    minimum of whole numbers, which the map side adds up by hash without sorting the postings.
+    """
     asked = query_words(queries)
     wanted = asked.join(match_words(index, asked), "q").groupBy("query_id", "word").agg(F.max("score").alias("score"))
+    placed = wanted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("word").asc())))
     best = (
-        wanted.join(index.select(*DOC, "word"), "word").groupBy("query_id", *DOC)
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), "word")).alias("b"))
-        .select("query_id", *DOC, (-F.col("b.s")).alias("score"), "b.word")
+        placed.select("query_id", "word", "place").join(index.select(*DOC, "word"), "word")
+        .groupBy("query_id", *DOC).agg(F.min("place").alias("place"))
+        .join(placed, ["query_id", "place"]).select("query_id", *DOC, "score", "word")
     )
     if page is None:
         return best
