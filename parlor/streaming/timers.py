@@ -1,115 +1,105 @@
-"""Streams that need a timer: sessions left open, grants that run out.
+"""Streams with a notion of time running out: sessions left open, grants that expire.
 
-Built-in streaming aggregation has no timers, so these two keep per-key state in a small Python processor.
-Keys are single cookies and single grants; the work per row is a comparison.
+A micro-batch is merged as a set: rows of a key are combined before they are shuffled, positions are found block by
+block, and what is due is a filter on the stored state against the highest event time seen.  No Python runs per row,
+and a key with very many rows in a batch is no different from others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
 from parlor.plans.skew import rank_in_groups
+from parlor.session import cut_lineage
+from parlor.streaming.store import AppendStore, KeyedStore
 
+COOKIE = ["owner_id", "cookie_id"]
+GRANT = ["resource_id", "entity_id"]
 SESSION = "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint"
-OPEN = "sys_id bigint, intime bigint"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def sessions(login_log: DataFrame) -> DataFrame:
-    """Batch twin: each sign-in with the sign-out that is the next row of its cookie, else none.
-
-    The next row is found by position, so a cookie with very many rows does not end up in one task.
-    """
-    key = ["owner_id", "cookie_id"]
-    ranked = rank_in_groups(login_log.select(*key, "sys_id", "intime", "outtime"), key, "sys_id", "_r")
-    following = ranked.select(*key, (F.col("_r") - 1).alias("_r"), F.col("outtime").alias("closed"))
-    return ranked.where("intime IS NOT NULL").join(following, [*key, "_r"], "left").select(*key, "sys_id", "intime", F.col("closed").alias("outtime"))
-
-
-class SessionProcessor(StatefulProcessor):
-    """Keeps the open sign-in of a cookie; a sign-out, the next sign-in or the timer closes it."""
-
-    def __init__(self, silent_seconds: int):
-        self._silent_ms = silent_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._open = handle.getValueState("open", OPEN)
-
-    def _close(self, key, outtime: int | None) -> Row:
-        sys_id, intime = self._open.get()
-        self._open.clear()
-        return Row(owner_id=key[0], cookie_id=key[1], sys_id=sys_id, intime=intime, outtime=outtime)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        # rows of one cookie in one micro-batch, put in order by position
-        for row in sorted(rows, key=lambda r: r.sys_id):
-            if self._open.exists():
-                yield self._close(key, row.outtime)
-            if row.intime is not None:
-                self._open.update((row.sys_id, row.intime))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if self._open.exists():
-            self._handle.registerTimer(self._open.get()[1] * 1000 + self._silent_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._open.exists():
-            yield self._close(key, None)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_sessions(logins: DataFrame, silent_seconds: int = 86_400, delay: str = "10 minutes") -> DataFrame:
-    """``logins(owner_id, cookie_id, sys_id, intime, outtime, ts)`` to closed sessions."""
-    return logins.withWatermark("ts", delay).groupBy("owner_id", "cookie_id").transformWithState(
-        SessionProcessor(silent_seconds), outputStructType=SESSION, outputMode="Append", timeMode="EventTime")
-
-
 REVOKE = "resource_id string, entity_id string, expiry_time bigint"
 
 
-class ExpiryProcessor(StatefulProcessor):
-    """Keeps the latest expiry of a grant and emits a revoke when event time passes it."""
+def _paired(rows: DataFrame) -> DataFrame:
+    """Each sign-in with the row that follows it on its cookie: ``followed`` and that row's ``closed`` time."""
+    ranked = rank_in_groups(rows.select(*COOKIE, "sys_id", "intime", "outtime"), COOKIE, "sys_id", "_r")
+    following = ranked.select(*COOKIE, (F.col("_r") - 1).alias("_r"), F.col("outtime").alias("closed"), F.lit(True).alias("followed"))
+    return ranked.where("intime IS NOT NULL").join(following, [*COOKIE, "_r"], "left").drop("_r", "outtime")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("last", "seq bigint, expiry_time bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = max(rows, key=lambda r: r.seq)
-        if self._last.exists() and self._last.get()[0] >= newest.seq:
-            return
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        self._last.update((newest.seq, newest.expiry_time))
-        if newest.expiry_time:
-            due = newest.expiry_time * 1000
-            if due <= timerValues.getCurrentWatermarkInMs():
-                yield Row(resource_id=key[0], entity_id=key[1], expiry_time=newest.expiry_time)
-            else:
-                self._handle.registerTimer(due)
+def sessions(login_log: DataFrame) -> DataFrame:
+    """Each sign-in with the sign-out that is the next row of its cookie, else none."""
+    return _paired(login_log).select(*COOKIE, "sys_id", "intime", F.col("closed").alias("outtime"))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        expiry = self._last.get()[1]
-        yield Row(resource_id=key[0], entity_id=key[1], expiry_time=expiry)
 
-    def close(self) -> None:
-        pass
+def expired_grants(grants: DataFrame, now_epoch: int) -> DataFrame:
+    """The last word on each grant, if its time has passed."""
+    last = grants.groupBy(*GRANT).agg(F.max_by("expiry_time", "seq").alias("expiry_time"))
+    return last.where((F.col("expiry_time") > 0) & (F.col("expiry_time") <= now_epoch))
 
 
-def stream_grant_expiry(grants: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """``grants(resource_id, entity_id, seq, expiry_time, ts)``: one revoke per grant once its time has passed."""
-    return grants.withWatermark("ts", delay).groupBy("resource_id", "entity_id").transformWithState(
-        ExpiryProcessor(), outputStructType=REVOKE, outputMode="Append", timeMode="EventTime")
+def _clock(store: KeyedStore, df: DataFrame, n: int) -> DataFrame:
+    """Highest event time seen up to and with this batch, as one row."""
+    seen = df.select(F.lit("clock").alias("k"), "at").unionByName(store.read(n))
+    store.write(seen.groupBy("k").agg(F.max("at").alias("at")), n)
+    return store.read(n + 1)
 
 
-def expired_grants(grants: DataFrame, now_epoch: int) -> DataFrame:
-    """Batch twin: the last word on each grant, if its time has passed."""
-    last = grants.groupBy("resource_id", "entity_id").agg(F.max_by("expiry_time", "seq").alias("expiry_time"))
-    return last.where((F.col("expiry_time") > 0) & (F.col("expiry_time") <= now_epoch))
+def stream_sessions(logins: DataFrame, root: str, silent_seconds: int = 86_400, delay_seconds: int = 600) -> tuple[StreamingQuery, AppendStore]:
+    """``logins(owner_id, cookie_id, sys_id, intime, outtime, at)`` to closed sessions.
+
+    A sign-in is closed by the next row of its cookie, or without sign-out once it has been silent for too long.
+    """
+    spark = logins.sparkSession
+    held = KeyedStore(spark, f"{root}/open", "owner_id string, cookie_id string, sys_id bigint, intime bigint", COOKIE)
+    clock = KeyedStore(spark, f"{root}/clock", "k string, at bigint", ["k"])
+    closed = AppendStore(spark, f"{root}/closed", SESSION)
+
+    def each(df: DataFrame, n: int) -> None:
+        df = cut_lineage(df)
+        now = _clock(clock, df, n).agg(F.max("at")).scalar() - delay_seconds
+        touched = df.select(*COOKIE).distinct()
+        waiting = held.read(n).where("sys_id IS NOT NULL")
+        again = waiting.join(touched, COOKIE, "left_semi").withColumn("outtime", F.lit(None).cast("bigint"))
+        rows = df.select(*COOKIE, "sys_id", "intime", "outtime").unionByName(again)
+        pairs = cut_lineage(_paired(rows))
+        done = pairs.where("followed").select(*COOKIE, "sys_id", "intime", F.col("closed").alias("outtime"))
+        open_ = pairs.where("followed IS NULL").select(*COOKIE, "sys_id", "intime").unionByName(waiting.join(touched, COOKIE, "left_anti"))
+        due = F.col("intime") + silent_seconds <= now
+        expired = cut_lineage(open_.where(due))
+        closed.write(done.unionByName(expired.withColumn("outtime", F.lit(None).cast("bigint"))), n)
+        changed = touched.unionByName(expired.select(*COOKIE)).distinct()
+        held.write(changed.join(open_.where(~due), COOKIE, "left").select(*COOKIE, "sys_id", "intime"), n)
+
+    writer = logins.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    return writer.foreachBatch(each).start(), closed
+
+
+def stream_grant_expiry(grants: DataFrame, root: str) -> tuple[StreamingQuery, AppendStore]:
+    """``grants(resource_id, entity_id, seq, expiry_time, at)``: one revoke per grant once event time passes its expiry.
+
+    A later row on a grant replaces its expiry and may lead to another revoke.
+    """
+    spark = grants.sparkSession
+    state = KeyedStore(spark, f"{root}/grants", "resource_id string, entity_id string, seq bigint, expiry_time bigint, revoked int", GRANT)
+    clock = KeyedStore(spark, f"{root}/clock", "k string, at bigint", ["k"])
+    revokes = AppendStore(spark, f"{root}/revokes", REVOKE)
+
+    def each(df: DataFrame, n: int) -> None:
+        df = cut_lineage(df)
+        now = _clock(clock, df, n).agg(F.max("at")).scalar()
+        known = state.read(n)
+        new = df.groupBy(*GRANT).agg(F.max("seq").alias("seq"), F.max_by("expiry_time", "seq").alias("expiry_time")).withColumn("revoked", F.lit(0))
+        old = known.join(new.select(*GRANT), GRANT, "left_semi")
+        row = F.struct("seq", "expiry_time", "revoked")
+        # on equal positions the stored row stays, so a repeated row does not revoke twice
+        merged = new.unionByName(old).groupBy(*GRANT).agg(F.max_by(row, F.struct("seq", "revoked")).alias("r")).select(*GRANT, "r.*")
+        rest = known.join(new.select(*GRANT), GRANT, "left_anti")
+        due = (F.col("revoked") == 0) & (F.col("expiry_time") > 0) & (F.col("expiry_time") <= now)
+        changed = cut_lineage(merged.withColumn("due", due).unionByName(rest.where(due).withColumn("due", F.lit(True))))
+        revokes.write(changed.where("due").select(*GRANT, "expiry_time"), n)
+        state.write(changed.withColumn("revoked", F.when(F.col("due"), F.lit(1)).otherwise(F.col("revoked"))).drop("due"), n)
+
+    writer = grants.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    return writer.foreachBatch(each).start(), revokes

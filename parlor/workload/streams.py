@@ -96,19 +96,7 @@ def _logins(t: Tables) -> DataFrame:
     out = F.col("event_type") == "error"
     return _events(t).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_id"), F.concat(F.lit("k"), F.col("user_id").cast("string"), F.lit("-"), (e % 3).cast("string")).alias("cookie_id"),
-        e.alias("sys_id"), F.when(~out, e + 1700000000).alias("intime"), F.when(out, e + 1700000000).alias("outtime"), "ts")
-
-
-def _timed(t: Tables, rows: DataFrame, schema: str) -> DataFrame:
-    """Run a stream with timers on the state store that supports them, and read what it emitted."""
-    spark, root, name = t._spark, _root(t), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, T.ROCKS)
-    try:
-        S.run(rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
-    return spark.read.schema(schema).parquet(f"{root}/out")
+        e.alias("sys_id"), F.when(~out, e + 1700000000).alias("intime"), F.when(out, e + 1700000000).alias("outtime"), F.unix_timestamp("ts").alias("at"))
 
 
 def _grants(t: Tables) -> DataFrame:
@@ -116,7 +104,7 @@ def _grants(t: Tables) -> DataFrame:
     e = F.col("event_id")
     return _events(t).select(
         F.concat(F.lit("d"), (e % 700).cast("string")).alias("resource_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity_id"), e.alias("seq"),
-        F.when(e % 4 == 0, F.lit(0)).otherwise(1700000000 + e + (e * 37) % 5000).cast("bigint").alias("expiry_time"), F.timestamp_seconds(e + 1700000000).alias("ts"))
+        F.when(e % 4 == 0, F.lit(0)).otherwise(1700000000 + e + (e * 37) % 5000).cast("bigint").alias("expiry_time"), (e + 1700000000).alias("at"))
 
 
 QUERIES = {
@@ -128,9 +116,9 @@ QUERIES = {
     "stream_presence": lambda t: S.online_users(_finish(S.stream_presence(_sockets(t), _root(t))), 1700000200),
     "stream_relations": lambda t: JC.state_rows(_finish(S.stream_relations(_relations(t), _root(t)))),
     "stream_subscriptions": lambda t: JR.subscription_state(_finish(S.stream_subscriptions(_billing(t), _root(t)))),
-    "stream_sessions": lambda t: _timed(t, T.stream_sessions(_logins(t)), T.SESSION),
+    "stream_sessions": lambda t: _finish(T.stream_sessions(_logins(t), _root(t))),
     "sessions": lambda t: T.sessions(t.login_log),
-    "stream_grant_expiry": lambda t: _timed(t, T.stream_grant_expiry(_grants(t)), T.REVOKE),
+    "stream_grant_expiry": lambda t: _finish(T.stream_grant_expiry(_grants(t), _root(t))),
 }
 
 _GR = """g AS (SELECT 'd' || CAST(event_id % 700 AS VARCHAR) AS resource_id, 'u' || user_id AS entity_id, event_id AS seq,

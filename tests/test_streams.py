@@ -71,14 +71,26 @@ def test_relations(spark, tmp_path):
 
 
 def test_sessions_across_batches(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", T.ROCKS)
-    try:
-        base = 1_700_000_000
-        data = [("o", "k1", 1, base, None, base, 0), ("o", "k1", 2, None, base + 50, base + 50, 1), ("o", "k2", 3, base + 60, None, base + 60, 1),
-                ("o", "k2", 4, base + 70, None, base + 70, 2), ("o", "k2", 5, None, base + 80, base + 80, 3), ("o", "k3", 6, base + 90, None, base + 90, 3), ("p", "k4", 7, None, base + 90000, base + 90000, 3)]
-        clean, stream = feed(spark, tmp_path / "in", data, "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint, at bigint, part int")
-        out = T.stream_sessions(stream.withColumn("ts", F.timestamp_seconds("at")), 3600, "0 seconds")
-        out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-        assert rows(spark.read.schema(T.SESSION).parquet(str(tmp_path / "o"))) == rows(T.sessions(clean))
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    base = 1_700_000_000
+    data = [("o", "k1", 1, base, None, base, 0), ("o", "k1", 2, None, base + 50, base + 50, 1), ("o", "k2", 3, base + 60, None, base + 60, 1),
+            ("o", "k2", 4, base + 70, None, base + 70, 2), ("o", "k2", 5, None, base + 80, base + 80, 3), ("o", "k3", 6, base + 90, None, base + 90, 2),
+            ("p", "k4", 7, None, base + 90000, base + 90000, 3)]
+    clean, stream = feed(spark, tmp_path / "in", data, "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint, at bigint, part int")
+    query, closed = T.stream_sessions(stream, str(tmp_path / "out"), 3600, 0)
+    S.run(query)
+    assert rows(closed.read()) == rows(T.sessions(clean))
+
+
+def test_open_session_waits(spark, tmp_path):
+    _, stream = feed(spark, tmp_path / "in", [("o", "k", 1, 100, None, 100, 0)], "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint, at bigint, part int", 1)
+    query, closed = T.stream_sessions(stream, str(tmp_path / "out"), 3600, 0)
+    S.run(query)
+    assert closed.read().count() == 0
+
+
+def test_grants_expire_once(spark, tmp_path):
+    data = [("d1", "u", 1, 150, 100, 0), ("d2", "u", 2, 500, 110, 0), ("d3", "u", 3, 0, 120, 0), ("d2", "u", 4, 180, 130, 1), ("d1", "u", 1, 150, 100, 2), ("d9", "u", 5, 0, 200, 2), ("d9", "u", 6, 0, 300, 3)]
+    clean, stream = feed(spark, tmp_path / "in", data, "resource_id string, entity_id string, seq bigint, expiry_time bigint, at bigint, part int")
+    query, revokes = T.stream_grant_expiry(stream, str(tmp_path / "out"))
+    S.run(query)
+    assert rows(revokes.read()) == [("d1", "u", 150), ("d2", "u", 180)] == rows(T.expired_grants(clean, 300))
