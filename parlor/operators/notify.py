@@ -25,18 +25,14 @@ def new_files(hub_media: DataFrame, members: DataFrame) -> DataFrame:
     New to a member = all candidate files of the room minus those the member owns or has seen; the newest
     comes from the first gap in the member's exclusions.  Linear in files, readers and members.
     """
-    candidates = hub_media.where(X.is_visible("file_path", "category")).where(X.seen_map("metadata").isNotNull())
+    candidates = hub_media.where(X.is_visible("file_path", "category")).where(F.get_json_object("metadata", "$._seen_").isNotNull())
     files = candidates.select("hub_id", "sys_id", F.col("upload_time").alias("ctime"))
-    known = (
-        seen_rows(candidates).unionByName(candidates.select("hub_id", "sys_id", F.col("owner_id").alias("uid"))).distinct()
-        .join(members.select("hub_id", "uid"), ["hub_id", "uid"], "left_semi")
-    )
+    known = seen_rows(candidates).unionByName(candidates.select("hub_id", "sys_id", F.col("owner_id").alias("uid")))
     total = files.groupBy("hub_id").agg(F.count(F.lit(1)).alias("total"))
-    minus = known.groupBy("hub_id", "uid").agg(F.count(F.lit(1)).alias("minus"))
-    newest = first_not_excluded(files, members.select("hub_id", "uid"), known, ["hub_id"], "uid", "sys_id")
+    newest = first_not_excluded(files, members.select("hub_id", "uid"), known, ["hub_id"], "uid", "sys_id", hidden_count="known")
     return (
-        newest.where("sys_id IS NOT NULL").join(total, "hub_id").join(minus, ["hub_id", "uid"], "left")
-        .select("hub_id", "uid", (F.col("total") - F.coalesce("minus", F.lit(0))).alias("cnt"), "ctime")
+        newest.where("sys_id IS NOT NULL").join(total, "hub_id")
+        .select("hub_id", "uid", (F.col("total") - F.col("known")).alias("cnt"), "ctime")
     )
 
 

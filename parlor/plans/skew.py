@@ -106,26 +106,42 @@ def count_upto(
 
 def first_not_excluded(
     items: DataFrame, members: DataFrame, exclusions: DataFrame, keys: Sequence[str], member: str, seq: str,
-    width: int = BLOCK,
+    width: int = BLOCK, hidden_count: str | None = None,
 ) -> DataFrame:
     """Newest item of the group per member, leaving out the items excluded for that member.
 
     ``items(keys, seq, …)``, ``members(keys, member, …)``, ``exclusions(keys, member, seq)``.
     Items are ranked newest first.  A member's excluded ranks, in order, read 1, 2, 3, … up to the first
-    gap, and the gap is the answer: linear in items + exclusions, never items x members.
+    gap, and the gap is the answer: linear in items + exclusions, never items x members.  The gap is looked for
+    in blocks of ranks; only blocks without a gap, which are rare, lead on to the next.
+    ``hidden_count`` names an optional column with the number of excluded items.
     """
     keys = list(keys)
+    whom = [*keys, member]
     ranked = rank_in_groups(items, keys, seq, "_item", desc=True, width=width)
     hidden = (
-        exclusions.select(*keys, member, seq).distinct()
-        .join(ranked.select(*keys, seq, "_item"), [*keys, seq])
-        .select(*keys, member, "_item")
-    )
-    hidden = rank_in_groups(hidden, [*keys, member], "_item", "_nth", width=width)
-    gap = hidden.groupBy(*keys, member).agg(
-        F.coalesce(F.min(F.when(F.col("_item") > F.col("_nth"), F.col("_nth"))), F.count(F.lit(1)) + 1).alias("_gap")
+        exclusions.select(*whom, seq).distinct()
+        .join(ranked.select(*keys, seq, (F.col("_item") - 1).alias("_at")), [*keys, seq])
+        .withColumn("_block", _block("_at", width))
+        .withColumn("_nth", F.row_number().over(Window.partitionBy(*whom, "_block").orderBy("_at")) - 1)
     )
-    wanted = members.join(gap, [*keys, member], "left").withColumn("_item", F.coalesce("_gap", F.lit(1))).drop("_gap")
+    start = F.col("_block") * width
+    blocks = hidden.groupBy(*whom, "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_at") - start > F.col("_nth"), start + F.col("_nth"))).alias("_hole")
+    ).withColumn("_hole", F.coalesce("_hole", start + F.col("_n")))
+    first = F.col("_block") == 0
+    per = blocks.groupBy(*whom).agg(
+        F.sum("_n").alias("_hidden"), F.max(F.when(first, F.col("_n"))).alias("_n0"), F.max(F.when(first, F.col("_hole"))).alias("_hole0"))
+    # members whose first block has no gap: the first block that is not full holds it
+    full = blocks.where(F.col("_n") == width).withColumn("_k", F.row_number().over(Window.partitionBy(*whom).orderBy("_block")) - 1)
+    stop = full.groupBy(*whom).agg(F.coalesce(F.min(F.when(F.col("_block") > F.col("_k"), F.col("_k"))), F.count(F.lit(1))).cast("bigint").alias("_block"))
+    later = stop.join(blocks.where(F.col("_n") < width).select(*whom, "_block", "_hole"), [*whom, "_block"], "left").select(
+        *whom, F.coalesce("_hole", F.col("_block") * width).alias("_later"))
+    gap = F.when(F.col("_n0").isNull(), F.lit(0)).when(F.col("_n0") < width, F.col("_hole0")).otherwise(F.col("_later"))
+    wanted = members.join(per, whom, "left").join(later, whom, "left").withColumn("_item", gap + 1)
+    if hidden_count:
+        wanted = wanted.withColumn(hidden_count, F.coalesce("_hidden", F.lit(0)))
+    wanted = wanted.drop("_hidden", "_n0", "_hole0", "_later")
     return wanted.join(ranked, [*keys, "_item"], "left").drop("_item")
 
 
