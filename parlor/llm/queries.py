@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality
+from . import line_dedup, minhash, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +20,12 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", digest(F.col("text")).alias("kept_sha256"))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=4)
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select("doc_id", *quality.STATS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_minhash, op9_quality_rules)}
