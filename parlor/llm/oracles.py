@@ -39,7 +39,19 @@ lm AS (SELECT lk.*, coalesce(lk.doc_id <> lf.keeper, false) AS gone FROM lk LEFT
 deduped AS (SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM lm GROUP BY doc_id)"""
 
+#: Words that stay after passages of 50 words are removed; needs a relation ``d`` (doc_id, text).
+PASSAGES = rf"""
+pw AS (SELECT doc_id, {_WORDS} AS w FROM d),
+px AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM pw WHERE len(w) >= 50),
+pm AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(array_to_string(w[i:i + 49], ' '))) < doc_id AS hit FROM px),
+pg AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM pm WHERE hit),
+pl AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM pw),
+cut AS (SELECT pl.doc_id, count(pg.i)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pl.i) FILTER (pg.i IS NULL) AS kept
+    FROM pl LEFT JOIN pg ON pg.doc_id = pl.doc_id AND pg.i = pl.i GROUP BY pl.doc_id)"""
+
 ORACLES = {
     "op2_line_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {LINES} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM deduped",
+    "op10_substring_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {PASSAGES} "
+    "SELECT pw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM pw LEFT JOIN cut USING (doc_id)",
     "op9_quality_rules": f"WITH d AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, minhash, quality
+from . import line_dedup, minhash, quality, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,4 +28,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select("doc_id", *quality.STATS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_minhash, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), quality.SPACE + "+"), lambda w: w != "")
+    return out.select("doc_id", "n_words", "n_removed", digest(F.array_join(words, " ")).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_minhash, op9_quality_rules, op10_substring_dedup)}
