@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import line_dedup, minhash, quality, substring_dedup
+from . import line_dedup, minhash, packing, quality, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +16,11 @@ def digest(text) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", digest(F.col("text")).alias("kept_sha256"))
@@ -34,4 +40,4 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", digest(F.array_join(words, " ")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_minhash, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op7_minhash, op9_quality_rules, op10_substring_dedup)}
