@@ -53,5 +53,19 @@ ORACLES = {
     "op2_line_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {LINES} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM deduped",
     "op10_substring_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {PASSAGES} "
     "SELECT pw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM pw LEFT JOIN cut USING (doc_id)",
+    "op3_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, contains(text, '</turn>') OR contains(text, '### ') OR contains(text, '\') AS b,
+    contains(role, '</turn>') OR contains(role, '### ') OR contains(role, '\') OR contains(role, ': ') AS a FROM c),
+n AS (SELECT *, 14 + CASE WHEN a OR b THEN length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), ': ', ':\ '))
+    + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) ELSE length(role) + length(text) END AS n FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n)::BIGINT AS formatted_chars FROM n GROUP BY conv_id""",
+    "op4_url_filters": """WITH r(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT p.page_id, arg_max({'rule': rh || rp, 'verdict': v}, length(rh || rp)) AS x FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT p.page_id, host, path, x.rule AS rule, coalesce(x.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
     "op9_quality_rules": f"WITH d AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
 }
