@@ -67,5 +67,9 @@ u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 m AS (SELECT p.page_id, arg_max({'rule': rh || rp, 'verdict': v}, length(rh || rp)) AS x FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
 SELECT p.page_id, host, path, x.rule AS rule, coalesce(x.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op5_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k""",
     "op9_quality_rules": f"WITH d AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
 }

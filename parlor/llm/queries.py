@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprint, line_dedup, minhash, packing, quality, substring_dedup, url_filter
+from . import bpe, chat, fingerprint, line_dedup, minhash, packing, quality, substring_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids"), path)
@@ -69,4 +73,4 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", digest(F.array_join(words, " ")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_chat_formatting, op4_url_filters, op6_bpe, op7_minhash, op8_fingerprints, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_warc, op6_bpe, op7_minhash, op8_fingerprints, op9_quality_rules, op10_substring_dedup)}
