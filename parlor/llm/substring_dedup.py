@@ -25,6 +25,8 @@ from .store import new_path, stored
 from .words import Words, run_hashes, run_sums, slices, words_of
 
 LENGTH = 50
+#: Documents that one copy of a reference is streamed with.
+LOT = 256
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -205,8 +207,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     first = windows.groupBy("window").agg(F.min("doc").alias("ref"), F.max("doc").alias("z")).where("ref < z").select("window", "ref")
     pairs = stored(windows.join(first, "window").where("ref < doc").select("ref", "doc").distinct(), "pairs")
     texts = base.where("anchors IS NOT NULL")
-    later = pairs.join(texts.select(F.col("_id").alias("doc"), F.col("_same").alias("same"), "text"), "doc")
-    both = later.join(texts.select(F.col("_id").alias("ref"), F.col("_same").alias("ref_same"), F.col("text").alias("ref_text")), "ref").select("ref", "ref_same", "ref_text", "doc", "same", "text")
+    # a reference of many documents goes to several tasks, each with some LOT of them
+    lots = pairs.groupBy("ref").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots"))
+    dealt = pairs.join(lots, "ref").select("ref", "doc", F.pmod(F.xxhash64("doc"), F.col("lots")).cast("int").alias("lot"))
+    later = dealt.join(texts.select(F.col("_id").alias("doc"), F.col("_same").alias("same"), "text"), "doc")
+    refs = lots.join(texts.select(F.col("_id").alias("ref"), F.col("_same").alias("ref_same"), F.col("text").alias("ref_text")), "ref")
+    refs = refs.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    both = later.join(refs, ["ref", "lot"]).select("ref", "ref_same", "ref_text", "doc", "same", "text")
     spans = stored(both.mapInArrow(_match(length), "doc long, same long, spans array<long>"), "spans")
     found = spans.groupBy("doc").agg(F.collect_list(F.struct("same", "spans")).alias("found"))
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
