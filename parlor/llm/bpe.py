@@ -18,12 +18,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
 from .words import slices
 
 #: Fixed value: the pattern of byte-level pre-tokenizers of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose distinct pieces are encoded together, and pieces remembered from earlier stretches of a task.
-STRETCH, REMEMBER = 24 << 20, 300_000
+STRETCH, REMEMBER = 8 << 20, 300_000
 _NONE = np.int64(1) << 40
 
 
@@ -200,6 +201,7 @@ def _decode(path: str):
 
 
 def _through(df: DataFrame, run, column: str, added: str, names: list[str]) -> DataFrame:
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in names]  # what is read is among them unless it is replaced
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema if f.name in rest)
     out = df.select(F.struct(*rest).alias("rest"), F.col(column).alias("ids" if "ids" in column else "text")).mapInArrow(run, f"rest struct<{kinds}>, {added}")

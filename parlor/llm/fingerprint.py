@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
 from .words import mix, run_hashes, run_sums, slices, words_of
 
 SAMPLES, WIDTH = 64, 5
@@ -148,6 +149,7 @@ def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     likeness, and the likeness to the next document's. The text is shuffled once, into blocks of neighbouring ids; of each block the first rows are copied
     to the end of the block before, so no row waits for another task."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ident = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

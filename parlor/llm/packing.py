@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import stored
+from .store import small_batches, stored
 from .tokens import ChunkEncoder
 from .words import slices
 
@@ -64,7 +64,7 @@ def pack(histogram: dict[int, int], size: int = SIZE) -> np.ndarray:
 def _pieces(path: str, size: int, end: int):
     def run(batches):
         encoder, counts, part = ChunkEncoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             ids, bounds = encoder.encode(batch["text"])
             rows = []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
@@ -98,6 +98,7 @@ def _placed(plan: np.ndarray):
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """Per piece: doc_id, start, length, ids (binary, unsigned 32-bit little-endian), doc_tokens, sequence_id, offset.
     ``tokenizer``: path of a tokenizers file that every executor has; it must not join what white space separates."""
+    small_batches(docs.sparkSession)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, number long, part long"
     pieces = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, size, end), shape), "pieces")
     shares = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "shares")

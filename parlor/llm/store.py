@@ -30,5 +30,10 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session take 8 MB at most (or one row): a Python task holds a batch and what it makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

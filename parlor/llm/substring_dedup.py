@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import new_path, stored
+from .store import new_path, small_batches, stored
 from .words import Words, run_hashes, run_sums, slices, words_of
 
 LENGTH = 50
@@ -192,6 +192,7 @@ def _remove(text: str):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The documents, ``text`` less the repeated passages, with ``n_words`` (before) and ``n_removed``."""
     spark = docs.sparkSession
+    small_batches(spark)
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     plain = docs.select(ident.alias("_id"), F.col(text).alias("text"))
     anchors = plain.mapInArrow(_anchors(length), "anchor long, doc long")

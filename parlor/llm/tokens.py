@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .words import words_of
 
+_LOT = 2048
+
 
 class ChunkEncoder:
     """Chunks are runs without ASCII white space, found by a 64-bit hash. The cache is emptied when it holds ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._empty()
 
     def _empty(self) -> None:
-        self.known, self.parts, self.lengths, self.flat, self.ready = {}, [], [], np.zeros(0, np.uint32), 0
+        self.known, self.lengths, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the bounds of each text in it."""
@@ -27,16 +32,16 @@ class ChunkEncoder:
             self._empty()
         rows = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(rows < 0)
-        encoded = self.tokenizer.encode_batch_fast([words.text(i).decode() for i in at[new].tolist()], add_special_tokens=False)
-        for j, h, e in zip(new.tolist(), distinct[new].tolist(), encoded):
-            rows[j] = self.known[h] = len(self.lengths)
-            self.parts.append(np.array(e.ids, np.uint32))
-            self.lengths.append(len(e.ids))
-        lengths = np.array(self.lengths, np.int64)
-        if self.ready < len(self.parts):
-            self.flat = np.concatenate([self.flat, *self.parts[self.ready :]])
-            self.ready = len(self.parts)
-            self.parts[: self.ready] = [None] * self.ready
+        sizes, flat = [], []
+        for k in range(0, len(new), _LOT):  # the library's results are large; few at a time
+            lot = [words.text(i).decode() for i in at[new[k : k + _LOT]].tolist()]
+            for e in self.tokenizer.encode_batch_fast(lot, add_special_tokens=False):
+                flat.extend(own := e.ids)
+                sizes.append(len(own))
+        rows[new] = np.arange(len(new)) + len(self.lengths)
+        self.known.update(zip(distinct[new].tolist(), rows[new].tolist()))
+        self.lengths = lengths = np.concatenate([self.lengths, np.array(sizes, np.int64)])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
         first = np.concatenate([[0], np.cumsum(lengths)])
         row = rows[which]
         n = lengths[row]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .store import new_path, stored
+from .store import new_path, small_batches, stored
 from .words import slices
 
 REVISIT = 1000
@@ -214,6 +214,7 @@ def read_warc(spark, path: str) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """pages through ARC and WARC files and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
+    small_batches(spark)
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
     arc_to_warc(spark, arc, warc)
