@@ -216,13 +216,18 @@ def tickets_unread(ticket: DataFrame, read_ticket: DataFrame, user_dir: DataFram
     return user_dir.select(F.col("id").alias("uid"), "domain_id").join(per_user, "uid", "left").select("uid", count.alias("support_cnt"))
 
 
+def _one_contact(contact: DataFrame) -> DataFrame:
+    """``(owner_id, entity_id, id)``: of the contacts of one user in a book the one with the least id, so that counts are not doubled."""
+    return contact.where("uid IS NOT NULL").groupBy("owner_id", F.col("uid").alias("entity_id")).agg(F.min("id").alias("id"))
+
+
 def unread_dashboard(
     unread: DataFrame, unread_hub: DataFrame, contact: DataFrame, archive_entity: DataFrame, ticket: DataFrame,
     read_ticket: DataFrame, user_dir: DataFrame, support_domain: int = 0,
 ) -> DataFrame:
     """Counters of a user's start page; archived contacts and rooms go to their own counter, each by its own flag."""
     archived = archived_keys(archive_entity, "key")
-    people = contact.where("uid IS NOT NULL").select("owner_id", F.col("uid").alias("entity_id"), F.col("id").alias("key"))
+    people = _one_contact(contact).withColumnRenamed("id", "key")
     direct = unread.join(people, BOX).select("owner_id", "key", "room_count", F.lit("contact").alias("kind"))
     rooms = unread_hub.where("room_count > 0").select(F.col("uid").alias("owner_id"), F.col("hub_id").alias("key"), "room_count", F.lit("share").alias("kind"))
     each = direct.unionByName(rooms).join(archived, ["owner_id", "key"], "left").withColumn("live", F.col("is_archived").isNull())
@@ -242,8 +247,7 @@ def unread_dashboard(
 
 def unread_by_tag(unread: DataFrame, unread_hub: DataFrame, contact: DataFrame, map_tag: DataFrame) -> DataFrame:
     """Unread messages per owner and tag, over tagged contacts and rooms."""
-    people = contact.where("uid IS NOT NULL").select("owner_id", F.col("uid").alias("entity_id"), "id")
-    direct = unread.join(people, BOX).select("owner_id", "id", "room_count")
+    direct = unread.join(_one_contact(contact), BOX).select("owner_id", "id", "room_count")
     rooms = unread_hub.select(F.col("uid").alias("owner_id"), F.col("hub_id").alias("id"), "room_count")
     return (
         direct.unionByName(rooms).join(map_tag.select("owner_id", "id", "tag_id"), ["owner_id", "id"])
@@ -252,11 +256,11 @@ def unread_by_tag(unread: DataFrame, unread_hub: DataFrame, contact: DataFrame,
 
 
 def tag_counts(tag: DataFrame, by_tag: DataFrame) -> DataFrame:
-    """Tag list with child flag and unread count."""
+    """Top-level tags with child flag and unread count, per owner with a mapped contact or room; one row without owner where there is none."""
     parents = tag.where("parent_tag_id IS NOT NULL").select(F.col("parent_tag_id").alias("tag_id")).distinct().withColumn("has", F.lit(1))
-    counts = by_tag.groupBy("tag_id").agg(F.sum("room_count").alias("room_count"))
-    return tag.join(parents, "tag_id", "left").join(counts, "tag_id", "left").select(
-        "tag_id", "parent_tag_id", "name", "position", F.coalesce("has", F.lit(0)).alias("is_any_child"),
+    counts = by_tag.groupBy("owner_id", "tag_id").agg(F.sum("room_count").alias("room_count"))
+    return tag.where("parent_tag_id IS NULL").join(parents, "tag_id", "left").join(counts, "tag_id", "left").select(
+        "owner_id", "tag_id", "parent_tag_id", "name", "position", F.coalesce("has", F.lit(0)).alias("is_any_child"),
         F.coalesce("room_count", F.lit(0)).alias("room_count"))
 
 

@@ -11,13 +11,12 @@ DOC = ["hub_id", "nid"]
 
 # Fixed values of the scoring rule.
 EXACT, PER_BYTE, KEEP_ABOVE = 100, 10, 25
-WORD_LENGTH = 300
 QUERY_SPLIT = r"[ ,.;:!%@/=+\-_#]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case runs of letters and digits; very long ones are cut to the column width of the index."""
-    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.left(w, F.lit(WORD_LENGTH)))
+    """Lower-case runs of letters and digits, whole."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def index_build(documents: DataFrame, indexed: DataFrame | None = None) -> DataFrame:

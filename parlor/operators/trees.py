@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlor.session import cut_lineage
 
-MAX_DEPTH = 1000
-
 
-def tag_closure(tag: DataFrame, roots: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tag_closure(tag: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``(ancestor, descendant, depth)`` with every tag its own descendant at depth 0.
 
     One join per level; the loop ends when a level adds nothing.  ``roots(tag_id)`` restricts the ancestors.
@@ -21,7 +21,7 @@ def tag_closure(tag: DataFrame, roots: DataFrame | None = None, max_depth: int =
     start = (tag if roots is None else tag.join(roots.select("tag_id").distinct(), "tag_id", "left_semi")).select("tag_id").distinct()
     level = start.select(F.col("tag_id").alias("ancestor"), F.col("tag_id").alias("descendant"), F.lit(0).alias("depth"))
     reached = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         found = level.join(edges, "descendant").select("ancestor", F.col("child").alias("descendant"), F.lit(depth).alias("depth")).distinct()
         level = cut_lineage(found.join(reached, ["ancestor", "descendant"], "left_anti"))
         if level.isEmpty():
@@ -49,7 +49,21 @@ def tag_cycle_check(closure: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.join(below, ["tag_id", "parent_tag_id"], "left").select("tag_id", "parent_tag_id", F.coalesce("hit", F.lit(0)).alias("is_cycle"))
 
 
+def tags_below(tag: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(tag_id)`` of the roots and all below them. Parent pointers jump over each other until each tag has met a root or its top, so
+    log2 of the number of tags bounds the rounds, cycles in bad data included."""
+    wanted = roots.select("tag_id").distinct().withColumn("hit", F.lit(True))
+    state = tag.groupBy("tag_id").agg(F.max("parent_tag_id").alias("up")).join(wanted, "tag_id", "left").select("tag_id", "up", F.coalesce("hit", F.lit(False)).alias("hit"))
+    state = cut_lineage(state)
+    for _ in range(state.count().bit_length()):
+        if state.where("up IS NOT NULL AND NOT hit").isEmpty():
+            break
+        above = state.select(F.col("tag_id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("met"))
+        state = cut_lineage(state.join(above, "up", "left").select("tag_id", F.col("next").alias("up"), (F.col("hit") | F.coalesce("met", F.lit(False))).alias("hit")))
+    return state.where("hit").select("tag_id")
+
+
 def tag_remove(tag: DataFrame, map_tag: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tag table and mapping table without the removed tags and everything below them."""
-    gone = tag_closure(tag, removed).select(F.col("descendant").alias("tag_id")).distinct()
+    gone = tags_below(tag, removed)
     return tag.join(gone, "tag_id", "left_anti"), map_tag.join(gone, "tag_id", "left_anti")

@@ -27,11 +27,13 @@ def local_session(cpus: int | str = 8, app: str = "parlor") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch one only where none is set (tests)."""
+    """The shared folder named by the cluster; a scratch one only in local mode where none is set (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="parlor-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

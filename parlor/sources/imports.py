@@ -45,10 +45,10 @@ def _first_value(cells: Column, heading: str) -> Column:
 def _phone(v: Column) -> Column:
     """A leading plus splits off the area code; the separator set includes the plus, so empty leading parts go."""
     parts = F.split(v, r"[ -.:;_]+")
-    parts = F.when(parts[0] == "", F.slice(parts, 2, 1000)).otherwise(parts)
+    parts = F.when(parts[0] == "", F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
     plus = v.rlike(r"^ *\+")
     return F.struct(
-        F.when(plus, F.array_join(F.slice(parts, 2, 1000), " ")).otherwise(v).alias("phone"),
+        F.when(plus, F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")).otherwise(v).alias("phone"),
         F.when(plus, F.concat(F.lit("+"), parts[0])).otherwise(F.lit("")).alias("areacode"))
 
 

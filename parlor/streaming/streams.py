@@ -40,16 +40,18 @@ def fold_stream(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Col
 MESSAGE = "owner_id string, entity_id string, message_id string, author_id string, message string, sys_id bigint, ctime bigint"
 
 
-def stream_messages(posts: DataFrame, root: str, delay: str = "1 hour") -> tuple[StreamingQuery, AppendStore]:
-    """``posts(seq, ts, author_id, entity_id, message_id, message, ctime)`` once per inbox.
+def stream_messages(posts: DataFrame, root: str) -> tuple[StreamingQuery, AppendStore]:
+    """``posts(seq, ts, author_id, entity_id, message_id, message, ctime)`` once per inbox, however late they come.
 
-    Duplicates inside the watermark are dropped by the state store; later ones meet the stored inbox.
+    Of the rows of one message in a batch the first by ``seq`` counts; one that the stored inbox has already is dropped.
     """
     store = AppendStore(posts.sparkSession, f"{root}/inbox", MESSAGE)
-    rows = both_inboxes(posts).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["owner_id", "message_id"])
+    rows = both_inboxes(posts)
+    rest = ("entity_id", "author_id", "message", "seq", "ctime")
 
     def each(df: DataFrame, n: int) -> None:
-        new = df.join(store.read(n).select("owner_id", "message_id"), ["owner_id", "message_id"], "left_anti")
+        once = df.groupBy("owner_id", "message_id").agg(F.min_by(F.struct(*rest), "seq").alias("m")).select("owner_id", "message_id", "m.*")
+        new = once.join(store.read(n).select("owner_id", "message_id"), ["owner_id", "message_id"], "left_anti")
         store.write(new.select("owner_id", "entity_id", "message_id", "author_id", "message", F.col("seq").alias("sys_id"), "ctime"), n)
 
     return _start(rows, root, each, "append"), store

@@ -175,9 +175,10 @@ _KEPT_CHILD = "WHERE NOT EXISTS (SELECT 1 FROM due WHERE due.owner_id = x.owner_
 _GR = f"""g0 AS ({GRANTS}), ch AS ({GRANT_CHANGES}),
   al AS (SELECT hub_id, resource_id, entity_id, permission, expiry_time, assign_via, -1 AS seq, 'grant' AS op FROM g0
     UNION ALL SELECT hub_id, resource_id, entity_id, permission, CASE WHEN hours = 0 THEN 0 ELSE {NOW} + hours * 3600 END, assign_via, seq, op FROM ch WHERE entity_id <> ''),
-  ev AS (SELECT * FROM al WHERE op = 'grant' AND NOT EXISTS (SELECT 1 FROM al b WHERE b.hub_id = al.hub_id AND b.resource_id = al.resource_id AND b.entity_id = al.entity_id AND b.seq > al.seq)
-    AND NOT EXISTS (SELECT 1 FROM ch w WHERE w.op = 'revoke' AND w.entity_id = '' AND w.hub_id = al.hub_id AND w.resource_id = al.resource_id AND w.seq >= al.seq)
-    AND NOT (assign_via = 'link' AND EXISTS (SELECT 1 FROM ch w WHERE w.op = 'revoke' AND w.entity_id IN ('nobody', '*') AND w.hub_id = al.hub_id AND w.resource_id = al.resource_id AND w.seq >= al.seq)))"""
+  rv AS (SELECT hub_id, resource_id, max(seq) FILTER (entity_id = '') AS any_at, max(seq) FILTER (entity_id IN ('nobody', '*')) AS link_at FROM ch WHERE op = 'revoke' GROUP BY 1, 2),
+  la AS (SELECT *, max(seq) OVER (PARTITION BY hub_id, resource_id, entity_id) AS last FROM al),
+  ev AS (SELECT la.* EXCLUDE (last) FROM la LEFT JOIN rv USING (hub_id, resource_id) WHERE op = 'grant' AND seq = last AND coalesce(any_at < seq, true)
+    AND NOT (assign_via = 'link' AND coalesce(link_at >= seq, false)))"""
 _MEM = f"""mv AS ({MOVES}), al AS (SELECT hub_id, uid, permission, -1 AS seq, 'join' AS op FROM hub_member UNION ALL SELECT hub_id, uid, permission, seq, op FROM mv WHERE op <> 'leave_all'),
   now AS (SELECT hub_id, uid, permission FROM al WHERE op = 'join' AND NOT EXISTS (SELECT 1 FROM al b WHERE b.hub_id = al.hub_id AND b.uid = al.uid AND b.seq > al.seq)
     AND NOT EXISTS (SELECT 1 FROM mv w WHERE w.op = 'leave_all' AND w.uid = al.uid AND w.seq > al.seq))"""

@@ -89,9 +89,7 @@ class Tables:
         if key not in _STORED:
             path = f"{checkpoint_dir(self._spark)}/tables/{uuid.uuid4().hex}/{name}"
             cores = self._spark.sparkContext.defaultParallelism
-            # one small input file would leave one scan task; large inputs keep their own partitioning
-            spread = derived if len(derived.inputFiles()) >= cores else derived.repartition(cores)
-            spread.write.parquet(path)
+            derived.repartition(cores).write.parquet(path)  # one small input file would leave one scan task
             _STORED[key] = path
         return self._spark.read.schema(derived.schema).parquet(_STORED[key])
 

@@ -126,9 +126,9 @@ ORACLES = {
       CAST(COALESCE(a, 0) AS BIGINT) AS archive_chat_cnt, CAST(k AS BIGINT) AS support_cnt, COALESCE(h, 0) AS head_chat_cnt,
       CAST(COALESCE(s, 0) + COALESCE(c, 0) + COALESCE(a, 0) + k AS BIGINT) AS total_cnt FROM tk LEFT JOIN y ON y.owner_id = tk.id""",
     "unread_by_tag": f"WITH {_UNREAD}, {_TEAM}, {_TAGUN} SELECT * FROM byt",
-    "tag_counts": f"""WITH {_UNREAD}, {_TEAM}, {_TAGUN} SELECT p.tag_id, p.parent_tag_id, p.name, p.position,
+    "tag_counts": f"""WITH {_UNREAD}, {_TEAM}, {_TAGUN} SELECT b.owner_id, p.tag_id, p.parent_tag_id, p.name, p.position,
       CASE WHEN EXISTS (SELECT 1 FROM tag k WHERE k.parent_tag_id = p.tag_id) THEN 1 ELSE 0 END AS is_any_child,
-      CAST(COALESCE((SELECT sum(room_count) FROM byt b WHERE b.tag_id = p.tag_id), 0) AS BIGINT) AS room_count FROM tag p""",
+      CAST(COALESCE(b.room_count, 0) AS BIGINT) AS room_count FROM tag p LEFT JOIN byt b ON b.tag_id = p.tag_id WHERE p.parent_tag_id IS NULL""",
     "last_message": f"WITH {_LAST} SELECT * FROM lastm",
     "last_team_message": f"""WITH {_LASTT} SELECT l.hub_id, l.uid, l.ref_sys_id, left(c.message, 100) AS message, c.ctime,
       CASE WHEN c.attachment IS NOT NULL THEN 1 ELSE 0 END AS is_attachment

@@ -65,7 +65,7 @@ QUERIES = {
 }
 
 _IDX = r"""idx AS (SELECT hub_id, nid, word, count(*) AS occurrence FROM (SELECT source AS hub_id, doc_id AS nid,
-  left(unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')), 300) AS word FROM documents) WHERE word <> '' GROUP BY ALL)"""
+  unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL)"""
 _HITS = rf"""{_IDX}, asked AS (SELECT DISTINCT item_id AS query_id, q FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[ ,.;:!%@/=+\-_#]+')) AS q FROM benchmark) WHERE q <> ''),
   voc AS (SELECT DISTINCT word FROM idx),
   m AS (SELECT q, word, strlen(q) * 10 + CASE WHEN q = word THEN 100 ELSE 0 END AS score FROM (SELECT DISTINCT q FROM asked) a JOIN voc ON starts_with(word, q)),
@@ -73,7 +73,7 @@ _HITS = rf"""{_IDX}, asked AS (SELECT DISTINCT item_id AS query_id, q FROM (SELE
   hits AS (SELECT query_id, hub_id, nid, CAST(score AS INTEGER) AS score, word FROM (SELECT w.query_id, i.hub_id, i.nid, w.score, w.word,
     row_number() OVER (PARTITION BY w.query_id, i.hub_id, i.nid ORDER BY w.score DESC, w.word) AS rn FROM w JOIN idx i ON i.word = w.word) WHERE rn = 1)"""
 _TEXT = rf"""{_IDX}, wt AS (SELECT word, CAST(round(pow(log10((SELECT count(*) FROM (SELECT DISTINCT hub_id, nid FROM idx)) / count(*)), 2) * 1000000) AS BIGINT) AS weight FROM idx GROUP BY word),
-  asked AS (SELECT DISTINCT query_id, word FROM (SELECT item_id AS query_id, left(unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')), 300) AS word FROM benchmark) WHERE word <> ''),
+  asked AS (SELECT DISTINCT query_id, word FROM (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS word FROM benchmark) WHERE word <> ''),
   s1 AS (SELECT query_id, hub_id, nid, sum(occurrence * weight) AS score FROM asked JOIN wt USING (word) JOIN idx USING (word) GROUP BY ALL),
   top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hub_id, nid) AS rn FROM s1) WHERE rn <= 3),
   gain AS (SELECT t.query_id, i.word, sum(i.occurrence * wt.weight) AS gain FROM top t JOIN idx i ON i.hub_id = t.hub_id AND i.nid = t.nid JOIN wt ON wt.word = i.word

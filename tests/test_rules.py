@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from parlor.functions import expr as X
 from parlor.operators import contact_changes as JC
+from parlor.operators import grants as G
 from parlor.operators import messaging as M
 from parlor.operators import pages as P
 from parlor.operators import search as S
@@ -201,3 +202,36 @@ def test_assigned_contacts(spark):
     new = spark.createDataFrame([("n1", "o1", "new"), ("n2", "o1", "new")], "uid string, org_id string, status string")
     members = spark.createDataFrame([("o1", "m1"), ("o1", "n1"), ("o2", "m2")], "org_id string, uid string")
     assert rows(I.assigned_contacts(new, members, spark.createDataFrame([("n1",)], "uid string"))) == [("n1", "m1")]
+
+
+def test_deep_trees_lose_nothing(spark):
+    media = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else "0") for k in range(400)], "id string, parent_id string")
+    grants = spark.createDataFrame([("n0", "u", 7, 0, "")], "resource_id string, entity_id string, permission int, expiry_time int, message string")
+    assert {r["resource_id"] for r in G.nearest_grant(media, grants).collect()} == {"n0"}
+    asked = spark.createDataFrame([("u", "n399"), ("v", "n399")], "uid string, node_id string")
+    assert rows(G.effective_grant(asked, media, grants), "uid", "permission") == [("u", 7), ("v", 0)]
+    tags = spark.createDataFrame([(f"t{k}", f"t{k - 1}" if k else None) for k in range(1200)] + [("a", "b"), ("b", "a")], "tag_id string, parent_tag_id string")
+    left, _ = trees.tag_remove(tags, spark.createDataFrame([("o", "x", "t9")], "owner_id string, id string, tag_id string"), spark.createDataFrame([("t1",)], "tag_id string"))
+    assert rows(left, "tag_id") == [("a",), ("b",), ("t0",)]
+
+
+def test_cyclic_parents_and_room_grants(spark):
+    media = spark.createDataFrame([("h1", "x", "y"), ("h1", "y", "x"), ("h1", "n", "0"), ("h2", "n", "0")], "hub_id string, id string, parent_id string")
+    grants = spark.createDataFrame([("h1", "*", "u", 63, 0, "")], "hub_id string, resource_id string, entity_id string, permission int, expiry_time int, message string")
+    asked = spark.createDataFrame([("h1", "u", "n"), ("h2", "u", "n"), ("h1", "w", "x")], "hub_id string, uid string, node_id string")
+    assert rows(G.effective_grant(asked, media, grants), "hub_id", "node_id", "permission") == [("h1", "n", 63), ("h1", "x", 0), ("h2", "n", 0)]
+
+
+def test_unread_of_two_owners_and_double_contacts(spark):
+    unread = spark.createDataFrame([("o1", "u", 3), ("o2", "u", 5)], "owner_id string, entity_id string, room_count bigint")
+    none = spark.createDataFrame([], "uid string, hub_id string, room_count bigint")
+    contact = spark.createDataFrame([("o1", "c1", "u"), ("o1", "c2", "u"), ("o2", "c1", "u")], "owner_id string, id string, uid string")
+    mapped = spark.createDataFrame([("o1", "c1", "t"), ("o1", "c2", "t"), ("o2", "c1", "t")], "owner_id string, id string, tag_id string")
+    tag = spark.createDataFrame([("t", None, "T", 0), ("k", "t", "K", 1)], "tag_id string, parent_tag_id string, name string, position int")
+    counts = M.tag_counts(tag, M.unread_by_tag(unread, none, contact, mapped))
+    assert rows(counts, "owner_id", "tag_id", "room_count", "is_any_child") == [("o1", "t", 3, 1), ("o2", "t", 5, 1)]
+
+
+def test_long_words_stay_apart(spark):
+    docs = spark.createDataFrame([("h", "1", "x" * 400 + "a " + "x" * 400 + "b")], "hub_id string, nid string, text string")
+    assert S.index_build(docs).count() == 2

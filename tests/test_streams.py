@@ -51,7 +51,7 @@ def test_unread_with_early_acks(spark, tmp_path):
 def test_messages_once_per_inbox(spark, tmp_path):
     data = [(i, f"2024-01-0{1 + i % 4} 00:00:00", f"u{i % 3}", f"v{i % 2}", f"m{i % 20}", "x", 100 + i, i % 4) for i in range(80)]
     _, stream = feed(spark, tmp_path / "in", data, "seq bigint, ts string, author_id string, entity_id string, message_id string, message string, ctime bigint, part int")
-    query, store = S.stream_messages(stream.withColumn("ts", F.to_timestamp("ts")), str(tmp_path / "out"), "1 minute")
+    query, store = S.stream_messages(stream.withColumn("ts", F.to_timestamp("ts")), str(tmp_path / "out"))
     S.run(query)
     got = rows(store.read(), "owner_id", "message_id")
     want = {(o, d[4]) for d in data for o in (d[2], d[3])}
@@ -94,3 +94,12 @@ def test_grants_expire_once(spark, tmp_path):
     query, revokes = T.stream_grant_expiry(stream, str(tmp_path / "out"))
     S.run(query)
     assert rows(revokes.read()) == [("d1", "u", 150), ("d2", "u", 180)] == rows(T.expired_grants(clean, 300))
+
+
+def test_a_late_message_reaches_the_inbox(spark, tmp_path):
+    at = lambda d, h=0: __import__("datetime").datetime(2024, 1, d, h)
+    data = [(1, at(9), "a", "b", "m1", "x", 1, 0), (2, at(9, 5), "a", "b", "m2", "x", 2, 1), (3, at(1), "a", "b", "late", "x", 3, 2), (4, at(9), "a", "b", "m1", "x", 1, 3), (5, at(2), "a", "b", "late", "x", 3, 3)]
+    clean, stream = feed(spark, tmp_path / "in", data, "seq bigint, ts timestamp, author_id string, entity_id string, message_id string, message string, ctime bigint, part int")
+    query, store = S.stream_messages(stream, str(tmp_path / "out"))
+    S.run(query)
+    assert rows(store.read(), "owner_id", "message_id", "sys_id") == [(o, m, n) for o in "ab" for m, n in (("late", 3), ("m1", 1), ("m2", 2))]
