@@ -1,4 +1,4 @@
-"""Token ids of many texts by a tokenizer that never joins what white space separates: each distinct chunk of a task is encoded once."""
+"""Token ids of many texts by a word tokenizer (lower case, byte-level pairs with word ends): each distinct chunk of a task is encoded once."""
 
 from __future__ import annotations
 
@@ -6,24 +6,49 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import regex
 from tokenizers import Tokenizer
 
+from .bpe import byte_symbols
 from .words import words_of
 
 _LOT = 2048
+#: Fixed value: the pattern that cuts lower-cased words of tokenizers of this kind.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Characters that normalisation leaves alone but for lower case, letter by letter.
+_PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 
 
 class ChunkEncoder:
     """Chunks are runs without ASCII white space, found by a 64-bit hash. The cache is emptied when it holds ``most`` chunks."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.symbols, self.most = Tokenizer.from_file(path), byte_symbols(), most
         self._empty()
 
     def _empty(self) -> None:
         self.known, self.lengths, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _encode(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+        """Number of ids of each chunk, and all ids. Plain chunks are cut here and only their pieces go to the library's model; other chunks go through all of it."""
+        cut = [[c.lower()] if c.isascii() and c.isalpha() else _CUT.findall(c.lower()) if _PLAIN.fullmatch(c) and "<|" not in c else None for c in chunks]
+        of, model, symbols = {}, self.tokenizer.model, self.symbols
+        for p in {p for row in cut if row for p in row}:
+            of[p] = [t.id for t in model.tokenize("".join(map(symbols.__getitem__, p.encode())))]
+        odd = [c for c, row in zip(chunks, cut) if row is None]
+        others = iter([e.ids for k in range(0, len(odd), _LOT) for e in self.tokenizer.encode_batch_fast(odd[k : k + _LOT], add_special_tokens=False)])
+        sizes, flat = [], []
+        for row in cut:
+            before = len(flat)
+            if row is None:
+                flat.extend(next(others))
+            else:
+                for p in row:
+                    flat.extend(of[p])
+            sizes.append(len(flat) - before)
+        return sizes, flat
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the bounds of each text in it."""
         words = words_of(texts)
@@ -32,12 +57,8 @@ class ChunkEncoder:
             self._empty()
         rows = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
         new = np.flatnonzero(rows < 0)
-        sizes, flat = [], []
-        for k in range(0, len(new), _LOT):  # the library's results are large; few at a time
-            lot = [words.text(i).decode() for i in at[new[k : k + _LOT]].tolist()]
-            for e in self.tokenizer.encode_batch_fast(lot, add_special_tokens=False):
-                flat.extend(own := e.ids)
-                sizes.append(len(own))
+        data, some = words.buf.tobytes(), at[new]
+        sizes, flat = self._encode([data[a:b].decode() for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())])
         rows[new] = np.arange(len(new)) + len(self.lengths)
         self.known.update(zip(distinct[new].tolist(), rows[new].tolist()))
         self.lengths = lengths = np.concatenate([self.lengths, np.array(sizes, np.int64)])
