@@ -103,9 +103,13 @@ def state_rows(pairs: DataFrame, state: str = "state") -> DataFrame:
     return pairs.select(F.explode(sides).alias("s")).select("s.*").where("status <> 'none'").withColumn("uid", uid)
 
 
-def invitation_fold(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Relation of every (owner, counterpart) after all events, from nothing: ``(owner_id, entity, status, uid)``."""
-    return state_rows(pair_functions(events, chunk).select("low", "high", F.get("fn", F.lit(0)).alias("state")))
+def invitation_fold(events: DataFrame, chunk: int = CHUNK, user_dir: DataFrame | None = None) -> DataFrame:
+    """Relation of every (owner, counterpart) after all events, from nothing: ``(owner_id, entity, status, uid)``.
+
+    With ``user_dir`` only its users keep a row: whoever invites a stranger has ``sent``, the stranger nothing.
+    """
+    rows = state_rows(pair_functions(events, chunk).select("low", "high", F.get("fn", F.lit(0)).alias("state")))
+    return rows if user_dir is None else rows.join(user_dir.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
 
 
 def email_invites(token: DataFrame, user_dir: DataFrame, contact: DataFrame) -> dict[str, DataFrame]:

@@ -114,10 +114,10 @@ def apply_deletes(requests: DataFrame, channel: DataFrame) -> DataFrame:
 
 
 def deleted_files(before: DataFrame, after: DataFrame, hub_media: DataFrame) -> DataFrame:
-    """Attached files of messages that no inbox holds any more."""
+    """Attached files, known by room and id, of messages that no inbox holds any more."""
     lost = before.where("attachment IS NOT NULL").join(after.select("message_id"), "message_id", "left_anti")
-    nodes = lost.select(F.explode(F.from_json("attachment", NODES)).alias("n")).select(F.col("n.nid").alias("id")).distinct()
-    return hub_media.join(nodes, "id", "left_semi").select("hub_id", "id", "filesize")
+    nodes = lost.select(F.explode(F.from_json("attachment", NODES)).alias("n")).select("n.hub_id", F.col("n.nid").alias("id")).distinct()
+    return hub_media.join(nodes, ["hub_id", "id"], "left_semi").select("hub_id", "id", "filesize")
 
 
 def usage_after(disk_usage: DataFrame, files: DataFrame) -> DataFrame:

@@ -167,12 +167,12 @@ def forward_messages(requests: DataFrame, team_channel: DataFrame) -> DataFrame:
 
 
 def message_attachments(channel: DataFrame, hub_media: DataFrame) -> DataFrame:
-    """One row per message and attached file with the file's facts; ``position`` keeps the order of the list."""
+    """One row per message and attached file with the file's facts; ``position`` keeps the order of the list. A file is known by room and id."""
     nodes = channel.where("attachment IS NOT NULL").select(
         *BOX, "message_id", F.posexplode(F.from_json("attachment", "array<struct<hub_id:string,nid:string>>")).alias("position", "node"))
-    files = hub_media.select(F.col("id").alias("nid"), F.col("hub_id").alias("file_hub_id"), "owner_id", "user_filename", "category", "extension",
+    files = hub_media.select(F.col("id").alias("nid"), "hub_id", "owner_id", "user_filename", "category", "extension",
                              "mimetype", "filesize").withColumnRenamed("owner_id", "file_owner_id")
-    return nodes.select(*BOX, "message_id", "position", "node.hub_id", "node.nid").join(files, "nid")
+    return nodes.select(*BOX, "message_id", "position", "node.hub_id", "node.nid").join(files, ["hub_id", "nid"])
 
 
 def delivery_status(team_channel: DataFrame, team_read: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def notification_items(
     invites = contact.where(F.col("status").isin(*PENDING)).join(people, "entity", "left_semi").select(
         "owner_id", F.col("id").alias("resource_id"), F.col("entity").alias("entity_id"), F.col("owner_id").alias("hub_id"),
         F.col("mtime").alias("ctime"), F.lit("personal").alias("area"), F.lit("contact").alias("category"), one.alias("cnt"))
-    known = contact.where("uid IS NOT NULL").select("owner_id", F.col("uid").alias("entity_id"))
+    known = contact.where("uid IS NOT NULL").select("owner_id", F.col("uid").alias("entity_id")).distinct()
     chats = unread_items(channel, read_channel).join(known, ["owner_id", "entity_id"]).select(
         "owner_id", F.col("message_id").alias("resource_id"), F.col("author_id").alias("entity_id"), F.col("owner_id").alias("hub_id"), "ctime",
         F.lit("personal").alias("area"), F.lit("chat").alias("category"), one.alias("cnt"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlor.functions import expr as X
 from parlor.operators.search import prefix_lookup
-from parlor.plans.skew import count_upto, list_in_parts, paginate, rank_in_groups, top_in_groups
+from parlor.plans.skew import PAGE_ROWS, count_upto, list_in_parts, paginate, rank_in_groups, top_in_groups
 
 PAGE = ["master_id", "lang"]
 
@@ -147,12 +147,13 @@ def block_get(requests: DataFrame, block: DataFrame, history: DataFrame, user_di
     return shown.select("request_id", "id", *whole.values())
 
 
-def block_list(block: DataFrame, user_dir: DataFrame, kinds: Sequence[str] = ("page", "block"), order: str = "desc", k: int = 45) -> DataFrame:
-    """Newest (or oldest) pages of each type with author."""
+def block_list(block: DataFrame, user_dir: DataFrame, kinds: Sequence[str] = ("page", "block"), order: str = "desc", page: int = 1, rows: int = PAGE_ROWS) -> DataFrame:
+    """A page of the newest (or oldest) entries of each type with author; ``place`` is the rank within the type."""
     people = user_dir.select(F.col("id").alias("author_id"), "firstname", "lastname")
-    rows = block.where(F.col("type").isin(*kinds)).join(people, "author_id", "left")
+    shown = block.where(F.col("type").isin(*kinds)).join(people, "author_id", "left")
     first = F.col("mtime").desc() if order.lower().startswith("d") else F.col("mtime").asc()
-    return top_in_groups(rows, ["type"], [first, F.col("id").asc()], k, "place")
+    page = max(int(page), 1)
+    return top_in_groups(shown, ["type"], [first, F.col("id").asc()], page * rows, "place").where(F.col("place") > (page - 1) * rows)
 
 
 def languages_used(history: DataFrame) -> DataFrame:

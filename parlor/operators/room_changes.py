@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlor.functions import expr as X
@@ -14,6 +14,7 @@ from parlor.plans.skew import rank_in_groups
 from parlor.session import cut_lineage
 
 GRANT = ["hub_id", "resource_id", "entity_id"]
+CHUNK = 4096
 
 
 def apply_grants(grants: DataFrame, changes: DataFrame, now_epoch: int) -> DataFrame:
@@ -131,17 +132,28 @@ def tag_edit(tag: DataFrame, changes: DataFrame) -> DataFrame:
     return edited.join(gone, "tag_id", "left_anti")
 
 
-def language_state(language: DataFrame, changes: DataFrame) -> DataFrame:
-    """Languages after ``changes(seq, hub_id, base, state)``; a room whose active languages would all go keeps its states.
+def language_state(language: DataFrame, changes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Languages after ``changes(seq, hub_id, base, state)``, one after the other by ``seq``, which is unique in a room.
 
-    The check looks at the whole change set of a room: the room is left as it was when nothing active would remain.
+    A change to ``frozen`` or ``deleted`` is refused while the room has at most one active language; it alone, not the room's other changes.
+    Whether a change is refused hangs on all before it, so a room's list of languages is carried through its changes, ``chunk`` of them at a time.
     """
-    keys = ["hub_id", "base"]
-    last = changes.groupBy(*keys).agg(F.max_by("state", "seq").alias("new_state"))
-    both = language.join(last, keys, "left").withColumn("wanted", F.coalesce("new_state", "state"))
-    counts = both.groupBy("hub_id").agg(F.count_if(F.col("state") == "active").alias("had"), F.count_if(F.col("wanted") == "active").alias("keeps"))
-    refused = (F.col("had") > 0) & (F.col("keeps") == 0)
-    return both.join(counts, "hub_id").select("hub_id", "sys_id", "base", F.when(refused, F.col("state")).otherwise(F.col("wanted")).alias("state"))
+    known = changes.join(language.select("hub_id", "base"), ["hub_id", "base"], "left_semi").select("seq", "hub_id", "base", "state")
+    ranked = cut_lineage(rank_in_groups(known, ["hub_id"], "seq", "_r").withColumn("_chunk", F.expr(f"CAST((_r - 1) DIV {int(chunk)} AS BIGINT)")))
+    chunks = ranked.agg(F.coalesce(F.max("_chunk") + 1, F.lit(0)).alias("n")).first()["n"]
+    rooms = language.groupBy("hub_id").agg(F.collect_list(F.struct("sys_id", "base", "state")).alias("now"))
+
+    def applied(now: Column, change: Column) -> Column:
+        last = F.size(F.filter(now, lambda x: x["state"] == "active")) <= 1
+        moved = F.transform(now, lambda x: F.struct(
+            x["sys_id"].alias("sys_id"), x["base"].alias("base"), F.when(x["base"] == change["base"], change["state"]).otherwise(x["state"]).alias("state")))
+        return F.when(last & F.lower(change["state"]).isin("frozen", "deleted"), now).otherwise(moved)
+
+    for k in range(chunks):
+        own = ranked.where(F.col("_chunk") == k).groupBy("hub_id").agg(F.array_sort(F.collect_list(F.struct("seq", "base", "state"))).alias("es"))
+        both = rooms.join(own, "hub_id", "left")
+        rooms = cut_lineage(both.select("hub_id", F.when(F.col("es").isNull(), F.col("now")).otherwise(F.aggregate("es", F.col("now"), applied)).alias("now")))
+    return rooms.select("hub_id", F.inline("now"))
 
 
 # Billing event types and the plans of the account.

@@ -24,7 +24,8 @@ PHONE = r"^\+?[0-9][0-9 .\-]{3,}$"
 
 
 def read_contact_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", False).csv(path)
+    """A quoted cell may hold line breaks and doubled quotes; a file is then read by one task, so large imports come as several files."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def read_vcards(spark: SparkSession, path: str) -> DataFrame:
@@ -189,12 +190,13 @@ def batch_valid(validated: DataFrame) -> DataFrame:
 
 
 def load_members(validated: DataFrame, organisation: str) -> tuple[DataFrame, DataFrame]:
-    """New users, and their assignment to the organisation.
+    """New users, and their assignment to the organisation. A batch with an invalid row is refused whole: nothing is loaded.
 
     Every new member gets all members of the organisation as contacts.  The assignment is kept as one row per new
     member; ``assigned_contacts`` opens it for the users asked for.
     """
-    users = validated.where("error = 0").select(
+    errors = validated.agg(F.coalesce(F.sum("error"), F.lit(0))).scalar()
+    users = validated.where(errors == 0).select(
         X.short_id("ident", "email").alias("id"), "email", "firstname", "lastname", F.col("ident").alias("username"), "mobile", "areacode")
     return users, users.select(F.col("id").alias("uid"), F.lit(organisation).alias("org_id"), F.lit("new").alias("status"))
 

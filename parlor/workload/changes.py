@@ -113,7 +113,7 @@ QUERIES = {
     "call_log": lambda t: JM.call_log(t.sql(CALLS), t.channel),
     "guests_and_tickets": lambda t: JM.ticket_posts(t.sql(TICKETS), t.ticket, t.read_ticket_channel)[0],
     "ticket_markers": lambda t: JM.ticket_posts(t.sql(TICKETS), t.ticket, t.read_ticket_channel)[1],
-    "invitation_fold": lambda t: JC.invitation_fold(t.relation_event),
+    "invitation_fold": lambda t: JC.invitation_fold(t.relation_event, user_dir=t.user_dir),
     "email_invites": lambda t: _invites(t)["received"].drop("id"),
     "email_invite_rewrites": lambda t: _invites(t)["contact"],
     "email_invite_tokens": lambda t: _invites(t)["token"],
@@ -153,7 +153,7 @@ _NB = f"""CASE split_part(e, '|', 1) WHEN 'invite' THEN CASE ({_B}) WHEN 'none'
 _FOLD = f"""WITH p AS (SELECT seq, least(actor, target) AS low, greatest(actor, target) AS high, event || '|' || CASE WHEN actor < target THEN 'L' ELSE 'H' END AS e FROM relation_event WHERE actor <> target),
   f AS (SELECT low, high, list_reduce(list_prepend('none|none', list(e ORDER BY seq)), lambda s, e: CASE WHEN split_part(e, '|', 2) = 'L' THEN ({_NA}) || '|' || ({_NB}) ELSE ({_NB}) || '|' || ({_NA}) END) AS st FROM p GROUP BY low, high),
   r AS (SELECT low AS owner_id, high AS entity, split_part(st, '|', 1) AS status FROM f UNION ALL SELECT high, low, split_part(st, '|', 2) FROM f)
-  SELECT owner_id, entity, status, CASE WHEN status IN ('informed', 'active') THEN entity END AS uid FROM r WHERE status <> 'none'"""
+  SELECT owner_id, entity, status, CASE WHEN status IN ('informed', 'active') THEN entity END AS uid FROM r WHERE status <> 'none' AND owner_id IN (SELECT id FROM user_dir)"""
 _POST = f"""pp AS ({POSTS}), ib AS (SELECT seq, author_id, message_id, message, attachment, ctime, forward_message_id, forward_hub_id, author_id AS owner_id, entity_id FROM pp
     UNION ALL SELECT seq, author_id, message_id, message, attachment, ctime, forward_message_id, forward_hub_id, entity_id, author_id FROM pp),
   fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, message_id ORDER BY seq) AS rn FROM ib) q WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM channel c WHERE c.owner_id = q.owner_id AND c.message_id = q.message_id))"""
@@ -163,7 +163,7 @@ _DEL = f"""rq AS ({DELS}), {_STATUS.format(table='channel', tenant='owner_id', b
   aft AS (SELECT c.* FROM channel c WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.uid = c.owner_id AND ok.message_id = c.message_id)
     AND NOT EXISTS (SELECT 1 FROM ok JOIN channel o ON o.owner_id = ok.uid AND o.message_id = ok.message_id WHERE ok.option = 'all' AND o.entity_id = c.owner_id AND ok.message_id = c.message_id)),
   los AS (SELECT DISTINCT f.hub_id, f.id, f.filesize FROM (SELECT attachment, unnest(range(CAST(json_array_length(attachment) AS BIGINT))) AS i FROM channel WHERE message_id NOT IN (SELECT message_id FROM aft)) x
-    JOIN hub_media f ON f.id = json_extract_string(x.attachment, '$[' || i || '].nid'))"""
+    JOIN hub_media f ON f.id = json_extract_string(x.attachment, '$[' || i || '].nid') AND f.hub_id = json_extract_string(x.attachment, '$[' || i || '].hub_id'))"""
 _TDEL = f"""rq AS ({TEAM_DELS}), {_STATUS.format(table='team_channel', tenant='hub_id', by='hub_id')}, ok AS (SELECT rq.*, c.sys_id FROM rq JOIN st USING (request_id) JOIN team_channel c ON c.hub_id = rq.hub_id AND c.message_id = rq.message_id WHERE status = 'OK'),
   two AS ({TWO}), sto AS (SELECT hub_id, uid, ref_sys_id FROM team_delete UNION SELECT hub_id, uid, sys_id FROM ok WHERE option = 'me'),
   gon AS (SELECT hub_id, sys_id FROM ok WHERE option = 'all' UNION SELECT s.hub_id, s.ref_sys_id FROM sto s WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.hub_id = s.hub_id
@@ -286,9 +286,11 @@ ORACLES = {
         COALESCE((SELECT arg_max(name, seq) FROM ed WHERE op = 'rename' AND ed.tag_id = nw.tag_id), nw.name) AS name, nw.position FROM nw LEFT JOIN mv ON mv.tag_id = nw.tag_id),
       rm AS (SELECT tag_id FROM ed WHERE op = 'remove' UNION SELECT xx.tag_id FROM rm JOIN xx ON xx.parent_tag_id = rm.tag_id)
       SELECT * FROM xx WHERE tag_id NOT IN (SELECT tag_id FROM rm)""",
-    "language_state": f"""WITH c AS (SELECT hub_id, base, arg_max(state, seq) AS ns FROM ({LANGS}) z GROUP BY ALL), j AS (SELECT l.*, COALESCE(c.ns, l.state) AS w FROM language l LEFT JOIN c ON c.hub_id = l.hub_id AND c.base = l.base),
-      k AS (SELECT *, count(*) FILTER (state = 'active') OVER (PARTITION BY hub_id) AS had, count(*) FILTER (w = 'active') OVER (PARTITION BY hub_id) AS keeps FROM j)
-      SELECT hub_id, sys_id, base, CASE WHEN had > 0 AND keeps = 0 THEN state ELSE w END AS state FROM k""",
+    "language_state": f"""WITH RECURSIVE o AS (SELECT hub_id, base, state, row_number() OVER (PARTITION BY hub_id ORDER BY seq) AS n FROM ({LANGS}) z),
+      f AS (SELECT CAST(0 AS BIGINT) AS n, hub_id, sys_id, base, state FROM language
+        UNION ALL SELECT o.n, f.hub_id, f.sys_id, f.base, CASE WHEN f.base = o.base AND NOT (o.state IN ('frozen', 'deleted') AND count(*) FILTER (f.state = 'active') OVER (PARTITION BY f.hub_id) <= 1) THEN o.state ELSE f.state END
+          FROM f JOIN o ON o.hub_id = f.hub_id AND o.n = f.n + 1)
+      SELECT hub_id, sys_id, base, arg_max(state, n) AS state FROM f GROUP BY hub_id, sys_id, base""",
     "subscription_fold": """WITH e AS (SELECT *, CASE WHEN type = 'customer.subscription.deleted' OR (type = 'customer.subscription.updated' AND status = 'incomplete_expired') THEN 'ended'
         WHEN type LIKE 'customer.%' THEN 'row' WHEN type = 'invoice.paid' THEN 'paid' ELSE 'failed' END AS kind FROM billing_event),
       s AS (SELECT entity_id, arg_max(kind, seq) AS kind, arg_max(subscription_id, seq) AS sid, arg_max(status, seq) AS st FROM e WHERE kind IN ('ended', 'row') GROUP BY entity_id),

@@ -36,6 +36,12 @@ def _valid(t: Tables):
     return I.validate_members(t.member_import, t.user_dir)
 
 
+def _mended(t: Tables):
+    """The import less its faulty rows, as a batch of its own."""
+    good = _valid(t).where("error = 0").select(F.col("index").alias("row_no"))
+    return I.validate_members(t.member_import.join(good, "row_no", "left_semi"), t.user_dir)
+
+
 QUERIES = {
     "load_tables": lambda t: S.table_report({n: S.conform(getattr(t, n), n) for n in CHECKED}),
     "import_contacts_csv": lambda t: _csv(t).select("row_no", "owner_id", "entity", "firstname", "lastname", "outcome"),
@@ -47,7 +53,8 @@ QUERIES = {
     "import_vcard_phones": lambda t: I.imported_tables(_vcards(t))["phone"],
     "validate_members": lambda t: _valid(t).withColumn("errorstatus", F.array_join("errorstatus", "|")),
     "validate_batch": lambda t: I.batch_valid(_valid(t)),
-    "load_members": lambda t: I.load_members(_valid(t), "org1")[0].drop("id"),
+    "load_members": lambda t: I.load_members(_mended(t), "org1")[0].drop("id"),
+    "load_members_refused": lambda t: I.load_members(_valid(t), "org1")[0].agg(F.count(F.lit(1)).alias("n_loaded")),
     "table_from_spec": lambda t: I.table_from_spec(SPEC, t.sql(RAW)),
     "duplicate_keys": lambda t: I.duplicate_keys(I.table_from_spec(SPEC, t.sql(RAW)), ["event_type", "user_id"]),
     "ingest_forms": lambda t: I.ingest_forms(t.form_submission, ["subject", "amount"], t.ip_range, NOW),
@@ -108,6 +115,7 @@ ORACLES = {
     "validate_members": f"WITH {_VALID} SELECT *, CASE WHEN errorstatus = '' THEN 0 ELSE 1 END AS error FROM val",
     "validate_batch": f"WITH {_VALID} SELECT CASE WHEN max(errorstatus) = '' THEN 1 ELSE 0 END AS valid, count(*) AS n_rows FROM val",
     "load_members": f"WITH {_VALID} SELECT email, firstname, lastname, ident AS username, mobile, areacode FROM val WHERE errorstatus = ''",
+    "load_members_refused": f"WITH {_VALID} SELECT CASE WHEN count(*) FILTER (errorstatus <> '') > 0 THEN 0 ELSE count(*) END AS n_loaded FROM val",
     "table_from_spec": f"WITH {_SPEC} SELECT * FROM spec",
     "duplicate_keys": f"WITH {_SPEC} SELECT event_type, user_id, count(*) AS n_rows FROM spec GROUP BY ALL HAVING count(*) > 1",
     "ingest_forms": f"""WITH f AS (SELECT *, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS n FROM form_submission)

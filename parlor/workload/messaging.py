@@ -154,9 +154,9 @@ ORACLES = {
         CASE WHEN nullif(attachment, '[]') IS NULL THEN '' ELSE ',"attachment":"' || replace(attachment, '"', '\\"') || '"' END || ',"hub_id":"' || r.hub_id || '"}' AS node
       FROM r JOIN team_channel c ON c.hub_id = r.hub_id AND c.sys_id = r.k""",
     "message_attachments": """SELECT m.owner_id, m.entity_id, m.message_id, CAST(i AS INTEGER) AS position, json_extract_string(attachment, '$[' || i || '].hub_id') AS hub_id,
-      f.id AS nid, f.hub_id AS file_hub_id, f.owner_id AS file_owner_id, f.user_filename, f.category, f.extension, f.mimetype, f.filesize
+      f.id AS nid, f.owner_id AS file_owner_id, f.user_filename, f.category, f.extension, f.mimetype, f.filesize
       FROM (SELECT owner_id, entity_id, message_id, attachment, unnest(range(CAST(json_array_length(attachment) AS BIGINT))) AS i FROM channel) m
-      JOIN hub_media f ON f.id = json_extract_string(attachment, '$[' || i || '].nid')""",
+      JOIN hub_media f ON f.id = json_extract_string(attachment, '$[' || i || '].nid') AND f.hub_id = json_extract_string(attachment, '$[' || i || '].hub_id')""",
     "delivery_status": """SELECT c.hub_id, c.message_id, count(*) AS delivered, count(*) FILTER (r.ref_sys_id >= c.sys_id) AS seen,
       CASE WHEN count(*) FILTER (r.ref_sys_id >= c.sys_id) >= count(*) THEN 1 ELSE 0 END AS is_seen
       FROM team_channel c JOIN team_read r ON r.hub_id = c.hub_id GROUP BY c.hub_id, c.message_id""",

@@ -51,7 +51,7 @@ QUERIES = {
     "revision_log_page": lambda t: P.revision_log(t.block, t.block_history, t.user_dir, page=2, rows=7),
     "change_history": lambda t: P.change_history(t.block_history, t.hub_media, t.user_dir, "u1", start=1000000100),
     "block_with_author": lambda t: P.block_get(t.sql(GETS), t.block, t.block_history, t.user_dir),
-    "block_list": lambda t: P.block_list(t.block, t.user_dir, k=10),
+    "block_list": lambda t: P.block_list(t.block, t.user_dir, page=2, rows=10),
     "languages_used": lambda t: P.languages_used(t.block_history),
     "active_bases": lambda t: P.active_bases(t.language),
     "installed_languages": lambda t: P.installed_languages(t.language, t.language_dir),
@@ -133,7 +133,7 @@ ORACLES = {
       FROM ({GETS}) r JOIN block b ON b.id = r.key OR b.hashtag = r.key)
       SELECT request_id, j.id, CASE WHEN ok THEN active END AS active, CASE WHEN ok THEN hashtag END AS hashtag, CASE WHEN ok THEN type END AS type, CASE WHEN ok THEN firstname END AS firstname,
         CASE WHEN ok THEN lastname END AS lastname, CASE WHEN ok THEN mtime END AS mtime FROM j LEFT JOIN user_dir d ON d.id = j.author_id""",
-    "block_list": """SELECT * FROM (SELECT b.*, d.firstname, d.lastname, CAST(row_number() OVER (PARTITION BY type ORDER BY mtime DESC, b.id) AS INTEGER) AS place FROM block b LEFT JOIN user_dir d ON d.id = b.author_id) WHERE place <= 10""",
+    "block_list": """SELECT * FROM (SELECT b.*, d.firstname, d.lastname, CAST(row_number() OVER (PARTITION BY type ORDER BY mtime DESC, b.id) AS INTEGER) AS place FROM block b LEFT JOIN user_dir d ON d.id = b.author_id) WHERE place BETWEEN 11 AND 20""",
     "languages_used": "SELECT DISTINCT master_id, lang FROM block_history",
     "active_bases": "SELECT hub_id, string_agg(base, ':' ORDER BY base) AS languages FROM (SELECT DISTINCT hub_id, base FROM language WHERE state = 'active') GROUP BY hub_id",
     "installed_languages": """SELECT l.hub_id, l.sys_id AS language_id, l.base, d.name, d.locale, l.state, CASE WHEN l.sys_id = min(l.sys_id) OVER (PARTITION BY l.hub_id) THEN 1 ELSE 0 END AS is_base

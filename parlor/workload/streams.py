@@ -114,7 +114,7 @@ QUERIES = {
     "stream_unread": lambda t: _finish(S.stream_unread(_unread_events(t), _root(t))).where("room_count > 0"),
     "stream_notifications": lambda t: _finish(S.stream_notifications(_items(t), _root(t))),
     "stream_presence": lambda t: S.online_users(_finish(S.stream_presence(_sockets(t), _root(t))), 1700000200),
-    "stream_relations": lambda t: JC.state_rows(_finish(S.stream_relations(_relations(t), _root(t)))),
+    "stream_relations": lambda t: JC.state_rows(_finish(S.stream_relations(_relations(t), _root(t)))).join(t.user_dir.select(F.col("id").alias("owner_id")), "owner_id", "left_semi"),
     "stream_subscriptions": lambda t: JR.subscription_state(_finish(S.stream_subscriptions(_billing(t), _root(t)))),
     "stream_sessions": lambda t: _finish(T.stream_sessions(_logins(t), _root(t))),
     "sessions": lambda t: T.sessions(t.login_log),

@@ -38,8 +38,8 @@ FROM q
 WITH m AS (SELECT event_id, user_id AS a, (user_id * 3 + event_id % 8 + 1) % (SELECT max(user_id) + 1 FROM events) AS b, event_type,
                   CASE WHEN event_id % 10 = 3 THEN '{"message_type":"call","call_status":"missed","duration":"' || CAST(event_id % 60 AS STRING) || '"}'
                        ELSE props END AS metadata,
-                  CASE WHEN event_id % 6 = 0 THEN '[{"hub_id":"h1","nid":"d' || CAST(event_id % 900 AS STRING) || '"}]'
-                       WHEN event_id % 6 = 1 THEN '[{"hub_id":"h2","nid":"d' || CAST(event_id % 700 AS STRING) || '"},{"hub_id":"h3","nid":"d' || CAST(event_id % 500 AS STRING) || '"}]'
+                  CASE WHEN event_id % 6 = 0 THEN '[{"hub_id":"h' || CAST(event_id % 900 % (SELECT count(*) FROM supplier) AS STRING) || '","nid":"d' || CAST(event_id % 900 AS STRING) || '"}]'
+                       WHEN event_id % 6 = 1 THEN '[{"hub_id":"h' || CAST(event_id % 700 % (SELECT count(*) FROM supplier) AS STRING) || '","nid":"d' || CAST(event_id % 700 AS STRING) || '"},{"hub_id":"h3","nid":"d' || CAST(event_id % 500 AS STRING) || '"}]'
                        WHEN event_id % 6 = 2 THEN '[]' END AS attachment
            FROM events)
 SELECT event_id AS sys_id, 'u' || CAST(a AS STRING) AS owner_id, 'u' || CAST(b AS STRING) AS entity_id,

@@ -8,6 +8,8 @@ from conftest import rows
 from parlor.functions import expr as X
 from parlor.operators import contact_changes as JC
 from parlor.operators import grants as G
+from parlor.operators import message_changes as JM
+from parlor.operators import room_changes as JR
 from parlor.operators import messaging as M
 from parlor.operators import pages as P
 from parlor.operators import search as S
@@ -235,3 +237,49 @@ def test_unread_of_two_owners_and_double_contacts(spark):
 def test_long_words_stay_apart(spark):
     docs = spark.createDataFrame([("h", "1", "x" * 400 + "a " + "x" * 400 + "b")], "hub_id string, nid string, text string")
     assert S.index_build(docs).count() == 2
+
+
+LANG = "hub_id string, sys_id bigint, base string, state string"
+LANG_CHANGE = "seq bigint, hub_id string, base string, state string"
+
+
+def test_only_the_change_that_takes_the_last_language_is_refused(spark):
+    languages = spark.createDataFrame([("h", 1, "a", "active"), ("h", 2, "b", "active"), ("k", 3, "a", "active"), ("n", 4, "a", "frozen"), ("n", 5, "b", "active")], LANG)
+    changes = spark.createDataFrame([(1, "h", "a", "frozen"), (2, "h", "b", "frozen"), (1, "n", "a", "active"), (2, "n", "b", "deleted"), (3, "n", "a", "deleted"), (4, "n", "zz", "frozen")], LANG_CHANGE)
+    want = [("h", "a", "frozen"), ("h", "b", "active"), ("k", "a", "active"), ("n", "a", "active"), ("n", "b", "deleted")]
+    assert rows(JR.language_state(languages, changes), "hub_id", "base", "state") == want
+    assert rows(JR.language_state(languages, changes, chunk=1), "hub_id", "base", "state") == want
+    assert rows(JR.language_state(languages, changes.limit(0)), "hub_id", "base", "state") == rows(languages, "hub_id", "base", "state")
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('first name,note\nAnn,"one\ntwo ""three"""\nBob,x\n')
+    assert rows(I.read_contact_csv(spark, str(tmp_path))) == [("Ann", 'one\ntwo "three"'), ("Bob", "x")]
+
+
+def test_an_invalid_batch_is_refused_whole(spark):
+    kind = "index int, email string, firstname string, lastname string, ident string, mobile string, areacode string, error int"
+    good, bad = (1, "a@x.co", "A", "B", "id1", "1", "2", 0), (2, "b@x.co", "", "", "id2", "1", "2", 1)
+    assert [t.count() for t in I.load_members(spark.createDataFrame([good], kind), "o")] == [1, 1]
+    assert [t.count() for t in I.load_members(spark.createDataFrame([good, bad], kind), "o")] == [0, 0]
+
+
+def test_files_of_two_rooms_with_one_id(spark):
+    media = spark.createDataFrame([("h1", "d1", "u", "f", "image", "t", "m", 5), ("h2", "d1", "v", "g", "image", "t", "m", 7)],
+                                  "hub_id string, id string, owner_id string, user_filename string, category string, extension string, mimetype string, filesize bigint")
+    inbox = spark.createDataFrame([("a", "b", "m1", '[{"hub_id":"h2","nid":"d1"}]')], "owner_id string, entity_id string, message_id string, attachment string")
+    assert rows(M.message_attachments(inbox, media), "hub_id", "nid", "user_filename") == [("h2", "d1", "g")]
+    assert rows(JM.deleted_files(inbox, inbox.limit(0), media)) == [("h2", "d1", 7)]
+
+
+def test_a_stranger_gets_no_relation_row(spark):
+    events = spark.createDataFrame([(1, "a", "x@mail", "invite"), (2, "a", "b", "invite")], "seq bigint, actor string, target string, event string")
+    users = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert rows(JC.invitation_fold(events, user_dir=users), "owner_id", "entity", "status") == [("a", "b", "sent"), ("a", "x@mail", "sent"), ("b", "a", "received")]
+
+
+def test_pages_of_a_type_reach_every_row(spark):
+    block = spark.createDataFrame([(f"p{k:02d}", "page", k, "u") for k in range(7)], "id string, type string, mtime int, author_id string")
+    users = spark.createDataFrame([("u", "F", "L")], "id string, firstname string, lastname string")
+    got = [r["id"] for page in (1, 2, 3) for r in sorted(P.block_list(block, users, page=page, rows=3).collect(), key=lambda r: r["place"])]
+    assert got == [f"p{k:02d}" for k in range(6, -1, -1)]
