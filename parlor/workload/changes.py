@@ -130,7 +130,7 @@ QUERIES = {
     "contact_edit": lambda t: JC.contact_edit(t.sql(EDITS), t.contact),
     "block_edit": lambda t: J.block_edit(t.contact_block, t.contact, t.sql(BLOCK_ADD), t.sql(BLOCK_DEL)),
     "apply_grants": lambda t: JR.apply_grants(t.sql(GRANTS), t.sql(GRANT_CHANGES), NOW),
-    "make_owner": lambda t: JR.make_owner(t.sql(GRANTS), t.sql(OWNER_MOVES)).where("resource_id = '*'"),
+    "make_owner": lambda t: JR.make_owner(t.sql(GRANTS), t.sql(OWNER_MOVES)),
     "membership": lambda t: JR.membership(t.hub_member, t.sql(MOVES)),
     "membership_desk": lambda t: JR.desk_nodes(JR.membership(t.hub_member, t.sql(MOVES)), t.hub),
     "offboard": lambda t: JR.offboard(t.hub_member, t.sql(LEAVERS)),
@@ -264,8 +264,8 @@ ORACLES = {
     "apply_grants": f"""WITH {_GR}, own AS (SELECT DISTINCT hub_id FROM ev WHERE resource_id = '*' AND permission = 63)
       SELECT hub_id, resource_id, entity_id, permission, expiry_time, assign_via FROM ev WHERE hub_id IN (SELECT hub_id FROM own)
       UNION ALL SELECT hub_id, resource_id, entity_id, permission, expiry_time, assign_via FROM g0 WHERE hub_id NOT IN (SELECT hub_id FROM own)""",
-    "make_owner": f"""WITH r AS (SELECT hub_id, min(uid) AS uid FROM ({OWNER_MOVES}) z GROUP BY hub_id), g AS (SELECT * FROM ({GRANTS}) y WHERE resource_id = '*')
-      SELECT g.* FROM g LEFT JOIN r ON r.hub_id = g.hub_id WHERE NOT (r.hub_id IS NOT NULL AND (g.permission = 63 OR g.entity_id = r.uid)) UNION ALL SELECT hub_id, '*', uid, 63, CAST(0 AS BIGINT), 'system' FROM r""",
+    "make_owner": f"""WITH r AS (SELECT hub_id, min(uid) AS uid FROM ({OWNER_MOVES}) z GROUP BY hub_id), g AS ({GRANTS})
+      SELECT g.* FROM g LEFT JOIN r ON r.hub_id = g.hub_id WHERE NOT (r.hub_id IS NOT NULL AND g.resource_id = '*' AND (g.permission = 63 OR g.entity_id = r.uid)) UNION ALL SELECT hub_id, '*', uid, 63, CAST(0 AS BIGINT), 'system' FROM r""",
     "membership": f"WITH {_MEM} SELECT * FROM now",
     "membership_desk": f"WITH {_MEM} SELECT now.uid AS owner_id, h.id, h.name AS user_filename, 'hub' AS category FROM now JOIN hub h ON h.id = now.hub_id",
     "offboard": f"""WITH g AS ({LEAVERS}), lost AS (SELECT DISTINCT hub_id FROM hub_member WHERE permission = 63 AND uid IN (SELECT uid FROM g))

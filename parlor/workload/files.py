@@ -14,7 +14,6 @@ SPEC = [
 ]
 RAW = """SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'abc' ELSE CAST(value AS STRING) END AS value, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id AS STRING) END AS user_id FROM events"""
 CALLS = """SELECT owner_id, CASE WHEN intime IS NULL THEN 'out' ELSE 'in' END AS option, cookie_id, metadata, COALESCE(intime, outtime) AS happened FROM login_log"""
-CHECKED = ("channel", "contact", "contact_address", "block_history", "action_log", "hub_media", "language", "contact_email")
 
 
 def _csv(t: Tables):
@@ -43,7 +42,7 @@ def _mended(t: Tables):
 
 
 QUERIES = {
-    "load_tables": lambda t: S.table_report({n: S.conform(getattr(t, n), n) for n in CHECKED}),
+    "load_tables": lambda t: S.table_report({n: S.conform(getattr(t, n), n) for n in S.SCHEMAS}),
     "import_contacts_csv": lambda t: _csv(t).select("row_no", "owner_id", "entity", "firstname", "lastname", "outcome"),
     "import_csv_emails": lambda t: I.imported_tables(_csv(t))["email"].join(I.imported_tables(_csv(t))["contact"].select("owner_id", F.col("id").alias("contact_id"), "entity"), ["owner_id", "contact_id"]).drop("contact_id"),
     "import_csv_phones": lambda t: I.imported_tables(_csv(t))["phone"].drop("contact_id"),
@@ -99,6 +98,10 @@ ORACLES = {
         _count("hub_media", "false", "metadata IS NOT NULL AND NOT json_valid(metadata)"),
         _count("language", "state NOT IN ('deleted', 'active', 'frozen', 'replaced')", "false"),
         _count("contact_email", "category NOT IN ('prof', 'priv')", "false"),
+        _count("contact_phone", "category NOT IN ('prof', 'priv')", "false"),
+        _count("team_channel", "false", "(attachment IS NOT NULL AND NOT json_valid(attachment)) OR (metadata IS NOT NULL AND NOT json_valid(metadata))"),
+        _count("login_log", "false", "metadata IS NOT NULL AND NOT json_valid(metadata)"),
+        *[_count(n, "false", "false") for n in ("read_channel", "team_read", "team_delete", "contact_block", "archive_entity", "tag", "map_tag", "permission")],
     ]),
     "import_contacts_csv": f"WITH {_CSV} SELECT row_no, owner_id, entity, firstname, lastname, outcome FROM res",
     "import_csv_emails": f"""WITH {_CSV} SELECT owner_id, email1 AS email, 1 AS is_default, 'prof' AS category, entity FROM res WHERE outcome = 'loaded' AND regexp_matches(email1, {_EMAIL})

@@ -11,12 +11,12 @@ from parlor.workload.fixtures import Tables
 DOCS = "SELECT source AS hub_id, doc_id AS nid, text FROM documents"
 ASK = "SELECT item_id AS query_id, text AS string FROM benchmark"
 TAGS = "SELECT source AS hub_id, doc_id AS nid, lang || ' ' || source AS hashtag FROM documents"
-COPIES = "SELECT o_orderkey AS seq, 'page-' || CAST(o_orderkey % 9 AS STRING) AS base FROM orders WHERE o_orderpriority LIKE '1%'"
+COPIES = "SELECT o_orderkey AS seq, 'page-' || CAST(o_orderkey % 9 AS STRING) AS base FROM orders"
 NEW_TAGS = "SELECT DISTINCT 0 AS scope, c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN 'new (' || CAST(c_custkey % 40 AS STRING) || ')' WHEN c_custkey % 3 = 1 THEN 'new' ELSE c_mktsegment END AS name FROM customer"
 OLD_TAGS = """SELECT 0 AS scope, 'new (' || CAST(p_partkey * 3 % 200 AS STRING) || ')' AS name FROM part UNION ALL SELECT 0, 'BUILDING' FROM region"""
 OLD_FILES = """SELECT 'o' || CAST(o_orderkey % 20 AS STRING) AS parent_id, 'txt' AS extension, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'a(' || CAST(o_orderkey % 30 AS STRING) || ')' END AS user_filename FROM orders"""
 NEW_FILES = """SELECT 'o' || CAST(o_orderkey % 25 AS STRING) AS parent_id, 'txt' AS extension, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'a(' || CAST(o_orderkey % 50 AS STRING) || ')' ELSE 'a' END AS name
-  FROM orders WHERE o_orderpriority LIKE '2%'"""
+  FROM orders"""
 GETS = """SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || CAST(o_orderkey % 60 AS STRING) ELSE 'page-' || CAST(o_orderkey % 7 AS STRING) || '-v' || CAST(o_orderkey % 50 AS STRING) END AS key,
   CASE o_orderkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS lang, CASE o_orderkey % 2 WHEN 0 THEN 'desktop' ELSE 'mobile' END AS device FROM orders"""
 HUB_KEYS = "SELECT 'h' || CAST(s_suppkey AS STRING) AS hub_id, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' NATION_1' END AS key FROM supplier"
@@ -85,12 +85,13 @@ _TEXT = rf"""{_IDX}, wt AS (SELECT word, CAST(round(pow(log10((SELECT count(*) F
   f AS (SELECT COALESCE(s2.query_id, s3.query_id) AS query_id, COALESCE(s2.hub_id, s3.hub_id) AS hub_id, COALESCE(s2.nid, s3.nid) AS nid, CAST(COALESCE(s2.score, 0) AS BIGINT) AS s1, COALESCE(s3.s2, 0) AS s2
     FROM s2 FULL JOIN s3 ON s3.query_id = s2.query_id AND s3.hub_id = s2.hub_id AND s3.nid = s2.nid)"""
 
-# the k-th later request of a name takes the k-th number that nobody has
+# the k-th later request of a name takes the k-th number that nobody has, which is at most k plus the names taken
 _NAMES = """ex AS (SELECT DISTINCT {keys}, name FROM ({old}) o), fs AS (SELECT {keys}, name, min(seq) AS seq FROM ({new}) n GROUP BY ALL),
   lit AS (SELECT fs.* FROM fs WHERE NOT EXISTS (SELECT 1 FROM ex WHERE {same_ex} AND ex.name = fs.name)),
   tk AS (SELECT {keys}, name FROM ex UNION SELECT {keys}, name FROM lit),
   rest AS (SELECT n.*, row_number() OVER (PARTITION BY {nkeys}, n.name ORDER BY n.seq) AS k FROM ({new}) n WHERE NOT EXISTS (SELECT 1 FROM lit WHERE {same_lit} AND lit.seq = n.seq)),
-  num AS (SELECT {rkeys}, r.name, i, row_number() OVER (PARTITION BY {rkeys}, r.name ORDER BY i) AS k FROM (SELECT DISTINCT {keys}, name FROM rest) r, range(1, 3000) g(i)
+  num AS (SELECT {rkeys}, r.name, i, row_number() OVER (PARTITION BY {rkeys}, r.name ORDER BY i) AS k
+    FROM (SELECT {keys}, name, unnest(range(1, count(*) + (SELECT count(*) FROM tk) + 1)) AS i FROM rest GROUP BY {keys}, name) r
     WHERE NOT EXISTS (SELECT 1 FROM tk WHERE {same_tk} AND tk.name = r.name || '{gap}(' || i || ')'))"""
 
 ORACLES = {
@@ -115,7 +116,8 @@ ORACLES = {
       tk AS (SELECT parent_id, name FROM ex UNION SELECT parent_id, name FROM lit),
       rest AS (SELECT *, row_number() OVER (PARTITION BY parent_id, base ORDER BY seq) AS k FROM (SELECT parent_id, extension, seq, regexp_replace(name, '\\([0-9]+\\)$', '') AS base FROM nw
         WHERE NOT EXISTS (SELECT 1 FROM lit WHERE lit.parent_id = nw.parent_id AND lit.seq = nw.seq))),
-      num AS (SELECT r.parent_id, r.base, i, row_number() OVER (PARTITION BY r.parent_id, r.base ORDER BY i) AS k FROM (SELECT DISTINCT parent_id, base FROM rest) r, range(1, 3000) g(i)
+      num AS (SELECT r.parent_id, r.base, i, row_number() OVER (PARTITION BY r.parent_id, r.base ORDER BY i) AS k
+        FROM (SELECT parent_id, base, unnest(range(1, count(*) + (SELECT count(*) FROM tk) + 1)) AS i FROM rest GROUP BY parent_id, base) r
         WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.parent_id = r.parent_id AND tk.name = r.base || '(' || i || ')'))
       SELECT parent_id, extension, seq, name AS unique_name FROM lit
       UNION ALL SELECT r.parent_id, r.extension, r.seq, r.base || '(' || num.i || ')' FROM rest r JOIN num ON num.parent_id = r.parent_id AND num.base = r.base AND num.k = r.k""",
