@@ -21,7 +21,7 @@ q1 AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.
 q2 AS (SELECT lang, rule, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY ALL),
 q3 AS (SELECT rule, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY ALL),
 q AS (SELECT q1.lang, q1.source, q1.rule, CASE WHEN q1.n >= 200 THEN q1.q WHEN q2.n >= 200 THEN q2.q ELSE q3.q END AS q,
-    CASE q1.rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 400 WHEN 'repeats' THEN 300 ELSE 2000 END AS m
+    CASE q1.rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 250 WHEN 'repeats' THEN 150 ELSE 2000 END AS m
     FROM q1 JOIN q2 ON q1.rule = q2.rule AND q1.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q3.rule = q1.rule),
 h AS (SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN hi END) AS hs, max(CASE WHEN rule = 'dup_lines' THEN hi END) AS hd, max(CASE WHEN rule = 'repeats' THEN hi END) AS hr,
     max(CASE WHEN rule = 'mean_length' THEN hi END) AS hm, max(CASE WHEN rule = 'mean_length' THEN lo END) AS lm

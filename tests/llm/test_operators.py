@@ -220,6 +220,26 @@ def test_quality(docs, none, spark):
     assert kept == set(range(300))
 
 
+def test_each_adaptive_rule_rejects_its_outlier_and_keeps_the_group(spark):
+    word = lambda i, n: [f"word{i}x{k:02}" for k in range(n)]
+    group = [(i, " ".join(word(i, 40)), "en", "s", 0) for i in range(100, 400)]
+    near = word(1, 112)
+    near[60:68] = near[10:18]
+    lines = [" ".join(word(f"{k}y", 4)) for k in range(6)]
+    twice = word(4, 100)
+    twice[60:74] = twice[10:24]
+    outliers = {
+        "symbols": " ".join(w + "#" * (k % 5 == 0) for k, w in enumerate(word(2, 100))), "dup_lines": "\n".join([*lines, lines[0], lines[2], lines[4], lines[1]]),
+        "repeats": " ".join(twice), "mean_length": " ".join(w + "z" * 20 for w in word(5, 40)),
+    }
+    rows = [*group, (1, " ".join(near), "en", "s", 0), *[(10 + k, t, "en", "s", 0) for k, t in enumerate(outliers.values())]]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if r["kept"]} == {1, *range(100, 400)}
+    found = {rule: (r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for rule, r in zip(outliers, (got[10 + k] for k in range(4)))}
+    assert found == {"symbols": (20, 0, 0), "dup_lines": (0, 4, 0), "repeats": (0, 0, 28), "mean_length": (0, 0, 0)}
+
+
 def test_digest_column(docs):
     row = docs.where("doc_id = 4").select(F.crc32(F.encode("text", "UTF-8")).alias("c")).collect()[0]
     assert row["c"] == zlib.crc32(corpus()[4][1].encode())
