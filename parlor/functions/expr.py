@@ -75,13 +75,14 @@ def seen_map(metadata: Col) -> Column:
     return F.from_json(F.get_json_object(_c(metadata), "$._seen_"), "map<string,bigint>")
 
 
-def is_new(metadata: Col, owner: Col, uid: Col) -> Column:
+def is_new(metadata: Col, owner: Col, uid: Col, sys_id: Col | None = None, seen_upto: Col | None = None) -> Column:
     """A file is new for a user who does not own it and is not in its ``_seen_`` map.
 
-    Missing, invalid or empty metadata, or metadata without the map, is never new.
+    Missing, invalid or empty metadata, or metadata without the map, is never new; nor is a file up to the user's ``seen_upto``, if given.
     """
     seen = seen_map(metadata)
-    return flag(F.try_parse_json(_c(metadata)).isNotNull() & seen.isNotNull()
+    beyond = F.lit(True) if seen_upto is None else F.coalesce(_c(sys_id) > _c(seen_upto), F.lit(True))
+    return flag(beyond & F.try_parse_json(_c(metadata)).isNotNull() & seen.isNotNull()
                 & ~F.map_contains_key(seen, _c(uid)) & (_c(owner) != _c(uid)))
 
 

@@ -19,20 +19,29 @@ def seen_rows(hub_media: DataFrame) -> DataFrame:
     return hub_media.select("hub_id", "sys_id", F.explode(F.map_keys(X.seen_map("metadata"))).alias("uid"))
 
 
-def new_files(hub_media: DataFrame, members: DataFrame) -> DataFrame:
+def new_files(hub_media: DataFrame, members: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
     """Files that are new to each member: ``(hub_id, uid, cnt, ctime)`` with the newest one's time.
 
     New to a member = all candidate files of the room minus those the member owns or has seen; the newest
     comes from the first gap in the member's exclusions.  Linear in files, readers and members.
+    ``cleared(hub_id, uid, seen_upto)`` of ``clear_file_markers``: files up to ``seen_upto`` are not new to that member.
     """
     candidates = hub_media.where(X.is_visible("file_path", "category")).where(F.get_json_object("metadata", "$._seen_").isNotNull())
     files = candidates.select("hub_id", "sys_id", F.col("upload_time").alias("ctime"))
     known = seen_rows(candidates).unionByName(candidates.select("hub_id", "sys_id", F.col("owner_id").alias("uid")))
     total = files.groupBy("hub_id").agg(F.count(F.lit(1)).alias("total"))
-    newest = first_not_excluded(files, members.select("hub_id", "uid"), known, ["hub_id"], "uid", "sys_id", hidden_count="known")
+    people = members.select("hub_id", "uid")
+    if cleared is None:
+        people = people.withColumns({"seen_upto": F.lit(None).cast("bigint"), "upto": F.lit(0).cast("bigint")})
+    else:
+        marks = cleared.groupBy("hub_id", "uid").agg(F.max("seen_upto").alias("seen_upto"))
+        known = known.join(marks, ["hub_id", "uid"], "left").where("seen_upto IS NULL OR sys_id > seen_upto").drop("seen_upto")
+        upto = count_upto(files.select("hub_id", "sys_id"), marks.withColumnRenamed("seen_upto", "sys_id"), ["hub_id"], "sys_id", "upto")
+        people = people.join(upto.select("hub_id", "uid", F.col("sys_id").alias("seen_upto"), "upto"), ["hub_id", "uid"], "left").withColumn("upto", F.coalesce("upto", F.lit(0)))
+    newest = first_not_excluded(files, people, known, ["hub_id"], "uid", "sys_id", hidden_count="known")
     return (
-        newest.where("sys_id IS NOT NULL").join(total, "hub_id")
-        .select("hub_id", "uid", (F.col("total") - F.col("known")).alias("cnt"), "ctime")
+        newest.where("sys_id IS NOT NULL AND (seen_upto IS NULL OR sys_id > seen_upto)").join(total, "hub_id")
+        .select("hub_id", "uid", (F.col("total") - F.col("upto") - F.col("known")).alias("cnt"), "ctime")
     )
 
 
@@ -72,10 +81,11 @@ def ticket_items(ticket: DataFrame, read_ticket: DataFrame, user_dir: DataFrame,
 def notification_items(
     contact: DataFrame, user_dir: DataFrame, channel: DataFrame, read_channel: DataFrame, rooms: DataFrame, team_channel: DataFrame,
     team_read: DataFrame, hub_media: DataFrame, ticket: DataFrame, read_ticket: DataFrame, support_domain: int = 0,
+    cleared: DataFrame | None = None,
 ) -> DataFrame:
     """The feed before grouping.  Team messages and files arrive counted per (member, room), all else one row each.
 
-    ``rooms(owner_id, hub_id, area)`` are the rooms on each desk outside the guest area.
+    ``rooms(owner_id, hub_id, area)`` are the rooms on each desk outside the guest area, ``cleared`` the file markers as in ``new_files``.
     """
     one = F.lit(1).cast("bigint")
     null = F.lit(None).cast("string")
@@ -95,7 +105,7 @@ def notification_items(
             F.lit(category).alias("category"), "cnt")
 
     team = room_items(team_pending(team_channel, team_read), "teamchat")
-    files = room_items(new_files(hub_media, desk), "media")
+    files = room_items(new_files(hub_media, desk, cleared), "media")
     tickets = ticket_items(ticket, read_ticket, user_dir, support_domain).select(
         "owner_id", F.col("entity_id").alias("resource_id"), "entity_id", F.lit(TICKETS).alias("hub_id"), "ctime", F.lit("personal").alias("area"),
         F.lit("ticket").alias("category"), "cnt")

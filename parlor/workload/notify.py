@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from parlor.functions import expr as X
+from parlor.operators import message_changes as JM
 from parlor.operators import notify as N
+from parlor.workload.changes import CLEARING, ROOMS
 from parlor.workload.fixtures import Tables
 
 DESK = "SELECT m.uid AS owner_id, m.hub_id AS hub_id, h.area AS area FROM hub_member m JOIN hub h ON h.id = m.hub_id WHERE h.area <> 'dmz'"
@@ -14,14 +16,24 @@ ACKS = """SELECT id, 'u' || CAST(sys_id % 9 AS STRING) AS uid, CASE WHEN sys_id
   FROM hub_media"""
 
 
-def _items(t: Tables):
+def _items(t: Tables, cleared=None):
     return N.notification_items(
-        t.contact, t.user_dir, t.channel, t.read_channel, t.sql(DESK), t.team_channel, t.team_read, t.hub_media, t.ticket, t.read_ticket_channel)
+        t.contact, t.user_dir, t.channel, t.read_channel, t.sql(DESK), t.team_channel, t.team_read, t.hub_media, t.ticket, t.read_ticket_channel, cleared=cleared)
+
+
+def _cleared(t: Tables):
+    """Markers of users who cleared everything while every tenth file was yet to come."""
+    early = t.hub_media.where("sys_id % 10 <> 9")
+    return JM.clear_file_markers(t.sql(CLEARING), t.sql(ROOMS), early)
 
 
 QUERIES = {
     "media_new": lambda t: t.sql(VIEWERS).select("hub_id", "id", "uid", X.is_new("metadata", "owner_id", "uid").alias("is_new")),
     "new_files": lambda t: N.new_files(t.hub_media, t.hub_member),
+    "new_files_after_clear": lambda t: N.new_files(t.hub_media, t.hub_member, _cleared(t)),
+    "notification_items_after_clear": lambda t: _items(t, _cleared(t)),
+    "notification_center_after_clear": lambda t: N.notification_center(_items(t, _cleared(t)), t.contact, t.contact_email, t.user_dir, t.hub, t.map_tag, t.tag),
+    "notification_entity_after_clear": lambda t: N.notification_entity(_items(t, _cleared(t)), t.sql(DESK), t.user_dir),
     "media_notified": lambda t: t.sql(ACKS).select("id", "uid", X.is_notified("metadata", "uid").alias("notified")),
     "visible_media": lambda t: t.hub_media.where(X.is_visible("file_path", "category")).select("hub_id", "id", X.clean_path("file_path").alias("path")),
     "calendar_filter": lambda t: t.block_history.where(X.in_calendar(F.col("ctime") + F.col("serial") * 4000, month=3, year=2002)).select("serial", "ctime"),
@@ -54,6 +66,9 @@ _ITEMS = f"""{_NEW}, desk AS ({DESK}), items AS (
     JOIN read_ticket_channel r ON r.uid = u.id JOIN ticket t ON t.ticket_id = r.ticket_id WHERE u.domain_id = 0 AND t.last_sys_id > r.ref_sys_id
   UNION ALL SELECT u.id, 'unmarked', 'unmarked', 'Support Ticket', NULL, 'personal', 'ticket', count(*) FROM user_dir u JOIN ticket t ON t.last_sys_id > 0
     WHERE u.domain_id = 0 AND NOT EXISTS (SELECT 1 FROM read_ticket_channel r WHERE r.ticket_id = t.ticket_id AND r.uid = u.id) GROUP BY u.id)"""
+_CLEARED = f"""clr AS (SELECT r.hub_id, r.owner_id AS uid, max(f.sys_id) AS seen_upto FROM ({ROOMS}) r JOIN hub_media f ON f.hub_id = r.hub_id AND f.sys_id % 10 <> 9
+    WHERE r.area IN ('private', 'share', 'public') AND r.owner_id IN ({CLEARING}) GROUP BY r.hub_id, r.owner_id),
+  {_NEW.replace("AND f.owner_id <> m.uid", "AND f.owner_id <> m.uid AND NOT EXISTS (SELECT 1 FROM clr WHERE clr.hub_id = m.hub_id AND clr.uid = m.uid AND f.sys_id <= clr.seen_upto)")}"""
 _COUNTS = "SELECT owner_id, entity_id, hub_id, category, area, CAST(sum(cnt) AS BIGINT) AS cnt, max(ctime) AS ctime FROM items GROUP BY ALL"
 
 ORACLES = {
@@ -98,3 +113,4 @@ ORACLES = {
     "mark_unread": "SELECT owner_id, conversation_id, count(*) AS count FROM mark WHERE status = 'new' GROUP BY ALL",
     "mark_unread_total": "SELECT owner_id, count(*) AS count FROM mark WHERE status = 'new' GROUP BY ALL",
 }
+ORACLES |= {f"{n}_after_clear": ORACLES[n].replace(_NEW, _CLEARED) for n in ("new_files", "notification_items", "notification_center", "notification_entity")}

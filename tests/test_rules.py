@@ -11,6 +11,7 @@ from parlor.operators import grants as G
 from parlor.operators import message_changes as JM
 from parlor.operators import room_changes as JR
 from parlor.operators import messaging as M
+from parlor.operators import notify as N
 from parlor.operators import pages as P
 from parlor.operators import search as S
 from parlor.operators import trees
@@ -39,6 +40,19 @@ def test_is_new(spark):
     assert [r[1] for r in rows(df.select("i", X.is_new("m", "o", F.lit("u9"))))] == [1, 0, 1, 0, 0, 0, 0]
 
 
+def test_cleared_files_are_not_new(spark):
+    media = spark.createDataFrame(
+        [("h", s, "u1", "/f", "doc", 10 * s, '{"_seen_":{"u3":1}}' if s % 2 else '{"_seen_":{}}') for s in range(1, 6)],
+        "hub_id string, sys_id bigint, owner_id string, file_path string, category string, upload_time bigint, metadata string")
+    members = spark.createDataFrame([("h", u) for u in ("u1", "u2", "u3", "u4")], "hub_id string, uid string")
+    rooms, who = members.select("hub_id", F.col("uid").alias("owner_id"), F.lit("private").alias("area")), members.where("uid IN ('u2', 'u3')").select("uid")
+    assert rows(N.new_files(media, members, JM.clear_file_markers(who, rooms, media))) == [("h", "u4", 5, 50)]
+    early = JM.clear_file_markers(who, rooms, media.where("sys_id <= 3"))
+    assert rows(N.new_files(media, members, early)) == [("h", "u2", 2, 50), ("h", "u3", 1, 40), ("h", "u4", 5, 50)]
+    marked = media.join(early.where("uid = 'u2'"), "hub_id").select("sys_id", X.is_new("metadata", "owner_id", "uid", "sys_id", "seen_upto").alias("n"))
+    assert rows(marked) == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
+
+
 def test_calendar(spark):
     df = spark.createDataFrame([(1, 1704067199), (2, 1704067200), (3, 1706745600), (4, 1735689600)], "i int, t bigint")
     assert rows(df.where(X.in_calendar("t", year=2024)), "i") == [(2,), (3,)]
