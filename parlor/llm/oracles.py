@@ -49,7 +49,58 @@ pl AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM pw)
 cut AS (SELECT pl.doc_id, count(pg.i)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pl.i) FILTER (pg.i IS NULL) AS kept
     FROM pl LEFT JOIN pg ON pg.doc_id = pl.doc_id AND pg.i = pl.i GROUP BY pl.doc_id)"""
 
+#: Table of the 32-bit cyclic redundancy check, one row with a list.
+_CRC_TABLE = "ct AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    """Checksum of a text of code points below 256, where ``ct`` is joined."""
+    points = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+    utf8 = f"flatten(list_transform({points}, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {utf8}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_RUN = "string_agg(CASE WHEN n.pos = o.pos // (3 ** n.lv)::BIGINT THEN '|' ELSE n.h END, '' ORDER BY n.pos)"
+#: Trees by levels; a run on the way up is the text of its nodes with a bar at its own place.
+MERKLE = f"""WITH RECURSIVE {_CRC_TABLE},
+t0 AS (SELECT *, CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS received FROM documents, ct),
+t1 AS (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("received")} AS checked FROM t0),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM t1),
+nodes AS (SELECT 0 AS lv, source, pos, size, leaf AS h FROM l
+    UNION ALL SELECT lv + 1, source, pos // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE size > 1 GROUP BY lv, source, pos // 3, size),
+sub AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1),
+tops AS (SELECT 0 AS lv, pos, size, h FROM sub UNION ALL SELECT lv + 1, pos // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE size > 1 GROUP BY lv, pos // 3, size),
+s1 AS (SELECT o.source, o.pos, n.lv, {_RUN} AS run FROM l o JOIN nodes n ON n.source IS NOT DISTINCT FROM o.source AND n.size > 1 AND n.pos // 3 = o.pos // (3 ** (n.lv + 1))::BIGINT GROUP BY ALL),
+s2 AS (SELECT o.source, n.lv + 1000 AS lv, {_RUN} AS run FROM sub o JOIN tops n ON n.size > 1 AND n.pos // 3 = o.pos // (3 ** (n.lv + 1))::BIGINT GROUP BY o.source, o.pos, n.lv),
+steps AS (SELECT source, pos, list(run ORDER BY lv) AS runs FROM (SELECT * FROM s1 UNION ALL SELECT l.source, l.pos, lv, run FROM l JOIN s2 ON l.source IS NOT DISTINCT FROM s2.source) GROUP BY ALL),
+f AS (SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM tops WHERE size = 1) AS root, sha256(replace(coalesce(array_to_string(runs, ''), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(checked, coalesce(runs, [])), lambda a, x: sha256(replace(x, '|', a))) AS folded_root
+    FROM l JOIN sub ON l.source IS NOT DISTINCT FROM sub.source LEFT JOIN steps ON l.source IS NOT DISTINCT FROM steps.source AND l.pos = steps.pos)
+SELECT *, folded_root = root AS verified FROM f"""
+
+#: Near words meet by what is left of them without one letter.
+SPELLING = f"""WITH RECURSIVE {_CRC_TABLE},
+w0 AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+w1 AS (SELECT d, run, count(*) AS c FROM w0 WHERE length(run) >= 6 GROUP BY ALL),
+w2 AS (SELECT run, c, {_crc("d || ':' || run")} AS h FROM w1, ct),
+w3 AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM w2),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w3 WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+dl AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other FROM dl a JOIN dl b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM dl a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word FROM dl a JOIN v b ON a.rest = b.word),
+g AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS best, max(v.n) AS best_n FROM near JOIN v ON v.word = other GROUP BY 1),
+f AS (SELECT v.word, CASE WHEN best_n >= 5 * v.n THEN best END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at AND e.form IS NULL"""
+
 ORACLES = {
+    "op12_merkle": MERKLE,
+    "op13_spelling": SPELLING,
     "op2_line_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {LINES} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM deduped",
     "op10_substring_dedup": f"WITH d AS (SELECT doc_id, text FROM documents), {PASSAGES} "
     "SELECT pw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM pw LEFT JOIN cut USING (doc_id)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprint, line_dedup, minhash, packing, quality, substring_dedup, url_filter, warc
+from . import bpe, chat, fingerprint, line_dedup, merkle, minhash, packing, quality, simhash, spelling, substring_dedup, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,4 +73,18 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", digest(F.array_join(words, " ")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_warc, op6_bpe, op7_minhash, op8_fingerprints, op9_quality_rules, op10_substring_dedup)}
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), width=4)
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, folder, "documents"), tampered)
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_line_dedup, op3_chat_formatting, op4_url_filters, op5_warc, op6_bpe, op7_minhash, op8_fingerprints, op9_quality_rules, op10_substring_dedup, op11_simhash, op12_merkle, op13_spelling)}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parlor.llm import bpe, chat, fingerprint, line_dedup, minhash, packing, quality, queries, substring_dedup, url_filter, warc
+from parlor.llm import bpe, chat, fingerprint, groups, line_dedup, minhash, packing, quality, queries, substring_dedup, url_filter, warc
 
 from . import brute
 
@@ -79,7 +79,7 @@ def test_members_that_miss_the_hub(spark):
 
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert minhash.components(edges).select("label").distinct().count() == 1
+    assert groups.components(edges).select("label").distinct().count() == 1
 
 
 def test_substring_dedup(docs, none):
