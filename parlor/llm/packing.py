@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -66,33 +67,39 @@ def _pieces(path: str, size: int, end: int):
         encoder, counts, part = ChunkEncoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in slices(batches, "text"):
             ids, bounds = encoder.encode(batch["text"])
-            rows = []
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                own = np.append(ids[a:b], np.uint32(end))
-                for start in range(0, len(own), size):
-                    piece = own[start : start + size]
-                    rows.append((i, start, len(piece), piece.astype("<u4").tobytes(), len(own), counts[len(piece)]))
-                    counts[len(piece)] += 1
-            at, *columns = zip(*rows) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.record_batch([batch["doc_id"].take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)], pa.array(np.full(len(at), part))], names=["doc_id", "start", "length", "ids", "doc_tokens", "number", "part"])
+            own = np.diff(bounds) + 1  # with the end id
+            own_ids = np.insert(ids, bounds[1:], np.uint32(end)).astype("<u4", copy=False)
+            pieces = -(-own // size)
+            of = np.repeat(np.arange(len(own)), pieces)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = place * size
+            length = np.minimum(own[of] - start, size)
+            # pieces of one length are numbered in order, on from those before
+            order = np.argsort(length, kind="stable")
+            some, first, n = np.unique(length[order], return_index=True, return_counts=True)
+            number = np.empty(len(of), np.int64)
+            number[order] = np.arange(len(of)) - np.repeat(first, n) + counts[length[order]]
+            counts[some] += n
+            offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(own_ids.tobytes())])
+            columns = [batch["doc_id"].take(pa.array(of)), pa.array(start), pa.array(length), packed, pa.array(own[of]), pa.array(number), pa.array(np.full(len(of), part))]
+            yield pa.record_batch(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "number", "part"])
 
     return run
 
 
 def _placed(plan: np.ndarray):
-    """Adds sequence and offset by a search for (length, rank) among the segments."""
+    """Sequence and offset by a search for (length, rank) among the segments."""
     keys = (plan[:, 0] << 44) + plan[:, 1]
 
-    def run(batches):
-        for batch in batches:
-            length, rank = np.asarray(batch["length"]), np.asarray(batch["rank"])
-            seg = plan[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
-            k = rank - seg[:, 1]
-            sequence, offset = seg[:, 3] + k // seg[:, 4], seg[:, 5] + k % seg[:, 4] * length
-            yield pa.record_batch([*[batch[c] for c in ("doc_id", "start", "length", "ids", "doc_tokens")], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        seg = plan[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
+        k = rank - seg[:, 1]
+        return pd.DataFrame({"sequence_id": seg[:, 3] + k // seg[:, 4], "offset": seg[:, 5] + k % seg[:, 4] * length})
 
-    return run
+    return place
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
@@ -104,9 +111,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     shares = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "shares")
     histogram = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shares.select("length", "part", before.alias("before"))
-    ranked = pieces.join(starts, ["length", "part"]).select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("number") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(pack(histogram, size)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    # one row a task: for each length the pieces of earlier tasks
+    counts = F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m")
+    starts = shares.select("length", "part", before.alias("before")).groupBy("part").agg(counts)
+    starts = stored(starts.select("part", F.transform(F.sequence(F.lit(0), F.lit(size)), lambda n: F.coalesce(F.col("m")[n.cast("long")], F.lit(0))).alias("before")), "starts")
+    ranked = pieces.join(starts, "part").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("number") + F.get("before", F.col("length").cast("int"))).alias("rank"))
+    placed = ranked.withColumn("at", _placed(pack(histogram, size))("length", "rank"))
+    return placed.select("doc_id", "start", "length", "ids", "doc_tokens", "at.sequence_id", "at.offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
