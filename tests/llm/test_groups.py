@@ -3,10 +3,13 @@
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from parlor.llm import merkle, simhash, spelling
+from parlor.llm import merkle, minhash, packing, simhash, spelling, tokens
 
 from . import brute
 from .test_operators import SCHEMA, corpus, docs, none, prose  # noqa: F401
@@ -148,3 +151,81 @@ def test_vocabulary(spark):
     assert {tuple(r) for r in spelling.vocabulary(rows, every=10**9, min_count=1).collect()} == {("letters", 18), ("Étéééé", 3)}
     misspelt = {r["word"]: r["n"] for r in spelling.vocabulary(rows, every=1, min_count=1).collect()}
     assert sum(misspelt.values()) == 18 and all(len(w) == 6 for w in misspelt)  # letters of six lose one and are too short
+
+
+def test_rows_without_id_and_of_one_id(spark):
+    base = [f"w{k}" for k in range(200)]
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (20, 90, 150)]
+    far = prose(200, 7)
+    rows = [(None, near[0], 1), (None, near[1], 2), (9, near[2], 3), (9, far, 4), (4, far, 5), (4, far, 6), (None, "", 7), (None, None, 8), (3, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 long").withColumn("all", F.lit("x")).withColumn("node", F.lit("y"))  # noqa: F811
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, None, True), (0, 0, None, True), (0, 196, 9, False), (0, 196, 9, False), (3, 0, 3, True), (4, 196, 4, True), (4, 196, 4, True), (9, 196, 4, False), (9, 196, 9, True)]
+    left = minhash.keep_one(docs)
+    assert left.columns == docs.columns
+    kept = sorted(r["h1"] for r in left.collect())
+    assert kept[0] == 3 and kept[1] in (5, 6) and kept[2:] == [7, 8, 9]
+    lone = minhash.near_duplicates(docs.where("doc_id IS NULL")).where("n_shingles > 0").collect()
+    assert [(r["component_id"], r["kept"]) for r in lone] == [(None, True)] * 2 and minhash.keep_one(docs.where("h1 < 3")).count() == 1
+    assert minhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_recall_among_many_relatives(spark):
+    """400 relatives at 0.6 that share their buckets, and for every fourth a partner at 0.80 to 0.85."""
+    r = random.Random(1)
+    base, texts, partners = [f"w{k}" for k in range(200)], [], []
+    shingles = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    for m in range(400):
+        w = list(base)
+        for j in r.sample(range(200), 6):
+            w[j] = f"x{m}_{j}"
+        texts.append(w)
+        while m % 4 == 0:
+            v = list(w)
+            for j in r.sample(range(200), 5):
+                v[j] = f"y{m}_{j}"
+            a, b = shingles(w), shingles(v)
+            if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                partners.append((len(texts) - 1, len(texts)))
+                texts.append(v)
+                break
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")  # noqa: F811
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, width=4).collect()}
+    caught = sum(got[a] == got[b] for a, b in partners)
+    assert len(partners) == 100 and caught >= 95
+    assert sum(i != c for i, c in got.items()) <= 100  # relatives are no links
+
+
+def test_lots_of_one_hub(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LOT", 3)
+    base = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(base[:k] + ["z"] + base[k + 1 :])) for k in range(30)], "doc_id long, text string")  # noqa: F811
+    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {0}
+
+
+def test_padding(spark):
+    """Sequences of the packing are filled but for a hundredth of their places."""
+    r = random.Random(2)
+    docs = spark.createDataFrame([(None if k == 7 else k // 2, prose(int(r.lognormvariate(4, 1)) + 1, k)) for k in range(1200)], "doc_id long, text string")  # noqa: F811
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=512).select("doc_id", "sequence_id", "offset", "length").collect()
+    ends = {}
+    for x in rows:
+        ends.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for parts in ends.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert sorted(ends) == list(range(len(ends))) and sum(x["length"] for x in rows) >= 0.99 * 512 * len(ends)
+    assert sum(x["doc_id"] is None for x in rows) >= 1
+
+
+def test_pieces_are_those_of_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, r = Tokenizer.from_file(path), tokens.ChunkEncoder(path), random.Random(4)
+    bits = ["don't", "IT'S", "'s", "''s", ".'s", "Ñandú", "×", "a÷b", "<|startoftext|>", "<|STARTOFTEXT|>", "<", "12a3", "²", "İ", "ſ", "日本", "ﬁ", "...", "a-b_c", "\x00", "\x7f", "ß", "Ÿ", "é", "\x85", "º"]
+    texts = ["".join(r.choice(bits) + r.choice(["", "", " ", "\n"]) for _ in range(r.randrange(12))) for _ in range(800)] + ["", None, " "]
+    ids, bounds = own.encode(pa.array(texts))
+    for k, x in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(x or "", add_special_tokens=False).ids

@@ -29,4 +29,4 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(n for n in names if n.startswith("op")) and len([n for n in names if n.startswith("op") and n[2].isdigit()]) == 10
+    assert "pipeline" in names and sorted(n for n in names if n.startswith("op")) and len([n for n in names if n.startswith("op") and n[2].isdigit()]) == 13
