@@ -17,24 +17,27 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the thresholds of their source and language; null and blank texts go, nulls in other columns are groups of their own."""
     return quality.filter_documents(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
+    """All rows, their texts without the lines that later documents hold; null text becomes empty, an empty table stays empty."""
     return _as_documents(line_dedup.dedup_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least id."""
-    good = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(good, F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_kept"), "left_semi")
+    """One row of each group stays: that of least id, rows without id last; of equal rows one. Rows without words all stay."""
+    return minhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
+    """All rows, their texts without passages that a document of smaller id holds."""
     return _as_documents(substring_dedup.remove_repeats(docs), docs)
 
 
 def packed(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; see ``packing``."""
     out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -52,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage_{name}")
