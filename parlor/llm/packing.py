@@ -111,10 +111,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     shares = stored(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "shares")
     histogram = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def by_length(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(size + 1, np.int64)
+        counts[rows["length"]] = rows["before"]
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "before": [counts]})
+
     # one row a task: for each length the pieces of earlier tasks
-    counts = F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("m")
-    starts = shares.select("length", "part", before.alias("before")).groupBy("part").agg(counts)
-    starts = stored(starts.select("part", F.transform(F.sequence(F.lit(0), F.lit(size)), lambda n: F.coalesce(F.col("m")[n.cast("long")], F.lit(0))).alias("before")), "starts")
+    starts = stored(shares.select("length", "part", before.alias("before")).groupBy("part").applyInPandas(by_length, "part long, before array<long>"), "starts")
     ranked = pieces.join(starts, "part").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("number") + F.get("before", F.col("length").cast("int"))).alias("rank"))
     placed = ranked.withColumn("at", _placed(pack(histogram, size))("length", "rank"))
     return placed.select("doc_id", "start", "length", "ids", "doc_tokens", "at.sequence_id", "at.offset")

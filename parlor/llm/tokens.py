@@ -61,7 +61,7 @@ def cut(texts: pa.Array) -> tuple[Words, np.ndarray]:
 class ChunkEncoder:
     """Pieces are found by a 64-bit hash. The cache is emptied when it holds ``most`` pieces."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.symbols = {i: s for i, s in enumerate(byte_symbols())}
@@ -86,10 +86,8 @@ class ChunkEncoder:
             else:
                 out.append(None)
         odd = [k for k, ids in enumerate(out) if ids is None]
-        for at in range(0, len(odd), _LOT):
-            some = odd[at : at + _LOT]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)):
-                out[k] = e.ids
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False)):
+            out[k] = e.ids
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +102,16 @@ class ChunkEncoder:
         at[which[::-1]] = np.arange(len(which))[::-1]
         new = np.flatnonzero(rows < 0)
         data, some = words.buf.tobytes(), at[new]
-        ids = self._encode([data[a:b].decode() for a, b in zip(words.starts[some].tolist(), words.ends[some].tolist())], plain[some].tolist())
         rows[new] = np.arange(len(new)) + len(self.lengths)
         self.known.update(zip(distinct[new].tolist(), rows[new].tolist()))
-        self.lengths = lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+        sizes, more = [self.lengths], [self.flat]
+        for k in range(0, len(some), _LOT):
+            part = some[k : k + _LOT]
+            ids = self._encode([data[a:b].decode() for a, b in zip(words.starts[part].tolist(), words.ends[part].tolist())], plain[part].tolist())
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            more.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        self.lengths = lengths = np.concatenate(sizes)
+        self.flat = np.concatenate(more)
         first = np.concatenate([[0], np.cumsum(lengths)])
         row = rows[which]
         n = lengths[row]
