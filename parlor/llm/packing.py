@@ -24,6 +24,7 @@ from .tokens import ChunkEncoder
 from .words import slices
 
 SIZE, END = 4096, 2
+_SLICE_BYTES = 1 << 20
 
 
 def pack(histogram: dict[int, int], size: int = SIZE) -> np.ndarray:
@@ -65,7 +66,7 @@ def pack(histogram: dict[int, int], size: int = SIZE) -> np.ndarray:
 def _pieces(path: str, size: int, end: int):
     def run(batches):
         encoder, counts, part = ChunkEncoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE_BYTES):
             ids, bounds = encoder.encode(batch["text"])
             own = np.diff(bounds) + 1  # with the end id
             own_ids = np.insert(ids, bounds[1:], np.uint32(end)).astype("<u4", copy=False)
