@@ -1,25 +1,31 @@
-"""Stateful behaviours as Structured Streaming jobs, each equal to its batch twin once all input is in."""
+"""Stateful behaviours as Structured Streaming jobs, each equal to its batch twin once all input is in.
+
+State is Spark's own: built-in aggregation, or a processor with map and value state, on RocksDB. A batch reads and writes the state of its own keys only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from parlor.operators import contact_changes as JC
-from parlor.operators import messaging as M
 from parlor.operators import room_changes as JR
 from parlor.operators.message_changes import both_inboxes
-from parlor.streaming.store import AppendStore, KeyedStore
+from parlor.streaming.outputs import Output, State, state_on_disk
 
 BOX = ["owner_id", "entity_id"]
 
 
-def _start(stream: DataFrame, root: str, each=None, mode: str = "update") -> StreamingQuery:
+def start(stream: DataFrame, root: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "update") -> StreamingQuery:
+    """An ``availableNow`` query with its checkpoint under ``root``; without ``each`` its rows go nowhere and its state is the result."""
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True)
-    return writer.foreachBatch(each).start()
+    with state_on_disk(stream.sparkSession):
+        return (writer.foreachBatch(each) if each else writer.format("noop")).start()
 
 
 def run(query: StreamingQuery) -> None:
@@ -27,40 +33,32 @@ def run(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def fold_stream(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], root: str, schema: str) -> tuple[StreamingQuery, KeyedStore]:
-    """Built-in streaming aggregation per key; each batch stores only the keys it changed.
+def fold_stream(stream: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], root: str, schema: str, columns: Sequence[str] = ("*",)) -> tuple[StreamingQuery, Output]:
+    """Built-in streaming aggregation per key; each batch writes only the keys it changed.
 
-    Fits states that late rows can only raise: maxima, last-by-position, counts.
+    Fits states that do not hang on the order of rows: maxima, first and last by position, counts.
     """
-    store = KeyedStore(stream.sparkSession, f"{root}/state", schema, keys)
-    grouped = stream.groupBy(*keys).agg(*aggregates)
-    return _start(grouped, root, lambda df, n: store.write(df, n)), store
+    out = Output(stream.sparkSession, f"{root}/state", schema, keys)
+    grouped = stream.groupBy(*keys).agg(*aggregates).select(*columns)
+    return start(grouped, root, out.write), out
 
 
-MESSAGE = "owner_id string, entity_id string, message_id string, author_id string, message string, sys_id bigint, ctime bigint"
+MESSAGE = "owner_id string, message_id string, entity_id string, author_id string, message string, sys_id bigint, ctime bigint"
 
 
-def stream_messages(posts: DataFrame, root: str) -> tuple[StreamingQuery, AppendStore]:
+def stream_messages(posts: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     """``posts(seq, ts, author_id, entity_id, message_id, message, ctime)`` once per inbox, however late they come.
 
-    Of the rows of one message in a batch the first by ``seq`` counts; one that the stored inbox has already is dropped.
+    Of the rows of one message the first by ``seq`` counts, also if it comes after others; keys are kept without a watermark.
     """
-    store = AppendStore(posts.sparkSession, f"{root}/inbox", MESSAGE)
-    rows = both_inboxes(posts)
-    rest = ("entity_id", "author_id", "message", "seq", "ctime")
-
-    def each(df: DataFrame, n: int) -> None:
-        once = df.groupBy("owner_id", "message_id").agg(F.min_by(F.struct(*rest), "seq").alias("m")).select("owner_id", "message_id", "m.*")
-        new = once.join(store.read(n).select("owner_id", "message_id"), ["owner_id", "message_id"], "left_anti")
-        store.write(new.select("owner_id", "entity_id", "message_id", "author_id", "message", F.col("seq").alias("sys_id"), "ctime"), n)
-
-    return _start(rows, root, each, "append"), store
+    row = F.struct("entity_id", "author_id", "message", F.col("seq").alias("sys_id"), "ctime")
+    return fold_stream(both_inboxes(posts), ["owner_id", "message_id"], [F.min_by(row, "seq").alias("m")], root, MESSAGE, ("owner_id", "message_id", "m.*"))
 
 
 LAST = "owner_id string, entity_id string, m struct<sys_id:bigint,message:string,ctime:bigint,is_attachment:int>"
 
 
-def stream_last_message(channel: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
+def stream_last_message(channel: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     row = F.struct("sys_id", F.left("message", F.lit(100)).alias("message"), "ctime", F.when(F.col("attachment").isNotNull(), 1).otherwise(0).alias("is_attachment"))
     return fold_stream(channel, BOX, [F.max_by(row, "sys_id").alias("m")], root, LAST)
 
@@ -68,7 +66,7 @@ def stream_last_message(channel: DataFrame, root: str) -> tuple[StreamingQuery,
 MARKER = "owner_id string, entity_id string, uid string, ref_sys_id bigint"
 
 
-def stream_markers(acks: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
+def stream_markers(acks: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     """``acks(owner_id, entity_id, uid, sys_id)``: markers only rise."""
     return fold_stream(acks, [*BOX, "uid"], [F.max("sys_id").alias("ref_sys_id")], root, MARKER)
 
@@ -76,40 +74,76 @@ def stream_markers(acks: DataFrame, root: str) -> tuple[StreamingQuery, KeyedSto
 EVENT = "kind string, owner_id string, entity_id string, uid string, author_id string, message_id string, sys_id bigint"
 
 
-def stream_unread(events: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
-    """Unread count per inbox from ``events(kind message|ack, …)``.
+class _Unread(StatefulProcessor):
+    """State of an inbox: its owner's marker, the count above it, and the positions above it by blocks of WIDTH.
 
-    A batch adds its messages and raises its markers, then counts again only the rooms it touched.  An
-    acknowledgement may come before its message: the marker is raised, and the message counts as read on arrival.
+    A message adds its position to one block; a raised marker drops the blocks below it and cuts the one it lies in, so a position is added
+    and taken away once, and a batch touches the blocks of its own messages.
     """
-    spark = events.sparkSession
-    messages = KeyedStore(spark, f"{root}/messages", "owner_id string, message_id string, entity_id string, author_id string, sys_id bigint", ["owner_id", "message_id"])
-    markers = KeyedStore(spark, f"{root}/markers", MARKER, [*BOX, "uid"])
-    counts = KeyedStore(spark, f"{root}/counts", "owner_id string, entity_id string, room_count bigint", BOX)
 
-    def each(df: DataFrame, n: int) -> None:
-        messages.write(df.where("kind = 'message'").select("owner_id", "message_id", "entity_id", "author_id", "sys_id").dropDuplicates(["owner_id", "message_id"]), n)
-        raised = df.where("kind = 'ack'").select(*BOX, "uid", F.col("sys_id").alias("ref_sys_id"))
-        touched = raised.select(*BOX, "uid").distinct()
-        old = markers.read(n).join(touched, [*BOX, "uid"], "left_semi")
-        markers.write(old.unionByName(raised).groupBy(*BOX, "uid").agg(F.max("ref_sys_id").alias("ref_sys_id")), n)
-        rooms = df.select(*BOX).distinct()
-        again = M.unread_direct(messages.read(n + 1).join(rooms, BOX, "left_semi"), markers.read(n + 1).join(rooms, BOX, "left_semi"))
-        counts.write(rooms.join(again, BOX, "left").select(*BOX, F.coalesce("room_count", F.lit(0)).alias("room_count")), n)
+    WIDTH = 4096
+
+    def init(self, handle) -> None:
+        self.box = handle.getValueState("box", "marker bigint, room_count bigint")
+        self.blocks = handle.getMapState("blocks", "block bigint", "positions binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        owner, entity = key
+        marker, count = self.box.get() if self.box.exists() else (None, 0)
+        raised, new = marker, [np.zeros(0, np.int64)]
+        for frame in rows:
+            acks = frame.loc[(frame["kind"] == "ack") & (frame["uid"] == owner), "sys_id"]
+            if len(acks):
+                raised = int(acks.max()) if raised is None else max(raised, int(acks.max()))
+            new.append(frame.loc[(frame["kind"] == "message") & (frame["author_id"] == entity), "sys_id"].to_numpy(np.int64))
+        if raised != marker:
+            for (block,), (data,) in list(self.blocks.iterator()):
+                held = np.frombuffer(data, np.int64)
+                left = held[held > raised]
+                count -= len(held) - len(left)
+                if not len(left):
+                    self.blocks.removeKey((block,))
+                elif len(left) < len(held):
+                    self.blocks.updateValue((block,), (left.tobytes(),))
+        added = np.unique(np.concatenate(new))
+        added = added if raised is None else added[added > raised]
+        for block in np.unique(added // self.WIDTH).tolist():
+            held = np.frombuffer(self.blocks.getValue((block,))[0], np.int64) if self.blocks.containsKey((block,)) else new[0]
+            both = np.union1d(held, added[added // self.WIDTH == block])
+            count += len(both) - len(held)
+            self.blocks.updateValue((block,), (both.tobytes(),))
+        self.box.update((raised, count))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class UnreadCounts(State):
+    def read(self) -> DataFrame:
+        """Inboxes whose owner has a marker."""
+        return super().read().where("marker IS NOT NULL").select(*BOX, "room_count")
+
+
+def stream_unread(events: DataFrame, root: str) -> tuple[StreamingQuery, UnreadCounts]:
+    """Unread count per inbox from ``events(kind message|ack, …)``.
 
-    return _start(events, root, each, "append"), counts
+    An acknowledgement may come before its message: the marker is raised, and the message counts as read on arrival. Repeated rows change nothing.
+    """
+    state = events.groupBy(*BOX).transformWithStateInPandas(_Unread(), "owner_id string", "Update", "None")
+    return start(state, root), UnreadCounts(events.sparkSession, f"{root}/checkpoint", "box")
 
 
 ITEM_KEYS = ["owner_id", "entity_id", "hub_id", "category", "area"]
 
 
-def stream_notifications(items: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
+def stream_notifications(items: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     """Notification items as they come, counted per owner, entity, room, category and area."""
     schema = "owner_id string, entity_id string, hub_id string, category string, area string, cnt bigint, ctime bigint"
     return fold_stream(items, ITEM_KEYS, [F.sum("cnt").alias("cnt"), F.max("ctime").alias("ctime")], root, schema)
 
 
-def stream_presence(events: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
+def stream_presence(events: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     """Last state per socket from ``events(socket_id, uid, state, seq, at)``."""
     schema = "socket_id string, uid string, state string, at bigint"
     return fold_stream(events, ["socket_id", "uid"], [F.max_by("state", "seq").alias("state"), F.max("at").alias("at")], root, schema)
@@ -121,28 +155,39 @@ def online_users(sockets: DataFrame, silent_since: int) -> DataFrame:
     return sockets.groupBy("uid").agg(F.max(F.when(live, 1).otherwise(0)).alias("online"))
 
 
-def stream_relations(events: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
-    """Invitation states: a batch's events become one state function per pair, applied to the stored state."""
-    store = KeyedStore(events.sparkSession, f"{root}/pairs", "low string, high string, state int", ["low", "high"])
+class _Relation(StatefulProcessor):
+    """State of a pair, moved by the transition of each event."""
+
+    def __init__(self, table: list[list[int]]):
+        self.table = table
+
+    def init(self, handle) -> None:
+        self.pair = handle.getValueState("pair", "state int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = self.pair.get()[0] if self.pair.exists() else 0
+        for kind in pd.concat(list(rows)).sort_values("seq")["kind"].tolist():
+            now = self.table[kind][now]
+        self.pair.update((now,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
-    def each(df: DataFrame, n: int) -> None:
-        change = JC.pair_functions(df)
-        old = store.read(n).join(change.select("low", "high"), ["low", "high"], "left_semi")
-        store.write(change.join(old, ["low", "high"], "left").select("low", "high", F.get("fn", F.coalesce("state", F.lit(0))).alias("state")), n)
 
-    return _start(events, root, each, "append"), store
+def stream_relations(events: DataFrame, root: str) -> tuple[StreamingQuery, State]:
+    """Invitation states: the events of a batch move their pair in order of ``seq``."""
+    state = JC.pair_events(events).groupBy("low", "high").transformWithStateInPandas(_Relation(JC.TABLE), "low string", "Update", "None")
+    return start(state, root), State(events.sparkSession, f"{root}/checkpoint", "pair")
 
 
-def stream_subscriptions(events: DataFrame, root: str) -> tuple[StreamingQuery, KeyedStore]:
+def stream_subscriptions(events: DataFrame, root: str) -> tuple[StreamingQuery, Output]:
     """Last billing event per account and kind; ``subscription_state`` reads the account rows from it."""
     schema = "entity_id string, kind string, seq bigint, last struct<subscription_id:string,status:string>, n bigint"
     return fold_stream(JR.billing_kind(events), list(JR.BILLING_KEYS), JR.billing_last(), root, schema)
 
 
-def read_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over one given table; the schema is read from the table itself."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """File stream over a folder of Parquet files, the oldest first."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)

@@ -1,19 +1,18 @@
 """Streams with a notion of time running out: sessions left open, grants that expire.
 
-A micro-batch is merged as a set: rows of a key are combined before they are shuffled, positions are found block by
-block, and what is due is a filter on the stored state against the highest event time seen.  No Python runs per row,
-and a key with very many rows in a batch is no different from others.
+Each key keeps a small state and a timer on event time in Spark's state store; a batch touches its own keys, and a timer wakes its key alone.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from parlor.plans.skew import rank_in_groups
-from parlor.session import cut_lineage
-from parlor.streaming.store import AppendStore, KeyedStore
+from parlor.streaming.outputs import Output
+from parlor.streaming.streams import start
 
 COOKIE = ["owner_id", "cookie_id"]
 GRANT = ["resource_id", "entity_id"]
@@ -34,72 +33,125 @@ def sessions(login_log: DataFrame) -> DataFrame:
 
 
 def expired_grants(grants: DataFrame, now_epoch: int) -> DataFrame:
-    """The last word on each grant, if its time has passed."""
-    last = grants.groupBy(*GRANT).agg(F.max_by("expiry_time", "seq").alias("expiry_time"))
-    return last.where((F.col("expiry_time") > 0) & (F.col("expiry_time") <= now_epoch))
+    """Grants whose time passed before their next row came, ``at`` its time, or before now."""
+    ranked = rank_in_groups(grants.dropDuplicates([*GRANT, "seq"]).select(*GRANT, "seq", "expiry_time", "at"), GRANT, "seq", "_r")
+    following = ranked.select(*GRANT, (F.col("_r") - 1).alias("_r"), F.col("at").alias("until"))
+    open_until = F.coalesce("until", F.lit(now_epoch))
+    return ranked.join(following, [*GRANT, "_r"], "left").where((F.col("expiry_time") > 0) & (F.col("expiry_time") <= open_until)).select(*GRANT, "expiry_time")
 
 
-def _clock(store: KeyedStore, df: DataFrame, n: int) -> DataFrame:
-    """Highest event time seen up to and with this batch, as one row."""
-    seen = df.select(F.lit("clock").alias("k"), "at").unionByName(store.read(n))
-    store.write(seen.groupBy("k").agg(F.max("at").alias("at")), n)
-    return store.read(n + 1)
+def _whole(x) -> int | None:
+    return None if pd.isna(x) else int(x)
 
 
-def stream_sessions(logins: DataFrame, root: str, silent_seconds: int = 86_400, delay_seconds: int = 600) -> tuple[StreamingQuery, AppendStore]:
+def _timer(second: int) -> int:
+    """Just before the second is over, so that a watermark at that very second wakes it."""
+    return second * 1000 - 1
+
+
+class _Sessions(StatefulProcessor):
+    """State of a cookie: the sign-in that waits for its next row."""
+
+    def __init__(self, silent: int):
+        self.silent = silent
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "sys_id bigint, intime bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).drop_duplicates("sys_id")
+        came = [(int(s), _whole(i), _whole(o), int(at)) for s, i, o, at in zip(frame["sys_id"], frame["intime"], frame["outtime"], frame["at"])]
+        if self.open.exists():
+            held, since = self.open.get()
+            self.handle.deleteTimer(_timer(since + self.silent))
+            came = [*(x for x in came if x[0] != held), (held, since, None, since)]
+            self.open.clear()
+        came.sort(key=lambda x: x[0])
+        # a row that comes after the silence closes nothing, whether or not the timer was first
+        done = [(s, i, out if at < i + self.silent else None) for (s, i, _, _), (_, _, out, at) in zip(came, came[1:]) if i is not None]
+        if came[-1][1] is not None:
+            self.open.update(came[-1][:2])
+            self.handle.registerTimer(_timer(came[-1][1] + self.silent))
+        if done:
+            yield _closed(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.open.exists():
+            held = (*self.open.get(), None)
+            self.open.clear()
+            yield _closed(key, [held])
+
+    def close(self) -> None:
+        pass
+
+
+def _closed(key, rows) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["sys_id", "intime", "outtime"]).astype("Int64")
+    frame.insert(0, "cookie_id", key[1])
+    frame.insert(0, "owner_id", key[0])
+    return frame
+
+
+def stream_sessions(logins: DataFrame, root: str, silent_seconds: int = 86_400, delay_seconds: int = 600) -> tuple[StreamingQuery, Output]:
     """``logins(owner_id, cookie_id, sys_id, intime, outtime, at)`` to closed sessions.
 
-    A sign-in is closed by the next row of its cookie, or without sign-out once it has been silent for too long.
+    A sign-in is closed by the next row of its cookie, or without sign-out once it has been silent for too long, by event time ``at``. Rows may come ``delay_seconds`` late;
+    later ones are dropped.
     """
-    spark = logins.sparkSession
-    held = KeyedStore(spark, f"{root}/open", "owner_id string, cookie_id string, sys_id bigint, intime bigint", COOKIE)
-    clock = KeyedStore(spark, f"{root}/clock", "k string, at bigint", ["k"])
-    closed = AppendStore(spark, f"{root}/closed", SESSION)
-
-    def each(df: DataFrame, n: int) -> None:
-        df = cut_lineage(df)
-        now = _clock(clock, df, n).agg(F.max("at")).scalar() - delay_seconds
-        touched = df.select(*COOKIE).distinct()
-        waiting = held.read(n).where("sys_id IS NOT NULL")
-        again = waiting.join(touched, COOKIE, "left_semi").withColumn("outtime", F.lit(None).cast("bigint"))
-        rows = df.select(*COOKIE, "sys_id", "intime", "outtime").unionByName(again)
-        pairs = cut_lineage(_paired(rows))
-        done = pairs.where("followed").select(*COOKIE, "sys_id", "intime", F.col("closed").alias("outtime"))
-        open_ = pairs.where("followed IS NULL").select(*COOKIE, "sys_id", "intime").unionByName(waiting.join(touched, COOKIE, "left_anti"))
-        due = F.col("intime") + silent_seconds <= now
-        expired = cut_lineage(open_.where(due))
-        closed.write(done.unionByName(expired.withColumn("outtime", F.lit(None).cast("bigint"))), n)
-        changed = touched.unionByName(expired.select(*COOKIE)).distinct()
-        held.write(changed.join(open_.where(~due), COOKIE, "left").select(*COOKIE, "sys_id", "intime"), n)
-
-    writer = logins.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    return writer.foreachBatch(each).start(), closed
-
-
-def stream_grant_expiry(grants: DataFrame, root: str) -> tuple[StreamingQuery, AppendStore]:
+    closed = Output(logins.sparkSession, f"{root}/closed", SESSION)
+    timed = logins.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{delay_seconds} seconds")
+    state = timed.groupBy(*COOKIE).transformWithStateInPandas(_Sessions(silent_seconds), SESSION, "Append", "EventTime")
+    return start(state, root, closed.write, "append"), closed
+
+
+class _Grant(StatefulProcessor):
+    """State of a grant: its last row, and whether that was revoked."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq bigint, expiry_time bigint, revoked int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).drop_duplicates("seq").sort_values("seq")
+        last, due = self.last.get() if self.last.exists() else (-1, 0, 0), []
+        for seq, expiry, at in zip(frame["seq"].tolist(), frame["expiry_time"].tolist(), frame["at"].tolist()):
+            if seq > last[0]:
+                self._stop(last)
+                if 0 < last[1] <= at and not last[2]:
+                    due.append(last[1])
+                last = (seq, expiry, 0)
+        self._stop(last)
+        if last[1] and not last[2]:
+            self.handle.registerTimer(_timer(last[1]))
+        self.last.update(last)
+        if due:
+            yield _revoked(key, due)
+
+    def _stop(self, last) -> None:
+        if last[1]:
+            self.handle.deleteTimer(_timer(last[1]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        seq, expiry, revoked = self.last.get()
+        if not revoked and expiredTimerInfo.getExpiryTimeInMs() == _timer(expiry):
+            self.last.update((seq, expiry, 1))
+            yield _revoked(key, [expiry])
+
+    def close(self) -> None:
+        pass
+
+
+def _revoked(key, expiries: list[int]) -> pd.DataFrame:
+    return pd.DataFrame([(*key, x) for x in expiries], columns=["resource_id", "entity_id", "expiry_time"])
+
+
+def stream_grant_expiry(grants: DataFrame, root: str, delay_seconds: int = 0) -> tuple[StreamingQuery, Output]:
     """``grants(resource_id, entity_id, seq, expiry_time, at)``: one revoke per grant once event time passes its expiry.
 
-    A later row on a grant replaces its expiry and may lead to another revoke.
+    A later row on a grant replaces its expiry and may lead to another revoke; a row that came before is ignored.
     """
-    spark = grants.sparkSession
-    state = KeyedStore(spark, f"{root}/grants", "resource_id string, entity_id string, seq bigint, expiry_time bigint, revoked int", GRANT)
-    clock = KeyedStore(spark, f"{root}/clock", "k string, at bigint", ["k"])
-    revokes = AppendStore(spark, f"{root}/revokes", REVOKE)
-
-    def each(df: DataFrame, n: int) -> None:
-        df = cut_lineage(df)
-        now = _clock(clock, df, n).agg(F.max("at")).scalar()
-        known = state.read(n)
-        new = df.groupBy(*GRANT).agg(F.max("seq").alias("seq"), F.max_by("expiry_time", "seq").alias("expiry_time")).withColumn("revoked", F.lit(0))
-        old = known.join(new.select(*GRANT), GRANT, "left_semi")
-        row = F.struct("seq", "expiry_time", "revoked")
-        # on equal positions the stored row stays, so a repeated row does not revoke twice
-        merged = new.unionByName(old).groupBy(*GRANT).agg(F.max_by(row, F.struct("seq", "revoked")).alias("r")).select(*GRANT, "r.*")
-        rest = known.join(new.select(*GRANT), GRANT, "left_anti")
-        due = (F.col("revoked") == 0) & (F.col("expiry_time") > 0) & (F.col("expiry_time") <= now)
-        changed = cut_lineage(merged.withColumn("due", due).unionByName(rest.where(due).withColumn("due", F.lit(True))))
-        revokes.write(changed.where("due").select(*GRANT, "expiry_time"), n)
-        state.write(changed.withColumn("revoked", F.when(F.col("due"), F.lit(1)).otherwise(F.col("revoked"))).drop("due"), n)
-
-    writer = grants.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    return writer.foreachBatch(each).start(), revokes
+    revokes = Output(grants.sparkSession, f"{root}/revokes", REVOKE)
+    timed = grants.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", f"{delay_seconds} seconds")
+    state = timed.groupBy(*GRANT).transformWithStateInPandas(_Grant(), REVOKE, "Append", "EventTime")
+    return start(state, root, revokes.write, "append"), revokes

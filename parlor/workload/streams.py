@@ -1,4 +1,4 @@
-"""Registered streams: a file stream over a given table runs to its end, and the state is read back."""
+"""Registered streams: a given table comes as a file stream of several micro-batches, runs to its end, and the state is read back."""
 
 from __future__ import annotations
 
@@ -20,8 +20,22 @@ def _root(t: Tables) -> str:
     return f"{checkpoint_dir(t._spark)}/streams/{uuid.uuid4().hex}"
 
 
+#: Micro-batches that a table comes in, and files of each.
+PARTS, FILES = 4, 2
+# (application, folder) -> folder of the files
+_STAGED: dict[tuple[str, str], str] = {}
+
+
 def _events(t: Tables) -> DataFrame:
-    return S.read_stream(t._spark, t._folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """All events as a stream, in ranges of their number one after the other."""
+    key = (t._spark.sparkContext.applicationId, t._folder)
+    if key not in _STAGED:
+        path, last = f"{_root(t)}/events", t.events.agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).scalar()
+        for i in range(PARTS):
+            own = t.events.where(F.floor(F.col("event_id") * PARTS / last) == i)
+            own.repartition(FILES).write.mode("append").parquet(path)
+        _STAGED[key] = path
+    return S.read_stream(t._spark, _STAGED[key], t.events.schema, FILES).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _peer(t: Tables, step: int):
@@ -96,7 +110,7 @@ def _logins(t: Tables) -> DataFrame:
     out = F.col("event_type") == "error"
     return _events(t).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("owner_id"), F.concat(F.lit("k"), F.col("user_id").cast("string"), F.lit("-"), (e % 3).cast("string")).alias("cookie_id"),
-        e.alias("sys_id"), F.when(~out, e + 1700000000).alias("intime"), F.when(out, e + 1700000000).alias("outtime"), F.unix_timestamp("ts").alias("at"))
+        e.alias("sys_id"), F.when(~out, e + 1700000000).alias("intime"), F.when(out, e + 1700000000).alias("outtime"), (e + 1700000000).alias("at"))
 
 
 def _grants(t: Tables) -> DataFrame:
@@ -107,6 +121,9 @@ def _grants(t: Tables) -> DataFrame:
         F.when(e % 4 == 0, F.lit(0)).otherwise(1700000000 + e + (e * 37) % 5000).cast("bigint").alias("expiry_time"), (e + 1700000000).alias("at"))
 
 
+#: Seconds of the registered sessions: few enough that some run out.
+SILENT, DELAY = 1800, 600
+
 QUERIES = {
     "stream_messages": lambda t: _finish(S.stream_messages(_posts(t), _root(t))).groupBy("owner_id", "message_id").agg(F.count(F.lit(1)).alias("n_rows")),
     "stream_last_message": lambda t: _finish(S.stream_last_message(_channel(t), _root(t))).select("owner_id", "entity_id", F.col("m.sys_id").alias("ref_sys_id"), "m.message", "m.ctime", "m.is_attachment"),
@@ -116,13 +133,13 @@ QUERIES = {
     "stream_presence": lambda t: S.online_users(_finish(S.stream_presence(_sockets(t), _root(t))), 1700000200),
     "stream_relations": lambda t: JC.state_rows(_finish(S.stream_relations(_relations(t), _root(t)))).join(t.user_dir.select(F.col("id").alias("owner_id")), "owner_id", "left_semi"),
     "stream_subscriptions": lambda t: JR.subscription_state(_finish(S.stream_subscriptions(_billing(t), _root(t)))),
-    "stream_sessions": lambda t: _finish(T.stream_sessions(_logins(t), _root(t))),
+    "stream_sessions": lambda t: _finish(T.stream_sessions(_logins(t), _root(t), SILENT, DELAY)),
     "sessions": lambda t: T.sessions(t.login_log),
     "stream_grant_expiry": lambda t: _finish(T.stream_grant_expiry(_grants(t), _root(t))),
 }
 
 _GR = """g AS (SELECT 'd' || CAST(event_id % 700 AS VARCHAR) AS resource_id, 'u' || user_id AS entity_id, event_id AS seq,
-  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE 1700000000 + event_id + event_id * 37 % 5000 END AS expiry_time FROM events)"""
+  CASE WHEN event_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE 1700000000 + event_id + event_id * 37 % 5000 END AS expiry_time, 1700000000 + event_id AS came FROM events)"""
 
 _SESSIONS = """SELECT owner_id, cookie_id, sys_id, intime, o AS outtime FROM (SELECT *, lead(outtime) OVER (PARTITION BY owner_id, cookie_id ORDER BY sys_id) AS o FROM login_log) WHERE intime IS NOT NULL"""
 
@@ -140,7 +157,9 @@ ORACLES = {
     "stream_relations": changes.ORACLES["invitation_fold"],
     "stream_subscriptions": changes.ORACLES["subscription_fold"],
     "sessions": _SESSIONS,
-    "stream_sessions": _SESSIONS,
-    "stream_grant_expiry": f"""WITH {_GR}, l AS (SELECT resource_id, entity_id, arg_max(expiry_time, seq) AS expiry_time FROM g GROUP BY ALL)
-      SELECT * FROM l WHERE expiry_time > 0 AND expiry_time <= (SELECT max(event_id) + 1700000000 FROM events)""",
+    "stream_sessions": f"""WITH l AS (SELECT *, lead(outtime) OVER w AS o, lead(coalesce(intime, outtime)) OVER w AS came FROM login_log WINDOW w AS (PARTITION BY owner_id, cookie_id ORDER BY sys_id))
+      SELECT owner_id, cookie_id, sys_id, intime, CASE WHEN came < intime + {SILENT} THEN o END AS outtime FROM l
+      WHERE intime IS NOT NULL AND (came IS NOT NULL OR intime + {SILENT} <= (SELECT max(coalesce(intime, outtime)) FROM login_log) - {DELAY})""",
+    "stream_grant_expiry": f"""WITH {_GR}, l AS (SELECT *, lead(came) OVER (PARTITION BY resource_id, entity_id ORDER BY seq) AS until FROM g)
+      SELECT resource_id, entity_id, expiry_time FROM l WHERE expiry_time > 0 AND expiry_time <= coalesce(until, (SELECT max(event_id) + 1700000000 FROM events))""",
 }

@@ -9,7 +9,7 @@ from parlor.operators import contact_changes as JC
 from parlor.operators import messaging as M
 from parlor.streaming import streams as S
 from parlor.streaming import timers as T
-from parlor.streaming.store import KeyedStore
+from parlor.streaming.outputs import Output
 
 
 def feed(spark, folder, data, schema, parts=4):
@@ -20,13 +20,30 @@ def feed(spark, folder, data, schema, parts=4):
     return clean, spark.readStream.schema(clean.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def test_store_repeats_and_compacts(spark, tmp_path):
-    store = KeyedStore(spark, str(tmp_path / "s"), "k string, v int", ["k"], compact=2)
+def test_output_repeats_a_batch(spark, tmp_path):
+    out = Output(spark, str(tmp_path / "s"), "k string, v int", ["k"])
+    assert out.read().count() == 0
     for n, data in enumerate([[("a", 1), ("b", 1)], [("a", 2)], [("c", 3)], [("b", 9)], [("a", 7)]]):
-        store.write(spark.createDataFrame(data, "k string, v int"), n)
-        store.write(spark.createDataFrame(data, "k string, v int"), n)
-    assert rows(store.read()) == [("a", 7), ("b", 9), ("c", 3)]
-    assert rows(store.read(3)) == [("a", 2), ("b", 1), ("c", 3)]
+        for _ in range(2):
+            out.write(spark.createDataFrame(data, "k string, v int"), n)
+    assert rows(out.read()) == [("a", 7), ("b", 9), ("c", 3)]
+    every = Output(spark, str(tmp_path / "t"), "k string")
+    for n in (0, 1, 1):
+        every.write(spark.createDataFrame([("x",)], "k string"), n)
+    assert rows(every.read()) == [("x",), ("x",)]
+
+
+def test_unread_goes_on_after_a_restart(spark, tmp_path):
+    """Positions in several blocks; a marker that cuts a block; messages below the marker; repeated rows."""
+    w = S._Unread.WIDTH
+    message = lambda n, by="b": ("message", "a", "b", "a", by, f"m{n}", n)
+    steps = [([message(n) for n in (1, 2, w, w + 1, 3 * w, 3 * w + 5)] + [message(7, "a")], None), ([("ack", "a", "b", "a", "a", "m", w)], 3), ([message(w + 1), message(3), message(5 * w)], 4),
+             ([("ack", "a", "b", "b", "b", "m", 9 * w), ("ack", "a", "b", "a", "a", "m", 2)], 4), ([("ack", "a", "b", "a", "a", "m", 3 * w)], 2), ([("ack", "a", "b", "a", "a", "m", 9 * w)], 0)]
+    for data, want in steps:
+        spark.createDataFrame(data, S.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query, counts = S.stream_unread(spark.readStream.schema(S.EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
+        S.run(query)
+        assert [r["room_count"] for r in counts.read().collect()] == ([] if want is None else [want])
 
 
 def test_unread_with_early_acks(spark, tmp_path):
@@ -81,6 +98,15 @@ def test_sessions_across_batches(spark, tmp_path):
     assert rows(closed.read()) == rows(T.sessions(clean))
 
 
+def test_a_row_after_the_silence_closes_nothing(spark, tmp_path):
+    """The same in one batch as in two."""
+    data = [("o", "k", 1, 100, None, 100, 0), ("o", "k", 2, None, 900, 900, 1), ("o", "j", 3, 110, None, 110, 0), ("o", "j", 4, None, 950, 950, 0), ("o", "i", 5, 905, None, 905, 1), ("o", "i", 6, None, 960, 960, 1)]
+    _, stream = feed(spark, tmp_path / "in", data, "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint, at bigint, part int", 2)
+    query, closed = T.stream_sessions(stream, str(tmp_path / "out"), 500, 0)
+    S.run(query)
+    assert rows(closed.read(), "sys_id", "outtime") == [(1, None), (3, None), (5, 960)]
+
+
 def test_open_session_waits(spark, tmp_path):
     _, stream = feed(spark, tmp_path / "in", [("o", "k", 1, 100, None, 100, 0)], "owner_id string, cookie_id string, sys_id bigint, intime bigint, outtime bigint, at bigint, part int", 1)
     query, closed = T.stream_sessions(stream, str(tmp_path / "out"), 3600, 0)
@@ -96,6 +122,14 @@ def test_grants_expire_once(spark, tmp_path):
     assert rows(revokes.read()) == [("d1", "u", 150), ("d2", "u", 180)] == rows(T.expired_grants(clean, 300))
 
 
+def test_a_grant_that_ran_out_before_it_was_renewed(spark, tmp_path):
+    data = [("d", "u", 1, 150, 100, 0), ("d", "u", 2, 400, 200, 1), ("e", "u", 3, 0, 160, 0), ("f", "u", 4, 0, 500, 2), ("g", "u", 5, 160, 155, 0), ("g", "u", 6, 0, 156, 1)]
+    clean, stream = feed(spark, tmp_path / "in", data, "resource_id string, entity_id string, seq bigint, expiry_time bigint, at bigint, part int", 3)
+    query, revokes = T.stream_grant_expiry(stream, str(tmp_path / "out"), 10)
+    S.run(query)
+    assert rows(revokes.read()) == [("d", "u", 150), ("d", "u", 400)] == rows(T.expired_grants(clean, 490))
+
+
 def test_a_late_message_reaches_the_inbox(spark, tmp_path):
     at = lambda d, h=0: __import__("datetime").datetime(2024, 1, d, h)
     data = [(1, at(9), "a", "b", "m1", "x", 1, 0), (2, at(9, 5), "a", "b", "m2", "x", 2, 1), (3, at(1), "a", "b", "late", "x", 3, 2), (4, at(9), "a", "b", "m1", "x", 1, 3), (5, at(2), "a", "b", "late", "x", 3, 3)]
