@@ -317,11 +317,12 @@ def room_contact(
     )
 
 
-def blacklist_show(blacklist: DataFrame, user_dir: DataFrame, page: int = 1, rows: int = 45) -> DataFrame:
+def blacklist_show(blacklist: DataFrame, user_dir: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
+    """Blocked users by e-mail; ``page`` None is the whole list."""
     listed = blacklist.join(user_dir.select("id", "email", "profile"), "email").select(
         "owner_id", "id", "email", F.get_json_object("profile", "$.firstname").alias("firstname"),
         F.get_json_object("profile", "$.lastname").alias("lastname"), F.get_json_object("profile", "$.mobile").alias("mobile"))
-    return paginate(listed, ["owner_id"], [F.concat("firstname", F.lit(" "), "lastname").asc(), F.col("email").asc()], page, rows)
+    return listed if page is None else paginate(listed, ["owner_id"], [F.concat("firstname", F.lit(" "), "lastname").asc(), F.col("email").asc()], page, rows)
 
 
 PENDING: Sequence[str] = ("received", "informed", "invitation")

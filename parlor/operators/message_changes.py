@@ -40,7 +40,7 @@ def _delivered(*who: str):
 def post_messages(posts: DataFrame, channel: DataFrame) -> DataFrame:
     """New inbox rows of private posts: each message once per inbox, numbered on from the inbox's last position.
 
-    Posting an id again changes nothing.  An empty text becomes NULL.  ``metadata`` starts with the author in
+    Posting an id again changes nothing.  An empty text becomes NULL; ``thread_id`` names the message answered.  ``metadata`` starts with the author in
     ``_seen_`` and both sides in ``_delivered_``, and names the origin of a forwarded message.
     """
     rows = _numbered(fresh(both_inboxes(posts), channel, "owner_id"), channel, "owner_id")
@@ -50,14 +50,14 @@ def post_messages(posts: DataFrame, channel: DataFrame) -> DataFrame:
         F.create_map(F.col("author_id"), F.lit(1)).alias("_seen_"), _delivered("author_id", "_other").alias("_delivered_"), "forward_message_id",
         F.when(forwarded, F.col("forward_hub_id")).alias("forward_hub_id")))
     return rows.withColumn("_other", other).select(
-        *BOX, "sys_id", "author_id", "message_id", F.nullif("message", F.lit("")).alias("message"), "attachment", "ctime",
+        *BOX, "sys_id", "author_id", "message_id", F.nullif("message", F.lit("")).alias("message"), "thread_id", "attachment", "ctime",
         F.when(forwarded, F.lit(1)).otherwise(F.lit(0)).alias("is_forward"), meta.alias("metadata"))
 
 
 def post_team_messages(posts: DataFrame, team_channel: DataFrame) -> DataFrame:
     """New room rows; receivers and readers are kept as rows elsewhere, not written into each message."""
     rows = _numbered(fresh(posts, team_channel, "hub_id"), team_channel, "hub_id")
-    return rows.select("hub_id", "sys_id", "author_id", "message_id", F.nullif("message", F.lit("")).alias("message"), "attachment", "ctime")
+    return rows.select("hub_id", "sys_id", "author_id", "message_id", F.nullif("message", F.lit("")).alias("message"), "thread_id", "attachment", "ctime")
 
 
 def markers_after_post(new_rows: DataFrame, team_read: DataFrame) -> DataFrame:
@@ -139,10 +139,19 @@ def apply_team_deletes(requests: DataFrame, team_channel: DataFrame, team_delete
     return left, stones.join(gone, ["hub_id", "ref_sys_id"], "left_anti")
 
 
+def _asked(rows: DataFrame, users: DataFrame, entity: str) -> DataFrame:
+    """Rows ``(uid, …)`` that ``users(uid, entity_id)`` clear: all of a user's where ``entity_id`` is NULL or missing from the table, else those of that inbox or room."""
+    if "entity_id" not in users.columns:
+        return rows.join(users.select("uid").distinct(), "uid", "left_semi")
+    everything = users.where("entity_id IS NULL").select("uid").distinct()
+    single = users.where("entity_id IS NOT NULL").select("uid", F.col("entity_id").alias(entity)).distinct()
+    return rows.join(everything, "uid", "left_semi").unionByName(rows.join(everything, "uid", "left_anti").join(single, ["uid", entity], "left_semi"))
+
+
 def clear_team_markers(users: DataFrame, rooms: DataFrame, team_read: DataFrame) -> DataFrame:
-    """Markers after ``users(uid)`` cleared everything: in their rooms up to the highest marker of the room."""
+    """Markers after ``users(uid[, entity_id])`` cleared everything, or one room: in these rooms up to the highest marker of the room."""
     top = team_read.groupBy("hub_id").agg(F.max("ref_sys_id").alias("top"))
-    cleared = rooms.where(F.col("area").isin("private", "share", "public")).select("hub_id", F.col("owner_id").alias("uid")).distinct().join(users.select("uid").distinct(), "uid", "left_semi")
+    cleared = _asked(rooms.where(F.col("area").isin("private", "share", "public")).select("hub_id", F.col("owner_id").alias("uid")).distinct(), users, "hub_id")
     raised = cleared.join(top, "hub_id", "left").select("hub_id", "uid", F.coalesce("top", F.lit(0)).alias("ref_sys_id"))
     return team_read.select("hub_id", "uid", "ref_sys_id").join(raised.select("hub_id", "uid"), ["hub_id", "uid"], "left_anti").unionByName(raised)
 
@@ -150,21 +159,23 @@ def clear_team_markers(users: DataFrame, rooms: DataFrame, team_read: DataFrame)
 def clear_file_markers(users: DataFrame, rooms: DataFrame, hub_media: DataFrame) -> DataFrame:
     """Per cleared (room, user): all files up to ``seen_upto`` count as seen; one row instead of one per file."""
     top = hub_media.groupBy("hub_id").agg(F.max("sys_id").alias("seen_upto"))
-    cleared = rooms.where(F.col("area").isin("private", "share", "public")).select("hub_id", F.col("owner_id").alias("uid")).distinct().join(users.select("uid").distinct(), "uid", "left_semi")
+    cleared = _asked(rooms.where(F.col("area").isin("private", "share", "public")).select("hub_id", F.col("owner_id").alias("uid")).distinct(), users, "hub_id")
     return cleared.join(top, "hub_id")
 
 
 def clear_private_markers(users: DataFrame, read_channel: DataFrame) -> DataFrame:
     """The own marker of a clearing user is restated from the other side's."""
-    who = users.select(F.col("uid").alias("owner_id")).distinct()
-    other = read_channel.where("uid <> owner_id").join(who, "owner_id", "left_semi").groupBy(*BOX).agg(F.max("ref_sys_id").alias("ref_sys_id"))
+    others = read_channel.where("uid <> owner_id").select(F.col("owner_id").alias("uid"), "entity_id", "ref_sys_id")
+    other = _asked(others, users, "entity_id").groupBy(F.col("uid").alias("owner_id"), "entity_id").agg(F.max("ref_sys_id").alias("ref_sys_id"))
     mine = other.select(*BOX, F.col("owner_id").alias("uid"), "ref_sys_id")
     kept = read_channel.select(*BOX, "uid", "ref_sys_id").join(mine.select(*BOX, "uid"), [*BOX, "uid"], "left_anti")
     return kept.unionByName(mine)
 
 
 def clear_ticket_markers(users: DataFrame, ticket: DataFrame, read_ticket: DataFrame) -> DataFrame:
-    own = ticket.join(users.select("uid").distinct(), "uid", "left_semi").select("ticket_id", "uid")
+    """Tickets are cleared together, not one by one."""
+    every = users.where("entity_id IS NULL") if "entity_id" in users.columns else users
+    own = ticket.join(every.select("uid").distinct(), "uid", "left_semi").select("ticket_id", "uid")
     top = read_ticket.groupBy("ticket_id").agg(F.max("ref_sys_id").alias("ref_sys_id"))
     raised = own.join(top, "ticket_id").select("ticket_id", "uid", "ref_sys_id")
     return read_ticket.select("ticket_id", "uid", "ref_sys_id").join(raised.select("ticket_id", "uid"), ["ticket_id", "uid"], "left_anti").unionByName(raised)

@@ -256,10 +256,11 @@ def unread_by_tag(unread: DataFrame, unread_hub: DataFrame, contact: DataFrame,
 
 
 def tag_counts(tag: DataFrame, by_tag: DataFrame) -> DataFrame:
-    """Top-level tags with child flag and unread count, per owner with a mapped contact or room; one row without owner where there is none."""
-    parents = tag.where("parent_tag_id IS NOT NULL").select(F.col("parent_tag_id").alias("tag_id")).distinct().withColumn("has", F.lit(1))
-    counts = by_tag.groupBy("owner_id", "tag_id").agg(F.sum("room_count").alias("room_count"))
-    return tag.where("parent_tag_id IS NULL").join(parents, "tag_id", "left").join(counts, "tag_id", "left").select(
+    """Every owner's top-level tags ``tag(owner_id, tag_id, …)`` with child flag and unread count, 0 where nothing is unread."""
+    own = ["owner_id", "tag_id"]
+    parents = tag.where("parent_tag_id IS NOT NULL").select("owner_id", F.col("parent_tag_id").alias("tag_id")).distinct().withColumn("has", F.lit(1))
+    counts = by_tag.groupBy(*own).agg(F.sum("room_count").alias("room_count"))
+    return tag.where("parent_tag_id IS NULL").join(parents, own, "left").join(counts, own, "left").select(
         "owner_id", "tag_id", "parent_tag_id", "name", "position", F.coalesce("has", F.lit(0)).alias("is_any_child"),
         F.coalesce("room_count", F.lit(0)).alias("room_count"))
 

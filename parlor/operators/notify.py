@@ -174,13 +174,13 @@ def notification_entity(items: DataFrame, rooms: DataFrame, user_dir: DataFrame)
         F.when(F.col("category").isNull(), F.lit(0)).otherwise(F.col("ctime")).alias("ctime"))
 
 
-def action_log_feed(action_log: DataFrame, members: DataFrame, user_dir: DataFrame, page: int = 1, rows: int = 45) -> DataFrame:
-    """Newest events of every member: for everybody, for me, and for admins if I am one.
+def action_log_feed(action_log: DataFrame, members: DataFrame, user_dir: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
+    """Newest events of every member: for everybody, for me, and for admins if I am one; with ``page`` None all events of every member.
 
     The page of a member is within the latest events of each audience, so a room's shared events are cut to
     the page before they meet its members.
     """
-    page = max(page, 1)
+    whole, page = page is None, max(page or 1, 1)
     k = page * rows
     order = [F.col("ctime").desc(), F.col("sys_id").desc()]
     names = user_dir.select(F.col("id").alias("uid"), "firstname", "lastname")
@@ -189,20 +189,21 @@ def action_log_feed(action_log: DataFrame, members: DataFrame, user_dir: DataFra
     people = members.select("hub_id", F.col("uid").alias("viewer"), "permission")
 
     def shared(audience: str, viewers: DataFrame) -> DataFrame:
-        latest = top_in_groups(events.where(F.col("notify_to") == audience), ["hub_id"], order, k, "_place").drop("_place")
+        latest = events.where(F.col("notify_to") == audience)
+        latest = latest if whole else top_in_groups(latest, ["hub_id"], order, k, "_place").drop("_place")
         return latest.join(viewers.select("hub_id", "viewer"), "hub_id")
 
     mine = events.where("notify_to = 'member'").withColumn("viewer", F.col("entity_id")).join(people.select("hub_id", "viewer"), ["hub_id", "viewer"], "left_semi")
     admins = people.where(X.has_bit("permission", X.ADMIN_BIT))
     cols = ["hub_id", "viewer", "sys_id", "category", "log", "ctime"]
     feed = shared("all", people).select(*cols).unionByName(shared("admin", admins).select(*cols)).unionByName(mine.select(*cols))
-    return paginate(feed, ["hub_id", "viewer"], order, page, rows)
+    return feed if whole else paginate(feed, ["hub_id", "viewer"], order, page, rows)
 
 
-def backup_log(action_log: DataFrame, page: int = 1, rows: int = 45) -> DataFrame:
-    """Backups of every room, oldest first."""
+def backup_log(action_log: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
+    """Backups of every room, oldest first; ``page`` None is all of them."""
     kept = action_log.where("action = 'backup'").select("hub_id", "sys_id", "uid", "category", "log", "ctime")
-    return paginate(kept, ["hub_id"], [F.col("ctime").asc(), F.col("sys_id").asc()], page, rows)
+    return kept if page is None else paginate(kept, ["hub_id"], [F.col("ctime").asc(), F.col("sys_id").asc()], page, rows)
 
 
 def login_history(login_log: DataFrame, cookie: DataFrame, page: int | None = None, rows: int = 45) -> DataFrame:

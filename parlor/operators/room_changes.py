@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlor.functions import expr as X
 from parlor.operators.changes import upsert
 from parlor.operators.grants import expiry_from_hours
-from parlor.operators.pages import current_revision, unique_names
+from parlor.operators.pages import unique_names
 from parlor.operators.trees import tag_closure, tag_cycle_check
 from parlor.plans.skew import rank_in_groups
 from parlor.session import cut_lineage
@@ -80,35 +80,74 @@ def offboard(members: DataFrame, leavers: DataFrame) -> DataFrame:
     return tagged.where("gone IS NULL").join(lost, "hub_id", "left_semi").groupBy("hub_id").agg(F.min_by("uid", F.struct(rank, F.col("uid"))).alias("uid"))
 
 
+PAGE_OPS = ("save", "rename", "publish", "unpublish", "copy", "delete_lang", "purge")
+
+
+def _refusals(history: DataFrame, block: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes with ``page``, the device of what they copy, and the ``reason`` why they are refused, else NULL."""
+    op, own = F.col("op"), F.col("master_id")
+    copied = (op == "copy") & F.col("copy_id").isNotNull()
+    source = history.select(F.col("serial").alias("target"), F.col("master_id").alias("of"), F.col("lang").alias("from_lang"), F.col("device").alias("from_device"))
+    asked = changes.join(source, "target", "left").withColumn("page", F.when(copied, F.col("copy_id")).otherwise(own))
+    # a name that no page holds goes to the page of its first claim in the batch
+    held = block.select("hashtag", F.col("id").alias("holder"))
+    claims = asked.where(op.isin("save", "rename") | copied).where("hashtag IS NOT NULL").join(held, "hashtag", "left")
+    first = claims.where("holder IS NULL").groupBy("hashtag").agg(F.min_by("page", "seq").alias("winner"))
+    clash = claims.join(first, "hashtag", "left").where(F.coalesce("holder", "winner") != F.col("page")).select("seq", F.lit(True).alias("clash")).distinct()
+    place = [own.alias("p"), F.col("lang").alias("l"), F.col("device").alias("d")]
+    there = history.select(*place, F.lit(-1).cast("bigint").alias("s")).unionByName(changes.where("op = 'save'").select(*place, F.col("seq").cast("bigint").alias("s")))
+    there = there.groupBy("p", "l", "d").agg(F.min("s").alias("since"))
+    seen = asked.join(clash, "seq", "left").join(there, (own == F.col("p")) & (F.col("lang") == F.col("l")) & (F.col("from_device") == F.col("d")), "left")
+    no_source = F.col("of").isNull() | (F.col("of") != own) | ((op == "publish") & (F.col("from_lang") != F.col("lang")))
+    reason = (
+        F.when(op.isNull() | ~op.isin(*PAGE_OPS), "unknown_op").when(op.isin("publish", "copy") & no_source, "unknown_revision")
+        .when(F.col("clash"), "hash_exist").when((op == "copy") & F.col("copy_id").isNull() & (F.col("since") < F.col("seq")), "confirm_copy"))
+    return seen.withColumn("reason", reason).drop("p", "l", "d", "since", "clash", "of", "from_lang")
+
+
 def revisions(history: DataFrame, block: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
-    """Page history and pages after ``changes(seq, op, master_id, lang, device, author_id, hashtag, isonline, ctime)``.
+    """Page history and pages after ``changes(seq, op, master_id, lang, device, author_id, hashtag, isonline, ctime, target, copy_id)``.
+
+    ``save`` appends a revision; ``rename`` names the page; ``publish`` makes revision ``target`` of the page and language its draft and the one online;
+    ``unpublish`` takes a language and device offline; ``copy`` appends revision ``target`` as a draft in ``lang``, on a page of its own where ``copy_id``
+    names one; ``delete_lang`` drops a language and device, on all devices where that is NULL, from all pages where ``master_id`` is NULL; ``purge`` drops
+    the page. A page without revisions goes.
 
-    ``save`` appends a revision, ``unpublish`` takes a language and device offline, ``delete_lang`` drops a language
-    and device, ``purge`` the page; statuses are then derived again.  A ``save`` or ``rename`` whose hashtag belongs to another
-    page is refused (``hash_exist`` = 1).  A page without revisions goes.
+    ``refused`` holds the changes that do nothing: ``hash_exist`` (the name belongs to another page, or an earlier change of the batch gave it to one; a name
+    that is given up is free from the next batch on), ``confirm_copy`` (the page had that language and device before), ``unknown_revision``, ``unknown_op``.
     """
-    taken = block.select("hashtag", F.col("id").alias("holder"))
-    named = changes.where(F.col("op").isin("save", "rename")).join(taken, "hashtag", "left")
-    clash = named.where("holder <> master_id").select("seq").distinct()
-    ok = changes.join(clash, "seq", "left_anti")
+    judged = cut_lineage(_refusals(history, block, changes))
+    ok, refused = judged.where("reason IS NULL"), judged.where("reason IS NOT NULL")
+    page, lang = ["master_id", "lang", "device"], ["master_id", "lang"]
     top = history.agg(F.coalesce(F.max("serial"), F.lit(0))).scalar()
-    purge = ok.where("op = 'purge'").groupBy("master_id").agg(F.max("seq").alias("purge_seq"))
-    drop = ok.where("op = 'delete_lang'").groupBy("master_id", "lang", "device").agg(F.max("seq").alias("drop_seq"))
-    off = ok.where("op = 'unpublish'").groupBy("master_id", "lang", "device").agg(F.max("seq").alias("off_seq"))
-    cols = ["serial", "master_id", "author_id", "lang", "device", "isonline", "ctime"]
-    saved = ok.where("op = 'save'").withColumn("serial", top + 1 + F.col("seq")).select(*cols, "seq")
-    rows = history.select(*cols, F.lit(-1).cast("bigint").alias("seq")).unionByName(saved)
-    page = ["master_id", "lang", "device"]
-    left = (
-        rows.join(purge, "master_id", "left").where(F.col("purge_seq").isNull() | (F.col("seq") > F.col("purge_seq")))
-        .join(drop, page, "left").where(F.col("drop_seq").isNull() | (F.col("seq") > F.col("drop_seq")))
-        .join(off, page, "left").withColumn("isonline", F.when(F.col("off_seq") >= F.col("seq"), F.lit(0)).otherwise(F.col("isonline"))).select(*cols))
-    state = current_revision(left)
-    renamed = ok.where(F.col("op").isin("save", "rename")).groupBy(F.col("master_id").alias("id")).agg(F.max_by("hashtag", "seq").alias("new_tag"))
-    pages = state.groupBy(F.col("master_id").alias("id")).agg(F.max("active").alias("active"))
-    pages = pages.join(block.select("id", "hashtag"), "id", "left").join(renamed, "id", "left").select("id", F.coalesce("new_tag", "hashtag").alias("hashtag"), "active")
-    return {"history": state.join(left.select("serial", "author_id", "device", "ctime"), "serial"), "block": pages,
-            "refused": clash.join(changes.select("seq", "master_id", "hashtag"), "seq").withColumn("hash_exist", F.lit(1))}
+
+    def last(op: str, keys: list[str], name: str, test: str = "true") -> DataFrame:
+        return ok.where(f"op = '{op}' AND {test}").groupBy(*keys).agg(F.max("seq").alias(name))
+
+    copy = F.col("op") == "copy"
+    cols = ["serial", "master_id", "author_id", "lang", "device", "isonline", "ctime", "seq"]
+    saved = ok.where(F.col("op").isin("save", "copy")).select(
+        (top + 1 + F.col("seq")).alias("serial"), F.col("page").alias("master_id"), "author_id", "lang", F.when(copy, F.col("from_device")).otherwise(F.col("device")).alias("device"),
+        F.when(copy, F.lit(0)).otherwise(F.col("isonline")).alias("isonline"), "ctime", "seq")
+    rows = history.withColumn("seq", F.lit(-1).cast("bigint")).select(*cols).unionByName(saved.select(*cols))
+    gone = [(["master_id"], last("purge", ["master_id"], "g0")), (page, last("delete_lang", page, "g1", "device IS NOT NULL")),
+            (lang, last("delete_lang", lang, "g2", "device IS NULL AND master_id IS NOT NULL")), (["lang"], last("delete_lang", ["lang"], "g3", "master_id IS NULL"))]
+    for keys, table in gone:
+        rows = rows.join(table, keys, "left")
+    stays = F.col("seq") > F.greatest(F.lit(-2), "g0", "g1", "g2", "g3")
+    rows = rows.where(stays).join(last("publish", ["target"], "shown_at").withColumnRenamed("target", "serial"), "serial", "left").join(last("unpublish", page, "off_at"), page, "left")
+    # a page's revisions in the order in which they were last made the draft or put online
+    online = F.greatest(F.when(F.col("isonline") == 1, F.col("seq")), "shown_at")
+    rows = cut_lineage(rows.select(*cols, F.greatest("seq", "shown_at").alias("drafted"), F.when(F.col("off_at").isNull() | (online > F.col("off_at")), online).alias("online")))
+    newest = F.max(F.struct("drafted", "serial"))["serial"]
+    shown = rows.groupBy(*lang).agg(newest.alias("draft_id"), F.max(F.when(F.col("online").isNotNull(), F.struct("online", "serial")))["serial"].alias("online_id"))
+    active = rows.groupBy("master_id").agg(newest.alias("active"))
+    state = rows.join(shown, lang).join(active, "master_id").select(
+        "serial", *lang, F.when(F.col("serial") == F.col("draft_id"), "draft").otherwise("history").alias("status"),
+        X.flag(F.col("serial").eqNullSafe(F.col("online_id"))).alias("isonline"), "active", "author_id", "device", "ctime")
+    named = ok.where(F.col("op").isin("save", "rename") | (copy & F.col("copy_id").isNotNull())).where("hashtag IS NOT NULL").groupBy(F.col("page").alias("id")).agg(F.max_by("hashtag", "seq").alias("new_tag"))
+    pages = active.withColumnRenamed("master_id", "id").join(block.select("id", "hashtag"), "id", "left").join(named, "id", "left").select("id", F.coalesce("new_tag", "hashtag").alias("hashtag"), "active")
+    return {"history": state, "block": pages, "refused": refused.select("seq", "op", "master_id", "hashtag", "reason", X.flag(F.col("reason") == "hash_exist").alias("hash_exist"))}
 
 
 def tag_edit(tag: DataFrame, changes: DataFrame) -> DataFrame:

@@ -17,11 +17,11 @@ def hubs_of_user(hub_member: DataFrame, hub: DataFrame) -> DataFrame:
     return own.join(rooms, "hub_id").select("uid", F.col("hub_id").alias("id"), "name", "hub_owner_id", "privilege", "area", "serial")
 
 
-def hub_directory(nodes: DataFrame, hub: DataFrame, disk_usage: DataFrame, page: int = 1, rows: int = 45) -> DataFrame:
+def hub_directory(nodes: DataFrame, hub: DataFrame, disk_usage: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
     """Desk content: ``nodes(owner_id, id, parent_id, category, user_filename, filesize, rank)``.
 
     A room node shows the room's own owner, name and size, a file its own; one left join instead of a
-    look-up per column.
+    look-up per column.  ``page`` None is all of it.
     """
     rooms = hub.select("id", F.lit("hub").alias("category"), F.col("name").alias("h_name"), F.col("area").alias("h_area")).join(
         disk_usage.select(F.col("hub_id").alias("id"), F.col("size").alias("h_size")), "id", "left")
@@ -32,7 +32,7 @@ def hub_directory(nodes: DataFrame, hub: DataFrame, disk_usage: DataFrame, page:
         F.when(is_hub, F.col("h_name")).otherwise(F.col("user_filename")).alias("filename"),
         F.when(is_hub, F.col("h_size")).otherwise(F.col("filesize")).alias("filesize"),
         F.when(is_hub, F.col("h_area")).otherwise(F.lit("personal")).alias("area"), "rank")
-    return paginate(shown, ["owner_id"], [F.col("rank").desc(), F.col("filename").desc(), F.col("nid").asc()], page, rows)
+    return shown if page is None else paginate(shown, ["owner_id"], [F.col("rank").desc(), F.col("filename").desc(), F.col("nid").asc()], page, rows)
 
 
 def privilege(requests: DataFrame, hub_member: DataFrame, hub: DataFrame) -> DataFrame:

@@ -145,29 +145,32 @@ def import_report(imported: DataFrame) -> DataFrame:
         F.count_if(F.col("outcome") == "alreadyincontact").alias("alreadyincontact"))
 
 
-def _earlier(members: DataFrame, column: str) -> DataFrame:
-    """``(index, prev, count)``: the row before with the same value, and how many rows came before."""
-    some = members.where(F.col(column) != "").select(column, "index")
-    ranked = rank_in_groups(some, [column], "index", "_r")
-    before = ranked.select(column, (F.col("_r") + 1).alias("_r"), F.col("index").alias(f"{column}_prev"))
-    return ranked.join(before, [column, "_r"]).select("index", f"{column}_prev", (F.col("_r") - 1).alias(f"{column}_earlier"))
+def _earlier(members: DataFrame, column: str, *scope: str) -> DataFrame:
+    """``(index, prev, count)``: the row before with the same value (in its scope), and how many rows came before."""
+    keys = [*scope, column]
+    some = members.where((F.col(column) != "") & F.forall(F.array(*[F.col(c).isNotNull() for c in keys]), lambda x: x)).select(*keys, "index")
+    ranked = rank_in_groups(some, keys, "index", "_r")
+    before = ranked.select(*keys, (F.col("_r") + 1).alias("_r"), F.col("index").alias(f"{column}_prev"))
+    return ranked.join(before, [*keys, "_r"]).select("index", f"{column}_prev", (F.col("_r") - 1).alias(f"{column}_earlier"))
 
 
 def validate_members(members: DataFrame, user_dir: DataFrame) -> DataFrame:
-    """``members(row_no, firstname, lastname, email, mobile, areacode, ident)`` with all error codes of each row.
+    """``members(row_no, domain_id, firstname, lastname, email, mobile, areacode, ident)`` with all error codes of each row.
+
+    An e-mail is taken or free everywhere, an ident in its domain: the same ident may be free in one and taken in another.
 
     Rows blank in all six fields are dropped; the ident is lower-cased; ``index`` is the file's own row number.
     A duplicate names the nearest earlier row with the same value, and ``ident_earlier``/``email_earlier`` count
     all of them: the chain leads to every earlier row without listing a quadratic number of pairs.
     """
     fields = ("firstname", "lastname", "email", "mobile", "areacode", "ident")
-    clean = members.select(F.col("row_no").alias("index"), *[F.coalesce(F.lower(c) if c == "ident" else F.col(c), F.lit("")).alias(c) for c in fields])
+    clean = members.select(F.col("row_no").alias("index"), "domain_id", *[F.coalesce(F.lower(c) if c == "ident" else F.col(c), F.lit("")).alias(c) for c in fields])
     clean = clean.where(F.concat(*fields) != "")
     mails = user_dir.select("email").distinct().withColumn("mail_used", F.lit(1))
-    idents = user_dir.select(F.lower("username").alias("ident")).distinct().withColumn("ident_used", F.lit(1))
+    idents = user_dir.select("domain_id", F.lower("username").alias("ident")).distinct().withColumn("ident_used", F.lit(1))
     seen = (
-        clean.join(mails, "email", "left").join(idents, "ident", "left")
-        .join(_earlier(clean, "ident"), "index", "left").join(_earlier(clean, "email"), "index", "left"))
+        clean.join(mails, "email", "left").join(idents, ["domain_id", "ident"], "left")
+        .join(_earlier(clean, "ident", "domain_id"), "index", "left").join(_earlier(clean, "email"), "index", "left"))
     empty = {c: F.col(c) == "" for c in fields}
 
     def code(test: Column, text: str) -> Column:
@@ -181,7 +184,7 @@ def validate_members(members: DataFrame, user_dir: DataFrame) -> DataFrame:
         F.concat(F.lit("IDENT_DUPLICATE ("), F.col("ident_prev").cast("string"), F.lit(")")),
         F.concat(F.lit("EMAIL_DUPLICATE ("), F.col("email_prev").cast("string"), F.lit(")"))))
     return seen.select(
-        "index", *fields, status.alias("errorstatus"), F.coalesce("ident_earlier", F.lit(0)).alias("ident_earlier"),
+        "index", "domain_id", *fields, status.alias("errorstatus"), F.coalesce("ident_earlier", F.lit(0)).alias("ident_earlier"),
         F.coalesce("email_earlier", F.lit(0)).alias("email_earlier")).withColumn("error", X.flag(F.size("errorstatus") > 0))
 
 
@@ -197,7 +200,7 @@ def load_members(validated: DataFrame, organisation: str) -> tuple[DataFrame, Da
     """
     errors = validated.agg(F.coalesce(F.sum("error"), F.lit(0))).scalar()
     users = validated.where(errors == 0).select(
-        X.short_id("ident", "email").alias("id"), "email", "firstname", "lastname", F.col("ident").alias("username"), "mobile", "areacode")
+        X.short_id("domain_id", "ident", "email").alias("id"), "email", "firstname", "lastname", F.col("ident").alias("username"), "mobile", "areacode", "domain_id")
     return users, users.select(F.col("id").alias("uid"), F.lit(organisation).alias("org_id"), F.lit("new").alias("status"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Column names and types of the stored tables, with the tenant column first.
 SCHEMAS: dict[str, str] = {
-    "channel": "owner_id string, sys_id bigint, author_id string, entity_id string, message string, message_id string, attachment string, ctime bigint, metadata string",
+    "channel": "owner_id string, sys_id bigint, author_id string, entity_id string, message string, message_id string, thread_id string, attachment string, ctime bigint, metadata string",
     "read_channel": "owner_id string, entity_id string, uid string, ref_sys_id bigint",
-    "team_channel": "hub_id string, sys_id bigint, author_id string, message_id string, message string, attachment string, ctime bigint, metadata string",
+    "team_channel": "hub_id string, sys_id bigint, author_id string, message_id string, message string, thread_id string, attachment string, ctime bigint, metadata string",
     "team_read": "hub_id string, uid string, ref_sys_id bigint, ctime bigint",
     "team_delete": "hub_id string, uid string, ref_sys_id bigint",
     "contact": "owner_id string, sys_id bigint, id string, surname string, firstname string, lastname string, entity string, uid string, status string, source string, metadata string, message string, ctime bigint, mtime bigint",

@@ -19,10 +19,10 @@ ORDERS = """SELECT 'u1' AS owner_id, '["r3","r1","n4"]' AS ids FROM region WHERE
 OWNED_TAGS = "SELECT 'u1' AS owner_id, tag_id, position FROM tag UNION ALL SELECT 'u2', tag_id, position FROM tag UNION ALL SELECT 'u3', tag_id, position FROM tag"
 POSTS = f"""SELECT * FROM (SELECT event_id AS seq, 'u' || CAST(user_id AS STRING) AS author_id, 'u' || CAST((user_id * 5 + 1) % {NU} AS STRING) AS entity_id,
   CASE WHEN event_id % 4 = 0 THEN 'm' || CAST(event_id AS STRING) ELSE 'p' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS STRING) END AS message_id,
-  CASE WHEN event_id % 9 = 0 THEN '' ELSE event_type END AS message, CAST(NULL AS STRING) AS attachment, 1710000000 + event_id AS ctime,
+  CASE WHEN event_id % 9 = 0 THEN '' ELSE event_type END AS message, CAST(NULL AS STRING) AS attachment, 1710000000 + event_id AS ctime, CASE WHEN event_id % 6 = 1 THEN 'm' || CAST(event_id - 1 AS STRING) END AS thread_id,
   CASE WHEN event_id % 7 = 0 THEN 'm' || CAST(event_id % 50 AS STRING) END AS forward_message_id, 'h' || CAST(event_id % 5 AS STRING) AS forward_hub_id FROM events) p0 WHERE author_id <> entity_id"""
 TEAM_POSTS = f"""SELECT event_id AS seq, 'h' || CAST(event_id % {NH} AS STRING) AS hub_id, 'u' || CAST((user_id + 1) % {NU} AS STRING) AS author_id,
-  CASE WHEN event_id % 3 = 0 THEN 't' || CAST(event_id AS STRING) ELSE 'tp' || CAST(event_id % 4000 AS STRING) END AS message_id, event_type AS message, CAST(NULL AS STRING) AS attachment, 1710000000 + event_id AS ctime FROM events"""
+  CASE WHEN event_id % 3 = 0 THEN 't' || CAST(event_id AS STRING) ELSE 'tp' || CAST(event_id % 4000 AS STRING) END AS message_id, event_type AS message, CASE WHEN event_id % 4 = 1 THEN 't' || CAST(event_id - 2 * {NH} AS STRING) END AS thread_id, CAST(NULL AS STRING) AS attachment, 1710000000 + event_id AS ctime FROM events"""
 ACKS = f"""SELECT 'u' || CAST(user_id AS STRING) AS uid, 'u' || CAST((user_id * 3 + event_id % 8 + 1) % {NU} AS STRING) AS entity_id,
   CASE WHEN event_id % 6 = 5 THEN 'zz' ELSE 'm' || CAST(event_id AS STRING) END AS message_id FROM events"""
 DELS = f"""SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'u' || CAST((user_id * 3 + event_id % 8 + 1) % {NU} AS STRING) ELSE 'u' || CAST(user_id AS STRING) END AS uid,
@@ -35,6 +35,8 @@ TWO = "SELECT hub_id, min(uid) AS uid FROM team_delete GROUP BY hub_id UNION SEL
 TWO_STONES = "SELECT hub_id, uid, ref_sys_id FROM team_delete"
 ROOMS = "SELECT m.uid AS owner_id, m.hub_id AS hub_id, h.area AS area FROM hub_member m JOIN hub h ON h.id = m.hub_id"
 CLEARING = "SELECT id AS uid FROM user_dir WHERE connected = 1"
+CLEAR_ONE = "SELECT m.uid AS uid, m.hub_id AS entity_id FROM hub_member m WHERE m.sys_id % 11 = 0"
+CLEAR_INBOX = "SELECT owner_id AS uid, min(entity_id) AS entity_id FROM read_channel GROUP BY owner_id"
 CALLS = f"""SELECT * FROM (SELECT event_id AS seq, 'u' || CAST(user_id AS STRING) AS author_id, 'u' || CAST((user_id * 5 + 1) % {NU} AS STRING) AS entity_id, 'call' || CAST(event_id AS STRING) AS message_id,
   CASE event_type WHEN 'signup' THEN 'cancel' WHEN 'view' THEN 'leave' WHEN 'purchase' THEN 'reject' ELSE 'ring' END AS type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 100 END AS duration,
   CASE WHEN event_id % 5 = 0 THEN 'callee' ELSE 'caller' END AS role, 1710000000 + event_id AS ctime FROM events) c0 WHERE author_id <> entity_id"""
@@ -58,10 +60,14 @@ OWNER_MOVES = "SELECT hub_id, uid FROM hub_member WHERE permission = 31"
 MOVES = f"""SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'leave' WHEN 1 THEN 'leave_all' ELSE 'join' END AS op, 'h' || CAST(o_orderkey % {NH} AS STRING) AS hub_id, 'u' || CAST(o_custkey % 400 AS STRING) AS uid,
   CAST(o_orderkey % 8 AS INT) AS permission FROM orders"""
 LEAVERS = "SELECT id AS uid FROM user_dir WHERE connected = 1"
-REVS = """SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN 'unpublish' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete_lang' ELSE CASE WHEN o_orderkey % 501 = 7 THEN 'purge' ELSE 'save' END END AS op,
-  'b' || CAST(o_orderkey % 55 AS STRING) AS master_id, CASE o_orderkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'zh' END AS lang, CASE o_orderkey % 2 WHEN 0 THEN 'desktop' ELSE 'mobile' END AS device,
-  'u' || CAST(o_custkey AS STRING) AS author_id, CASE WHEN o_orderkey % 4 = 0 THEN 'page-' || CAST(o_orderkey % 7 AS STRING) || '-v' || CAST(o_orderkey % 50 AS STRING) ELSE 'new-' || CAST(o_orderkey % 55 AS STRING) END AS hashtag,
-  CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS isonline, 1500000000 + o_orderkey AS ctime FROM orders"""
+REVS = """SELECT o_orderkey AS seq, CASE o_orderkey % 10 WHEN 0 THEN 'unpublish' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete_lang' WHEN 3 THEN 'publish' WHEN 4 THEN 'copy'
+    ELSE CASE WHEN o_orderkey % 501 = 7 THEN 'purge' WHEN o_orderkey % 100 = 5 THEN 'archive' ELSE 'save' END END AS op,
+  CASE WHEN o_orderkey % 10 IN (3, 4) THEN 'b' || CAST(o_custkey % 50 AS STRING) WHEN o_orderkey % 5000 = 12 THEN NULL ELSE 'b' || CAST(o_orderkey % 55 AS STRING) END AS master_id,
+  CASE WHEN o_orderkey % 10 = 4 THEN CASE o_orderkey % 4 WHEN 0 THEN 'en' ELSE 'es' END ELSE CASE o_orderkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'zh' END END AS lang,
+  CASE WHEN o_orderkey % 300 IN (12, 102) THEN NULL ELSE CASE o_orderkey % 2 WHEN 0 THEN 'desktop' ELSE 'mobile' END END AS device, 'u' || CAST(o_custkey AS STRING) AS author_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'page-' || CAST(o_orderkey % 7 AS STRING) || '-v' || CAST(o_orderkey % 50 AS STRING) WHEN o_orderkey % 9 = 1 THEN 'both-' || CAST(o_orderkey % 97 AS STRING) ELSE 'new-' || CAST(o_orderkey % 55 AS STRING) END AS hashtag,
+  CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS isonline, 1500000000 + o_orderkey AS ctime, CASE WHEN o_orderkey % 10 IN (3, 4) THEN o_orderkey + CASE WHEN o_orderkey % 70 = 3 THEN 1 ELSE 0 END END AS target,
+  CASE WHEN o_orderkey % 20 = 4 THEN 'cp' || CAST(o_orderkey AS STRING) END AS copy_id FROM orders"""
 TAG_EDITS = """SELECT n_nationkey AS seq, 'add' AS op, 'z' || CAST(n_nationkey AS STRING) AS tag_id, 'r' || CAST(n_regionkey AS STRING) AS parent_tag_id, CASE WHEN n_nationkey % 2 = 0 THEN 'NATION_3' ELSE 'fresh' END AS name FROM nation
   UNION ALL SELECT 100 + n_nationkey, 'rename', 'n' || CAST(n_nationkey AS STRING), NULL, 'renamed ' || CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey % 3 = 0
   UNION ALL SELECT 200 + n_nationkey, 'assign', CASE WHEN n_nationkey % 4 = 0 THEN 'r' || CAST(n_regionkey AS STRING) ELSE 'n' || CAST(n_nationkey AS STRING) END, CASE WHEN n_nationkey % 4 = 0 THEN 'n' || CAST(n_nationkey AS STRING) ELSE 'r' || CAST((n_regionkey + 2) % 5 AS STRING) END, NULL FROM nation
@@ -87,6 +93,13 @@ def _invites(t: Tables):
     return JC.email_invites(t.token, t.user_dir, t.sql(MAILED))
 
 
+def _posted_threads(t: Tables):
+    """Threads of the inboxes once the posts are in them."""
+    cols = ["owner_id", "entity_id", "sys_id", "author_id", "message", "message_id", "thread_id"]
+    inbox = t.channel.select(*cols).unionByName(JM.post_messages(t.sql(POSTS), t.channel).select(*cols))
+    return M.message_threads(inbox, t.contact).select("owner_id", "entity_id", "message_id", "thread_id", "thread_message", "thread_author_id")
+
+
 def _revisions(t: Tables):
     return JR.revisions(t.block_history, t.block, t.sql(REVS))
 
@@ -97,6 +110,9 @@ QUERIES = {
     "index_upsert": lambda t: JR.index_upsert(t.sql(PAGES), t.sql(PAGE_CHANGES)),
     "post_messages": lambda t: JM.post_messages(t.sql(POSTS), t.channel),
     "post_team_messages": lambda t: JM.post_team_messages(t.sql(TEAM_POSTS), t.team_channel),
+    "posted_threads": lambda t: _posted_threads(t),
+    "clear_one_entity": lambda t: JM.clear_team_markers(t.sql(CLEAR_ONE), t.sql(ROOMS), t.team_read),
+    "clear_one_inbox": lambda t: JM.clear_private_markers(t.sql(CLEAR_INBOX), t.read_channel),
     "markers_after_post": lambda t: JM.markers_after_post(JM.post_team_messages(t.sql(TEAM_POSTS), t.team_channel), t.team_read),
     "apply_acks": lambda t: JM.apply_acks(t.sql(ACKS), t.channel, t.read_channel),
     "delete_status": lambda t: JM.delete_status(t.sql(DELS).withColumn("owner_id", F.col("uid")), t.channel, "owner_id"),
@@ -154,8 +170,8 @@ _FOLD = f"""WITH p AS (SELECT seq, least(actor, target) AS low, greatest(actor,
   f AS (SELECT low, high, list_reduce(list_prepend('none|none', list(e ORDER BY seq)), lambda s, e: CASE WHEN split_part(e, '|', 2) = 'L' THEN ({_NA}) || '|' || ({_NB}) ELSE ({_NB}) || '|' || ({_NA}) END) AS st FROM p GROUP BY low, high),
   r AS (SELECT low AS owner_id, high AS entity, split_part(st, '|', 1) AS status FROM f UNION ALL SELECT high, low, split_part(st, '|', 2) FROM f)
   SELECT owner_id, entity, status, CASE WHEN status IN ('informed', 'active') THEN entity END AS uid FROM r WHERE status <> 'none' AND owner_id IN (SELECT id FROM user_dir)"""
-_POST = f"""pp AS ({POSTS}), ib AS (SELECT seq, author_id, message_id, message, attachment, ctime, forward_message_id, forward_hub_id, author_id AS owner_id, entity_id FROM pp
-    UNION ALL SELECT seq, author_id, message_id, message, attachment, ctime, forward_message_id, forward_hub_id, entity_id, author_id FROM pp),
+_POST = f"""pp AS ({POSTS}), ib AS (SELECT seq, author_id, message_id, message, thread_id, attachment, ctime, forward_message_id, forward_hub_id, author_id AS owner_id, entity_id FROM pp
+    UNION ALL SELECT seq, author_id, message_id, message, thread_id, attachment, ctime, forward_message_id, forward_hub_id, entity_id, author_id FROM pp),
   fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, message_id ORDER BY seq) AS rn FROM ib) q WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM channel c WHERE c.owner_id = q.owner_id AND c.message_id = q.message_id))"""
 _STATUS = """st AS (SELECT request_id, CASE WHEN bool_or(option NOT IN ('me', 'all')) THEN 'INVALID_OPTION' WHEN bool_or(author_id IS NULL) THEN 'INVALID_MESSAGES'
   WHEN bool_or(option = 'all' AND author_id <> uid) THEN 'INVALID_OPTION' ELSE 'OK' END AS status FROM (SELECT d.*, c.author_id FROM rq d LEFT JOIN {table} c ON c.{tenant} = d.{by} AND c.message_id = d.message_id) GROUP BY request_id)"""
@@ -182,12 +198,24 @@ _GR = f"""g0 AS ({GRANTS}), ch AS ({GRANT_CHANGES}),
 _MEM = f"""mv AS ({MOVES}), al AS (SELECT hub_id, uid, permission, -1 AS seq, 'join' AS op FROM hub_member UNION ALL SELECT hub_id, uid, permission, seq, op FROM mv WHERE op <> 'leave_all'),
   now AS (SELECT hub_id, uid, permission FROM al WHERE op = 'join' AND NOT EXISTS (SELECT 1 FROM al b WHERE b.hub_id = al.hub_id AND b.uid = al.uid AND b.seq > al.seq)
     AND NOT EXISTS (SELECT 1 FROM mv w WHERE w.op = 'leave_all' AND w.uid = al.uid AND w.seq > al.seq))"""
-_REV = f"""cg AS ({REVS}), cl AS (SELECT DISTINCT cg.seq, cg.master_id, cg.hashtag FROM cg JOIN block b ON b.hashtag = cg.hashtag AND b.id <> cg.master_id WHERE cg.op IN ('save', 'rename')),
-  ok AS (SELECT * FROM cg WHERE seq NOT IN (SELECT seq FROM cl)), mx AS (SELECT max(serial) AS m FROM block_history),
-  rw AS (SELECT serial, master_id, author_id, lang, device, isonline, ctime, -1 AS seq FROM block_history UNION ALL SELECT m + 1 + seq, master_id, author_id, lang, device, isonline, ctime, seq FROM ok, mx WHERE op = 'save'),
-  lf AS (SELECT serial, master_id, author_id, lang, device, ctime, CASE WHEN EXISTS (SELECT 1 FROM ok WHERE op = 'unpublish' AND ok.master_id = rw.master_id AND ok.lang = rw.lang AND ok.device = rw.device AND ok.seq >= rw.seq) THEN 0 ELSE isonline END AS isonline
-    FROM rw WHERE NOT EXISTS (SELECT 1 FROM ok WHERE op = 'purge' AND ok.master_id = rw.master_id AND ok.seq >= rw.seq)
-    AND NOT EXISTS (SELECT 1 FROM ok WHERE op = 'delete_lang' AND ok.master_id = rw.master_id AND ok.lang = rw.lang AND ok.device = rw.device AND ok.seq >= rw.seq))"""
+_REV = f"""cg AS ({REVS}), src AS (SELECT cg.*, h.master_id AS of, h.lang AS flang, h.device AS fdev, CASE WHEN op = 'copy' AND copy_id IS NOT NULL THEN copy_id ELSE cg.master_id END AS page,
+    op IN ('save', 'rename') OR (op = 'copy' AND copy_id IS NOT NULL) AS names FROM cg LEFT JOIN block_history h ON h.serial = cg.target),
+  fst AS (SELECT hashtag, arg_min(page, seq) AS winner FROM src WHERE names AND hashtag NOT IN (SELECT hashtag FROM block) GROUP BY hashtag),
+  jd AS (SELECT src.*, CASE WHEN op NOT IN ('save', 'rename', 'publish', 'unpublish', 'copy', 'delete_lang', 'purge') THEN 'unknown_op'
+      WHEN op IN ('publish', 'copy') AND (of IS NULL OR of <> master_id OR (op = 'publish' AND flang <> lang)) THEN 'unknown_revision'
+      WHEN names AND (EXISTS (SELECT 1 FROM block b WHERE b.hashtag = src.hashtag AND b.id <> page) OR EXISTS (SELECT 1 FROM fst WHERE fst.hashtag = src.hashtag AND winner <> page)) THEN 'hash_exist'
+      WHEN op = 'copy' AND copy_id IS NULL AND (EXISTS (SELECT 1 FROM block_history h WHERE h.master_id = src.master_id AND h.lang = src.lang AND h.device = fdev)
+        OR EXISTS (SELECT 1 FROM cg s WHERE s.op = 'save' AND s.master_id = src.master_id AND s.lang = src.lang AND s.device = fdev AND s.seq < src.seq)) THEN 'confirm_copy' END AS reason FROM src),
+  ok AS (SELECT * FROM jd WHERE reason IS NULL), mx AS (SELECT max(serial) AS m FROM block_history),
+  rw AS (SELECT serial, master_id, author_id, lang, device, isonline, ctime, -1 AS seq FROM block_history
+    UNION ALL SELECT m + 1 + seq, page, author_id, lang, CASE op WHEN 'copy' THEN fdev ELSE device END, CASE op WHEN 'copy' THEN 0 ELSE isonline END, ctime, seq FROM ok, mx WHERE op IN ('save', 'copy')),
+  dl AS (SELECT * FROM ok WHERE op IN ('purge', 'delete_lang')),
+  lv AS (SELECT * FROM rw WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.seq >= rw.seq AND dl.master_id = rw.master_id AND (op = 'purge' OR (dl.lang = rw.lang AND dl.device IS NULL) OR (dl.lang = rw.lang AND dl.device = rw.device)))
+    AND NOT EXISTS (SELECT 1 FROM dl WHERE op = 'delete_lang' AND dl.master_id IS NULL AND dl.lang = rw.lang AND dl.seq >= rw.seq)),
+  tm AS (SELECT lv.*, (SELECT max(seq) FROM ok WHERE op = 'publish' AND ok.target = lv.serial) AS pub,
+    (SELECT max(seq) FROM ok WHERE op = 'unpublish' AND ok.master_id = lv.master_id AND ok.lang = lv.lang AND ok.device = lv.device) AS off FROM lv),
+  oo AS (SELECT *, greatest(seq, coalesce(pub, -1)) AS drafted, nullif(greatest(CASE WHEN isonline = 1 THEN seq ELSE -2 END, coalesce(pub, -2)), -2) AS o FROM tm),
+  lf AS (SELECT * EXCLUDE (o), CASE WHEN off IS NULL OR o > off THEN o END AS o FROM oo)"""
 
 ORACLES = {
     "upsert": f"""WITH o AS ({OLD_BLACK}), c AS ({BLACK}), k AS (SELECT owner_id, email FROM o UNION SELECT owner_id, email FROM c),
@@ -200,14 +228,22 @@ ORACLES = {
     "index_upsert": f"""WITH c AS (SELECT id || '-' || lang AS key, arg_max(content, seq) AS content, arg_max(hashtag, seq) AS hashtag FROM ({PAGE_CHANGES}) z GROUP BY 1)
       SELECT * FROM c UNION ALL SELECT * FROM ({PAGES}) p WHERE p.key NOT IN (SELECT key FROM c)""",
     "post_messages": f"""WITH {_POST} SELECT owner_id, entity_id, COALESCE((SELECT max(sys_id) FROM channel c WHERE c.owner_id = fr.owner_id), 0) + row_number() OVER (PARTITION BY owner_id ORDER BY seq) AS sys_id, author_id, message_id,
-      nullif(message, '') AS message, attachment, ctime, CASE WHEN forward_message_id IS NOT NULL THEN 1 ELSE 0 END AS is_forward,
+      nullif(message, '') AS message, thread_id, attachment, ctime, CASE WHEN forward_message_id IS NOT NULL THEN 1 ELSE 0 END AS is_forward,
       '{{"_seen_":{{"' || author_id || '":1}},"_delivered_":{{"' || author_id || '":' || ctime || ',"' || CASE WHEN author_id = owner_id THEN entity_id ELSE owner_id END || '":' || ctime || '}}' ||
       CASE WHEN forward_message_id IS NULL THEN '' ELSE ',"forward_message_id":"' || forward_message_id || '","forward_hub_id":"' || forward_hub_id || '"' END || '}}' AS metadata FROM fr""",
     "post_team_messages": f"""WITH fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub_id, message_id ORDER BY seq) AS rn FROM ({TEAM_POSTS}) p) q WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM team_channel c WHERE c.hub_id = q.hub_id AND c.message_id = q.message_id))
-      SELECT hub_id, COALESCE((SELECT max(sys_id) FROM team_channel c WHERE c.hub_id = fr.hub_id), 0) + row_number() OVER (PARTITION BY hub_id ORDER BY seq) AS sys_id, author_id, message_id, nullif(message, '') AS message, attachment, ctime FROM fr""",
+      SELECT hub_id, COALESCE((SELECT max(sys_id) FROM team_channel c WHERE c.hub_id = fr.hub_id), 0) + row_number() OVER (PARTITION BY hub_id ORDER BY seq) AS sys_id, author_id, message_id, nullif(message, '') AS message, thread_id, attachment, ctime FROM fr""",
     "markers_after_post": f"""WITH fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub_id, message_id ORDER BY seq) AS rn FROM ({TEAM_POSTS}) p) q WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM team_channel c WHERE c.hub_id = q.hub_id AND c.message_id = q.message_id)),
       n AS (SELECT hub_id, author_id AS uid, COALESCE((SELECT max(sys_id) FROM team_channel c WHERE c.hub_id = fr.hub_id), 0) + row_number() OVER (PARTITION BY hub_id ORDER BY seq) AS ref_sys_id FROM fr)
       SELECT hub_id, uid, max(ref_sys_id) AS ref_sys_id FROM (SELECT hub_id, uid, ref_sys_id FROM team_read UNION ALL SELECT * FROM n) GROUP BY ALL""",
+    "posted_threads": f"""WITH {_POST}, b AS (SELECT owner_id, entity_id, author_id, message, message_id, thread_id FROM channel UNION ALL SELECT owner_id, entity_id, author_id, nullif(message, ''), message_id, thread_id FROM fr)
+      SELECT c.owner_id, c.entity_id, c.message_id, c.thread_id, coalesce(p.message, 'DELETED') AS thread_message, p.author_id AS thread_author_id
+      FROM b c LEFT JOIN b p ON (p.owner_id, p.entity_id, p.message_id) = (c.owner_id, c.entity_id, c.thread_id) WHERE c.thread_id IS NOT NULL""",
+    "clear_one_entity": f"""WITH clr AS (SELECT DISTINCT r.hub_id, r.owner_id AS uid FROM ({ROOMS}) r JOIN ({CLEAR_ONE}) o ON (o.uid, o.entity_id) = (r.owner_id, r.hub_id) WHERE r.area IN ('private', 'share', 'public'))
+      SELECT hub_id, uid, ref_sys_id FROM team_read r ANTI JOIN clr USING (hub_id, uid)
+      UNION ALL SELECT hub_id, uid, coalesce((SELECT max(ref_sys_id) FROM team_read r WHERE r.hub_id = clr.hub_id), 0) FROM clr""",
+    "clear_one_inbox": f"""WITH n AS (SELECT owner_id, entity_id, owner_id AS uid, max(ref_sys_id) AS ref_sys_id FROM read_channel WHERE uid <> owner_id AND (owner_id, entity_id) IN (SELECT (uid, entity_id) FROM ({CLEAR_INBOX})) GROUP BY owner_id, entity_id)
+      SELECT owner_id, entity_id, uid, ref_sys_id FROM read_channel r ANTI JOIN n USING (owner_id, entity_id, uid) UNION ALL SELECT * FROM n""",
     "apply_acks": f"""WITH a AS (SELECT DISTINCT * FROM ({ACKS}) z), x AS (
       SELECT a.uid AS owner_id, a.entity_id, a.uid, c.sys_id FROM a JOIN channel c ON c.owner_id = a.uid AND c.message_id = a.message_id
       UNION ALL SELECT a.entity_id, a.uid, a.uid, c.sys_id FROM a JOIN channel c ON c.owner_id = a.entity_id AND c.message_id = a.message_id
@@ -271,11 +307,12 @@ ORACLES = {
     "offboard": f"""WITH g AS ({LEAVERS}), lost AS (SELECT DISTINCT hub_id FROM hub_member WHERE permission = 63 AND uid IN (SELECT uid FROM g))
       SELECT hub_id, uid FROM (SELECT m.hub_id, m.uid, row_number() OVER (PARTITION BY m.hub_id ORDER BY CASE WHEN permission = 63 THEN 0 WHEN permission & 16 > 0 THEN 1 ELSE 2 END, m.uid) AS rn
       FROM hub_member m WHERE m.hub_id IN (SELECT hub_id FROM lost) AND m.uid NOT IN (SELECT uid FROM g)) WHERE rn = 1""",
-    "revisions": f"""WITH {_REV} SELECT serial, master_id, lang, CASE WHEN serial = max(serial) OVER (PARTITION BY master_id, lang) THEN 'draft' ELSE 'history' END AS status,
-      CASE WHEN isonline = 1 AND serial = max(serial) FILTER (isonline = 1) OVER (PARTITION BY master_id, lang) THEN 1 ELSE 0 END AS isonline, max(serial) OVER (PARTITION BY master_id) AS active, author_id, device, ctime FROM lf""",
-    "revision_pages": f"""WITH {_REV} SELECT master_id AS id, COALESCE((SELECT arg_max(hashtag, seq) FROM ok WHERE ok.op IN ('save', 'rename') AND ok.master_id = lf.master_id), (SELECT hashtag FROM block b WHERE b.id = lf.master_id)) AS hashtag,
-      max(serial) AS active FROM lf GROUP BY master_id""",
-    "revision_refused": f"WITH {_REV} SELECT seq, master_id, hashtag, 1 AS hash_exist FROM cl",
+    "revisions": f"""WITH {_REV} SELECT serial, master_id, lang, CASE WHEN row_number() OVER (PARTITION BY master_id, lang ORDER BY drafted DESC, serial DESC) = 1 THEN 'draft' ELSE 'history' END AS status,
+      CASE WHEN o IS NOT NULL AND row_number() OVER (PARTITION BY master_id, lang ORDER BY o DESC NULLS LAST, serial DESC) = 1 THEN 1 ELSE 0 END AS isonline,
+      first_value(serial) OVER (PARTITION BY master_id ORDER BY drafted DESC, serial DESC) AS active, author_id, device, ctime FROM lf""",
+    "revision_pages": f"""WITH {_REV}, nm AS (SELECT page, arg_max(hashtag, seq) AS tag FROM ok WHERE names GROUP BY page), ac AS (SELECT master_id AS id, max_by(serial, (drafted, serial)) AS active FROM lf GROUP BY master_id)
+      SELECT ac.id, ifnull(nm.tag, b.hashtag) AS hashtag, ac.active FROM ac LEFT JOIN nm ON nm.page = ac.id LEFT JOIN block b ON b.id = ac.id""",
+    "revision_refused": f"WITH {_REV} SELECT seq, op, master_id, hashtag, reason, CASE reason WHEN 'hash_exist' THEN 1 ELSE 0 END AS hash_exist FROM jd WHERE reason IS NOT NULL",
     "tag_edit": f"""WITH RECURSIVE ed AS ({TAG_EDITS}),
       ad AS (SELECT tag_id, parent_tag_id, seq, row_number() OVER (ORDER BY seq) AS pos, CASE WHEN name = 'fresh' AND row_number() OVER (PARTITION BY name ORDER BY seq) = 1 THEN name
         ELSE name || ' (' || (row_number() OVER (PARTITION BY name ORDER BY seq) - CASE WHEN name = 'fresh' THEN 1 ELSE 0 END) || ')' END AS name FROM ed WHERE op = 'add'),

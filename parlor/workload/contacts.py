@@ -6,6 +6,7 @@ from parlor.functions import expr as X
 from parlor.operators import contacts as C
 from parlor.operators import trees
 from parlor.plans.skew import paginate, top_in_groups
+from parlor.workload.book import BOOK
 from parlor.workload.fixtures import Tables
 
 CANDIDATES = """SELECT c_custkey AS row_no, 'u' || CAST(c_custkey AS STRING) AS owner_id, 'u' || CAST((c_custkey * 3 + c_custkey % 8 + 1) % 150 AS STRING) AS entity,
@@ -61,22 +62,15 @@ QUERIES = {
     "contact_export": lambda t: C.contact_export(t.contact, t.contact_email, t.contact_phone, t.contact_address, t.user_dir),
 }
 
-_SHOW = """COALESCE(c.surname, CASE WHEN COALESCE(c.firstname, c.lastname) IS NULL THEN COALESCE(ce.email, de.email)
-  ELSE COALESCE(c.firstname, '') || ' ' || COALESCE(c.lastname, '') END)"""
-_FULL = "COALESCE(c.firstname, '') || ' ' || COALESCE(c.lastname, '')"
-_MINE = "CASE WHEN EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.owner_id AND b.contact_id = c.id) THEN 1 ELSE 0 END AS is_blocked"
-_HIS = """CASE WHEN EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.entity AND (b.uid = c.owner_id OR b.entity = c.owner_id OR b.entity = me.email))
-  OR EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = dm.id AND (b.uid = c.owner_id OR b.entity = c.owner_id OR b.entity = me.email)) THEN 1 ELSE 0 END AS is_blocked_me"""
-_STAR = """contact c LEFT JOIN contact_email ce ON ce.contact_id = c.id AND ce.is_default = 1 LEFT JOIN user_dir de ON de.id = c.entity
-  LEFT JOIN user_dir du ON du.id = c.uid LEFT JOIN user_dir dm ON dm.email = ce.email LEFT JOIN user_dir me ON me.id = c.owner_id"""
-_ARCH = "EXISTS (SELECT 1 FROM archive_entity a WHERE a.owner_id = c.owner_id AND a.entity_id = c.id)"
-_LIST = f"""SELECT c.owner_id, c.sys_id, c.id, 1 AS is_mycontact, 'my_contact' AS type, c.firstname, c.lastname, c.ctime, c.entity, {_SHOW} AS surname,
-  c.surname AS given_surname, CASE WHEN EXISTS (SELECT 1 FROM socket s WHERE s.uid = c.entity AND s.state = 'active') THEN du.connected ELSE 0 END AS online,
-  CASE WHEN de.id IS NOT NULL THEN 1 ELSE 0 END AS is_user, du.username, c.status, 1 AS is_need_email, {_MINE}, {_HIS},
-  CASE WHEN {_ARCH} THEN 1 ELSE 0 END AS is_archived FROM {_STAR} WHERE c.status <> 'received' AND NOT {_ARCH}"""
-_FIND = f"""SELECT c.owner_id, c.id AS contact_id, 1 AS is_mycontact, COALESCE(du.id, de.id, c.entity) AS id, COALESCE(du.email, de.email, ce.email) AS email,
-  c.firstname, c.lastname, {_FULL} AS fullname, {_SHOW} AS surname, CASE WHEN c.uid IS NULL THEN 0 ELSE 1 END AS is_user,
-  CASE WHEN du.id IS NULL THEN 1 ELSE 0 END AS is_need_email, c.status, {_MINE}, {_HIS} FROM {_STAR} WHERE c.status <> 'received'"""
+_FLAGS = "by_me AS is_blocked, by_them AS is_blocked_me"
+_USER = "CASE WHEN {} IS NULL THEN 0 ELSE 1 END AS is_user"
+_VISIBLE = "status IN ('memory', 'sent', 'invitation', 'informed', 'accept', 'active')"
+#: The list of a book, and what a search in it returns.
+_LIST = f"""SELECT owner_id, id, entity, status, ctime, firstname, lastname, surname AS given_surname, shown AS surname, username, {_USER.format('person_id')}, {_FLAGS}, filed AS is_archived,
+  CASE WHEN entity IN (SELECT uid FROM socket WHERE state = 'active') THEN connected ELSE 0 END AS online, 1 AS is_mycontact, 1 AS is_need_email, 'my_contact' AS type, sys_id
+  FROM card WHERE {_VISIBLE} AND filed = 0"""
+_FOUND = f"""owner_id, id AS contact_id, ifnull(ifnull(account_id, person_id), entity) AS id, ifnull(ifnull(account_mail, person_mail), own_mail) AS email, firstname, lastname, whole_name AS fullname,
+  shown AS surname, status, {_USER.format('uid')}, CASE WHEN account_id IS NULL THEN 1 ELSE 0 END AS is_need_email, 1 AS is_mycontact, {_FLAGS}"""
 
 
 def _like(key: str, *columns: str) -> str:
@@ -91,36 +85,36 @@ def _json(rows: str, fields: list[str], order: str) -> str:
 
 
 ORACLES = {
-    "display_name": f"""SELECT c.owner_id, c.id, {_SHOW} AS surname, {_FULL} AS fullname, c.surname AS given_surname
-      FROM contact c LEFT JOIN contact_email ce ON ce.contact_id = c.id AND ce.is_default = 1 LEFT JOIN user_dir de ON de.id = c.entity""",
+    "display_name": f"WITH {BOOK} SELECT owner_id, id, shown AS surname, whole_name AS fullname, surname AS given_surname FROM card",
     "prefix_search": f"SELECT owner_id, id FROM contact WHERE {_like('f12', 'firstname', 'lastname', 'surname')}",
     "contains_search": "SELECT id, hashtag FROM block WHERE lower(hashtag) LIKE '%-v1%'",
-    "archived_option": f"SELECT owner_id, id, status FROM contact c WHERE {_ARCH}",
+    "archived_option": "SELECT c.owner_id, c.id, c.status FROM contact c JOIN archive_entity a ON (a.owner_id, a.entity_id) = (c.owner_id, c.id)",
     "paginate": "SELECT owner_id, id, sys_id FROM (SELECT owner_id, id, sys_id, row_number() OVER (PARTITION BY owner_id ORDER BY sys_id) AS rn FROM contact) WHERE rn BETWEEN 5 AND 8",
-    "dynamic_sort": f"""SELECT * FROM (SELECT owner_id, id, surname, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY surname DESC NULLS LAST, id) AS INTEGER) AS place FROM (
-      SELECT c.owner_id, c.id, {_SHOW} AS surname FROM contact c LEFT JOIN contact_email ce ON ce.contact_id = c.id AND ce.is_default = 1 LEFT JOIN user_dir de ON de.id = c.entity)) WHERE place <= 5""",
-    "contact_list": f"SELECT * EXCLUDE (sys_id) FROM ({_LIST})",
-    "contact_list_tagged": f"""WITH RECURSIVE sub AS (SELECT tag_id FROM tag WHERE tag_id = 'r1' UNION ALL SELECT k.tag_id FROM tag k JOIN sub ON k.parent_tag_id = sub.tag_id),
-      l AS ({_LIST}), f AS (SELECT l.* FROM l WHERE EXISTS (SELECT 1 FROM map_tag m JOIN sub ON sub.tag_id = m.tag_id WHERE m.owner_id = l.owner_id AND m.id = l.id))
-      SELECT * EXCLUDE (sys_id, rn) FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY surname NULLS FIRST, sys_id) AS rn FROM f) WHERE rn <= 3""",
-    "contact_search": f"{_FIND} AND {_like('f1', 'c.firstname', 'c.lastname', 'c.surname', 'c.source')}",
-    "contact_search_domain": f"""SELECT c.owner_id, 1 AS is_mycontact, 'my_contact' AS type, c.id,
-      CASE WHEN COALESCE(c.firstname, c.lastname) IS NULL THEN COALESCE(ce.email, de.email) END AS email, {_SHOW} AS surname, c.surname AS given_surname,
-      c.firstname, c.lastname, {_FULL} AS fullname, CASE WHEN c.uid IS NULL THEN 0 ELSE 1 END AS is_user, 1 AS is_need_email, c.status, {_MINE}, {_HIS}
-      FROM {_STAR} WHERE c.status <> 'received' AND {_like('s2', 'c.firstname', 'c.lastname', 'c.surname', 'COALESCE(c.firstname, c.lastname, c.source)')}""",
-    "contact_pick": f"""SELECT * FROM ({_FIND} AND {_like('l', 'c.firstname', 'c.lastname', 'c.surname', 'c.source')} AND c.status <> 'active') q
-      WHERE q.email NOT IN (SELECT email FROM user_dir WHERE domain_id < 5)""",
-    "contact_card": f"""SELECT c.owner_id, c.id, c.entity, c.firstname, c.lastname, c.ctime, c.mtime, c.uid, c.status, c.source, COALESCE(du.connected, -1) AS connected,
-      du.username, du.domain_id, CASE WHEN de.id IS NOT NULL THEN 1 ELSE 0 END AS is_user, {_SHOW} AS surname, c.surname AS given_surname, 1 AS is_need_email,
-      {_MINE}, {_HIS}, CASE WHEN {_ARCH} THEN 1 ELSE 0 END AS is_archived, CAST(1 AS BIGINT) AS part,
-      {_json("contact_email x WHERE x.contact_id = c.id", ["id", "email", "category", "is_default:n"], "x.sys_id")} AS emails,
-      {_json("contact_phone x WHERE x.contact_id = c.id", ["id", "areacode", "phone", "category"], "x.sys_id")} AS phones,
-      {_json("(SELECT id, contact_id, category, sys_id, json_extract_string(address, '$.street') AS street, json_extract_string(address, '$.city') AS city FROM contact_address) x WHERE x.contact_id = c.id", ["id", "street", "city", "category"], "x.sys_id")} AS addresses,
-      {_json("(SELECT m.owner_id, m.id, g.tag_id, g.name, g.position FROM map_tag m JOIN tag g ON g.tag_id = m.tag_id) x WHERE x.id = c.id", ["tag_id", "name", "position:n"], "x.tag_id")} AS tags
-      FROM {_STAR}""",
+    "dynamic_sort": f"""WITH {BOOK}, p AS (SELECT owner_id, id, shown, row_number() OVER (PARTITION BY owner_id ORDER BY shown DESC NULLS LAST, id) AS place FROM card)
+      SELECT owner_id, id, shown AS surname, CAST(place AS INTEGER) AS place FROM p WHERE place <= 5""",
+    "contact_list": f"WITH {BOOK} SELECT * EXCLUDE (sys_id) FROM ({_LIST})",
+    "contact_list_tagged": f"""WITH RECURSIVE {BOOK}, below AS (SELECT 'r1' AS tag_id UNION ALL SELECT tag.tag_id FROM tag JOIN below ON tag.parent_tag_id = below.tag_id),
+      marked AS (SELECT DISTINCT owner_id, id FROM map_tag JOIN below USING (tag_id)), l AS ({_LIST}),
+      ranked AS (SELECT l.*, row_number() OVER (PARTITION BY l.owner_id ORDER BY surname NULLS FIRST, sys_id) AS place FROM l JOIN marked USING (owner_id, id))
+      SELECT * EXCLUDE (sys_id, place) FROM ranked WHERE place <= 3""",
+    "contact_search": f"WITH {BOOK} SELECT {_FOUND} FROM card WHERE {_VISIBLE} AND {_like('f1', 'firstname', 'lastname', 'surname', 'source')}",
+    "contact_search_domain": f"""WITH {BOOK} SELECT owner_id, id, status, firstname, lastname, whole_name AS fullname, shown AS surname, surname AS given_surname, {_USER.format('uid')}, {_FLAGS},
+      CASE WHEN firstname IS NULL AND lastname IS NULL THEN ifnull(own_mail, person_mail) END AS email, 1 AS is_mycontact, 1 AS is_need_email, 'my_contact' AS type
+      FROM card WHERE {_VISIBLE} AND {_like('s2', 'firstname', 'lastname', 'surname', 'CASE WHEN firstname IS NULL AND lastname IS NULL THEN source ELSE ifnull(firstname, lastname) END')}""",
+    "contact_pick": f"""WITH {BOOK}, q AS (SELECT {_FOUND} FROM card WHERE {_VISIBLE} AND status <> 'active' AND {_like('l', 'firstname', 'lastname', 'surname', 'source')})
+      SELECT q.* FROM q WHERE q.email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM user_dir d WHERE d.domain_id < 5 AND d.email = q.email)""",
+    "contact_card": f"""WITH {BOOK}, places AS (SELECT *, json_extract_string(address, '$.street') AS street, json_extract_string(address, '$.city') AS city FROM contact_address),
+      labels AS (SELECT m.owner_id, m.id, g.tag_id, g.name, g.position FROM map_tag m JOIN tag g USING (tag_id))
+      SELECT c.owner_id, c.id, c.entity, c.uid, c.status, c.source, c.firstname, c.lastname, c.surname AS given_surname, c.shown AS surname, c.ctime, c.mtime, ifnull(c.connected, -1) AS connected, c.username, c.domain_id,
+      {_USER.format('c.person_id')}, 1 AS is_need_email, c.by_me AS is_blocked, c.by_them AS is_blocked_me, c.filed AS is_archived, CAST(1 AS BIGINT) AS part,
+      {_json("contact_email x WHERE x.owner_id = c.owner_id AND x.contact_id = c.id", ["id", "email", "category", "is_default:n"], "x.sys_id")} AS emails,
+      {_json("contact_phone x WHERE x.owner_id = c.owner_id AND x.contact_id = c.id", ["id", "areacode", "phone", "category"], "x.sys_id")} AS phones,
+      {_json("places x WHERE x.owner_id = c.owner_id AND x.contact_id = c.id", ["id", "street", "city", "category"], "x.sys_id")} AS addresses,
+      {_json("labels x WHERE x.owner_id = c.owner_id AND x.id = c.id", ["tag_id", "name", "position:n"], "x.tag_id")} AS tags
+      FROM card c""",
     "same_name": """SELECT a.owner_id, 'new' || a.id AS id, arg_min(b.id, b.sys_id) AS contact_id FROM contact a JOIN contact b ON b.owner_id = a.owner_id
       AND a.firstname || ' ' || a.lastname = b.firstname || ' ' || b.lastname GROUP BY a.owner_id, a.id""",
-    "block_flags": f"SELECT c.owner_id, c.id, {_MINE}, {_HIS} FROM {_STAR}",
+    "block_flags": f"WITH {BOOK} SELECT owner_id, id, {_FLAGS} FROM card",
     "presence": """SELECT c.owner_id, c.uid, d.connected AS status, min_by(struct_pack(x := COALESCE(c.firstname, d.firstname)), c.sys_id).x AS firstname,
       min_by(struct_pack(x := COALESCE(c.lastname, d.lastname)), c.sys_id).x AS lastname FROM contact c JOIN user_dir d ON d.id = c.uid
       WHERE EXISTS (SELECT 1 FROM socket s WHERE s.uid = c.uid AND s.state = 'active') GROUP BY c.owner_id, c.uid, d.connected""",
@@ -132,12 +126,11 @@ ORACLES = {
     "resolve_identity": f"WITH k AS (SELECT DISTINCT key FROM ({KEYS}) z) SELECT k.key, d.id, d.email FROM k LEFT JOIN user_dir d ON d.id = k.key OR d.email = k.key",
     "contacts_of_identity": f"""WITH k AS (SELECT DISTINCT key FROM ({KEYS}) z), r AS (SELECT k.key, d.email FROM k LEFT JOIN user_dir d ON d.id = k.key OR d.email = k.key)
       SELECT DISTINCT r.key, c.owner_id, c.id, c.status FROM r JOIN contact c ON c.entity = r.key OR c.uid = r.key OR c.entity = r.email OR c.uid = r.email""",
-    "room_contact": f"""WITH p AS (SELECT DISTINCT owner_id, user_id FROM ({PAIRS}) z)
-      SELECT p.owner_id, p.user_id, c.id AS contact_id, c.firstname, c.lastname, COALESCE(c.surname, CASE WHEN COALESCE(c.firstname, c.lastname) IS NULL
-        THEN COALESCE(ce.email, d.email) ELSE {_FULL} END) AS surname, {_MINE},
-        CASE WHEN EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.entity AND (b.uid = c.owner_id OR b.entity = c.owner_id OR b.entity = me.email)) THEN 1 ELSE 0 END AS is_blocked_me
-      FROM p JOIN user_dir d ON d.id = p.user_id LEFT JOIN contact c ON c.owner_id = p.owner_id AND c.entity = p.user_id
-      LEFT JOIN contact_email ce ON ce.contact_id = c.id AND ce.is_default = 1 LEFT JOIN user_dir me ON me.id = p.owner_id""",
+    "room_contact": f"""WITH {BOOK}, p AS (SELECT DISTINCT owner_id, user_id FROM ({PAIRS}) z),
+      theirs AS (SELECT DISTINCT owner_id, id FROM barred_me WHERE way = 'entity')
+      SELECT p.owner_id, p.user_id, c.id AS contact_id, c.firstname, c.lastname, CASE WHEN c.id IS NULL THEN d.email ELSE c.shown END AS surname, ifnull(c.by_me, 0) AS is_blocked,
+        CASE WHEN theirs.id IS NULL THEN 0 ELSE 1 END AS is_blocked_me
+      FROM p JOIN user_dir d ON d.id = p.user_id LEFT JOIN card c ON (c.owner_id, c.entity) = (p.owner_id, p.user_id) LEFT JOIN theirs ON (theirs.owner_id, theirs.id) = (c.owner_id, c.id)""",
     "blacklist_show": """SELECT * EXCLUDE (rn) FROM (SELECT b.owner_id, d.id, d.email, json_extract_string(profile, '$.firstname') AS firstname, json_extract_string(profile, '$.lastname') AS lastname,
       json_extract_string(profile, '$.mobile') AS mobile, row_number() OVER (PARTITION BY b.owner_id ORDER BY json_extract_string(profile, '$.firstname') || ' ' || json_extract_string(profile, '$.lastname'), d.email) AS rn
       FROM blacklist b JOIN user_dir d ON d.email = b.email) WHERE rn <= 2""",

@@ -67,15 +67,15 @@ _CSV = f"""imp AS (SELECT c.*, CASE WHEN regexp_matches(email1, {_EMAIL}) THEN e
   ent AS (SELECT imp.*, COALESCE(d.id, mail) AS entity FROM imp LEFT JOIN user_dir d ON d.email = imp.mail),
   res AS (SELECT *, CASE WHEN entity IS NULL THEN 'noemail' WHEN EXISTS (SELECT 1 FROM contact k WHERE k.owner_id = ent.owner_id AND k.entity = ent.entity)
     OR EXISTS (SELECT 1 FROM ent e WHERE e.owner_id = ent.owner_id AND e.entity = ent.entity AND e.row_no < ent.row_no) THEN 'alreadyincontact' ELSE 'loaded' END AS outcome FROM ent)"""
-_VALID = f"""mem AS (SELECT row_no AS index, firstname, lastname, email, mobile, areacode, lower(ident) AS ident FROM member_import
+_VALID = f"""mem AS (SELECT row_no AS index, domain_id, firstname, lastname, email, mobile, areacode, lower(ident) AS ident FROM member_import
     WHERE firstname || lastname || email || mobile || areacode || ident <> ''),
-  lagged AS (SELECT *, CASE WHEN ident <> '' THEN lag(index) OVER (PARTITION BY ident ORDER BY index) END AS ip, CASE WHEN email <> '' THEN lag(index) OVER (PARTITION BY email ORDER BY index) END AS ep,
-    CASE WHEN ident <> '' THEN row_number() OVER (PARTITION BY ident ORDER BY index) - 1 ELSE 0 END AS ident_earlier, CASE WHEN email <> '' THEN row_number() OVER (PARTITION BY email ORDER BY index) - 1 ELSE 0 END AS email_earlier FROM mem),
-  val AS (SELECT index, firstname, lastname, email, mobile, areacode, ident, ident_earlier, email_earlier, concat_ws('|',
+  lagged AS (SELECT *, CASE WHEN ident <> '' THEN lag(index) OVER (PARTITION BY domain_id, ident ORDER BY index) END AS ip, CASE WHEN email <> '' THEN lag(index) OVER (PARTITION BY email ORDER BY index) END AS ep,
+    CASE WHEN ident <> '' THEN row_number() OVER (PARTITION BY domain_id, ident ORDER BY index) - 1 ELSE 0 END AS ident_earlier, CASE WHEN email <> '' THEN row_number() OVER (PARTITION BY email ORDER BY index) - 1 ELSE 0 END AS email_earlier FROM mem),
+  val AS (SELECT index, domain_id, firstname, lastname, email, mobile, areacode, ident, ident_earlier, email_earlier, concat_ws('|',
     CASE WHEN firstname = '' AND lastname = '' THEN 'EMPTY_NAMES' END, CASE WHEN email = '' THEN 'EMPTY_EMAIL' END, CASE WHEN mobile = '' THEN 'EMPTY_MOBLIE' END, CASE WHEN areacode = '' THEN 'EMPTY_AREACODE' END,
     CASE WHEN email <> '' AND NOT regexp_matches(email, {_EMAIL}) THEN 'INVALID_EMAIL_FORMAT' END, CASE WHEN mobile <> '' AND NOT regexp_matches(mobile, {_PHONE}) THEN 'INVALID_PHONE_FORMAT' END,
     CASE WHEN ident = '' THEN 'EMPTY_IDENT' END, CASE WHEN EXISTS (SELECT 1 FROM user_dir d WHERE d.email = l.email) THEN 'EMAIL_NOT_AVAILABLE' END,
-    CASE WHEN EXISTS (SELECT 1 FROM user_dir d WHERE d.username = l.ident) THEN 'IDENT_NOT_AVAILABLE' END, 'IDENT_DUPLICATE (' || ip || ')', 'EMAIL_DUPLICATE (' || ep || ')') AS errorstatus FROM lagged l)"""
+    CASE WHEN EXISTS (SELECT 1 FROM user_dir d WHERE d.username = l.ident AND d.domain_id = l.domain_id) THEN 'IDENT_NOT_AVAILABLE' END, 'IDENT_DUPLICATE (' || ip || ')', 'EMAIL_DUPLICATE (' || ep || ')') AS errorstatus FROM lagged l)"""
 _SPEC = f"""spec AS (SELECT CASE WHEN event_type IN ('click', 'view', 'signup', 'purchase') THEN event_type END AS event_type, TRY_CAST(value AS DOUBLE) AS value,
   CASE WHEN user_id = '' THEN CAST(0 AS BIGINT) ELSE TRY_CAST(user_id AS BIGINT) END AS user_id, 'none' AS note, CAST(NULL AS BIGINT) AS extra,
   CASE WHEN event_type NOT IN ('click', 'view', 'signup', 'purchase') OR TRY_CAST(value AS DOUBLE) IS NULL THEN 0 ELSE 1 END AS is_valid FROM ({RAW}) r)"""
@@ -117,7 +117,7 @@ ORACLES = {
         CASE WHEN EXISTS (SELECT 1 FROM contact k WHERE k.owner_id = x.owner_id AND k.entity = x.entity) THEN 'alreadyincontact' ELSE 'loaded' END AS outcome FROM x""",
     "validate_members": f"WITH {_VALID} SELECT *, CASE WHEN errorstatus = '' THEN 0 ELSE 1 END AS error FROM val",
     "validate_batch": f"WITH {_VALID} SELECT CASE WHEN max(errorstatus) = '' THEN 1 ELSE 0 END AS valid, count(*) AS n_rows FROM val",
-    "load_members": f"WITH {_VALID} SELECT email, firstname, lastname, ident AS username, mobile, areacode FROM val WHERE errorstatus = ''",
+    "load_members": f"WITH {_VALID} SELECT email, firstname, lastname, ident AS username, mobile, areacode, domain_id FROM val WHERE errorstatus = ''",
     "load_members_refused": f"WITH {_VALID} SELECT CASE WHEN count(*) FILTER (errorstatus <> '') > 0 THEN 0 ELSE count(*) END AS n_loaded FROM val",
     "table_from_spec": f"WITH {_SPEC} SELECT * FROM spec",
     "duplicate_keys": f"WITH {_SPEC} SELECT event_type, user_id, count(*) AS n_rows FROM spec GROUP BY ALL HAVING count(*) > 1",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parlor.operators import messaging as M
 from parlor.operators import presence as P
+from parlor.workload.book import BOOK
 from parlor.workload.fixtures import Tables
 
 ROOMS = "SELECT m.uid AS owner_id, m.hub_id AS hub_id, h.name AS name, h.area AS area FROM hub_member m JOIN hub h ON h.id = m.hub_id"
@@ -38,7 +39,7 @@ QUERIES = {
     "unread_dashboard": lambda t: M.unread_dashboard(
         _unread(t), _team(t), t.contact, t.archive_entity, t.ticket, t.read_ticket_channel, t.user_dir),
     "unread_by_tag": lambda t: M.unread_by_tag(_unread(t), _team(t), t.contact, t.map_tag),
-    "tag_counts": lambda t: M.tag_counts(t.tag, M.unread_by_tag(_unread(t), _team(t), t.contact, t.map_tag)),
+    "tag_counts": lambda t: M.tag_counts(t.owned_tag, M.unread_by_tag(_unread(t), _team(t), t.contact, t.map_tag)),
     "last_message": lambda t: M.last_message(t.channel),
     "last_team_message": lambda t: M.last_team_message(t.team_channel, t.hub_member, t.team_delete),
     "message_page": lambda t: M.message_page(t.channel, t.read_channel),
@@ -77,31 +78,23 @@ _LASTT = """lastt AS (SELECT m.hub_id, m.uid, max(c.sys_id) AS ref_sys_id FROM h
   LEFT JOIN (SELECT mm.hub_id, mm.uid, tc.sys_id FROM hub_member mm JOIN team_channel tc ON tc.hub_id = mm.hub_id
      WHERE NOT EXISTS (SELECT 1 FROM team_delete d WHERE d.hub_id = mm.hub_id AND d.uid = mm.uid AND d.ref_sys_id = tc.sys_id)) c
   ON c.hub_id = m.hub_id AND c.uid = m.uid GROUP BY m.hub_id, m.uid)"""
-_DISPLAY = """COALESCE(c.surname, CASE WHEN COALESCE(c.firstname, c.lastname) IS NULL THEN COALESCE(ce.email, du.email)
-  ELSE COALESCE(c.firstname, '') || ' ' || COALESCE(c.lastname, '') END)"""
-_BLOCKED = """CASE WHEN EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.owner_id AND b.contact_id = c.id) THEN 1 ELSE 0 END"""
-_BLOCKED_ME = """CASE WHEN EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.entity AND (b.uid = c.owner_id OR b.entity = c.owner_id OR b.entity = me.email))
-  OR EXISTS (SELECT 1 FROM contact_block b WHERE b.owner_id = c.uid AND (b.uid = c.owner_id OR b.entity = c.owner_id OR b.entity = me.email)) THEN 1 ELSE 0 END"""
-_ROOMLIST = f"""{_UNREAD}, {_TEAM}, {_LAST}, {_LASTT}, listed AS (
-  SELECT c.owner_id, c.uid AS entity_id, c.owner_id AS hub_id, c.uid AS user_id, c.id AS contact_id, c.firstname, c.lastname, {_DISPLAY} AS display,
-    COALESCE(u.room_count, 0) AS room_count, l.message, l.ctime, 'contact' AS flag, 'active' AS status, {_BLOCKED} AS is_blocked, {_BLOCKED_ME} AS is_blocked_me,
-    COALESCE(l.is_attachment, 0) AS is_attachment, c.id AS ak
-  FROM contact c JOIN user_dir du ON du.id = c.uid LEFT JOIN contact_email ce ON ce.contact_id = c.id AND ce.is_default = 1
-    LEFT JOIN user_dir me ON me.id = c.owner_id
-    LEFT JOIN lastm l ON l.owner_id = c.owner_id AND l.entity_id = c.uid LEFT JOIN unread u ON u.owner_id = c.owner_id AND u.entity_id = c.uid
-  WHERE c.uid IS NOT NULL
+#: Rooms of the list: contacts who are users, chats without such a contact, and private rooms.
+_ROOMLIST = f"""{_UNREAD}, {_TEAM}, {_LAST}, {_LASTT}, {BOOK},
+people AS (SELECT card.*, CASE WHEN surname IS NULL AND firstname IS NULL AND lastname IS NULL THEN ifnull(own_mail, account_mail) ELSE shown END AS title FROM card WHERE account_id IS NOT NULL),
+strangers AS (SELECT lastm.*, user_dir.fullname AS title FROM lastm JOIN user_dir ON user_dir.id = lastm.entity_id ANTI JOIN contact k ON k.owner_id = lastm.owner_id AND k.uid = lastm.entity_id),
+shared AS (SELECT m.uid AS owner_id, m.hub_id, h.name AS title, lastt.ref_sys_id FROM hub_member m JOIN hub h ON h.id = m.hub_id AND h.area = 'private' JOIN lastt ON (lastt.hub_id, lastt.uid) = (m.hub_id, m.uid)),
+listed AS (
+  SELECT 'contact' AS flag, 'active' AS status, p.owner_id, p.account_id AS entity_id, p.owner_id AS hub_id, p.account_id AS user_id, p.id AS contact_id, p.id AS ak, p.firstname, p.lastname, p.title AS display,
+    ifnull(unread.room_count, 0) AS room_count, lastm.message, lastm.ctime, ifnull(lastm.is_attachment, 0) AS is_attachment, p.by_me AS is_blocked, p.by_user AS is_blocked_me
+  FROM people p LEFT JOIN lastm ON (lastm.owner_id, lastm.entity_id) = (p.owner_id, p.account_id) LEFT JOIN unread ON (unread.owner_id, unread.entity_id) = (p.owner_id, p.account_id)
   UNION ALL
-  SELECT l.owner_id, l.entity_id, l.owner_id, NULL, NULL, NULL, NULL, d.fullname, 0, l.message, l.ctime, 'contact',
-    CASE WHEN EXISTS (SELECT 1 FROM contact k WHERE k.owner_id = l.owner_id AND k.entity = l.entity_id) THEN 'memory' ELSE 'nocontact' END, 0, 0, l.is_attachment, l.entity_id
-  FROM lastm l JOIN user_dir d ON d.id = l.entity_id
-  WHERE NOT EXISTS (SELECT 1 FROM contact k WHERE k.owner_id = l.owner_id AND k.uid = l.entity_id)
+  SELECT 'contact', CASE WHEN (s.owner_id, s.entity_id) IN (SELECT (owner_id, entity) FROM contact) THEN 'memory' ELSE 'nocontact' END, s.owner_id, s.entity_id, s.owner_id, NULL, NULL, s.entity_id, NULL, NULL, s.title,
+    0, s.message, s.ctime, s.is_attachment, 0, 0 FROM strangers s
   UNION ALL
-  SELECT m.uid, m.hub_id, m.hub_id, NULL, NULL, NULL, NULL, h.name, COALESCE(tu.room_count, 0), left(tc.message, 100), tc.ctime, 'share', 'active', 0, 0,
-    CASE WHEN tc.attachment IS NOT NULL THEN 1 ELSE 0 END, m.hub_id
-  FROM hub_member m JOIN hub h ON h.id = m.hub_id AND h.area = 'private' LEFT JOIN teamun tu ON tu.hub_id = m.hub_id AND tu.uid = m.uid
-    JOIN lastt lt ON lt.hub_id = m.hub_id AND lt.uid = m.uid LEFT JOIN team_channel tc ON tc.hub_id = lt.hub_id AND tc.sys_id = lt.ref_sys_id),
-roomlist AS (SELECT listed.*, CASE WHEN EXISTS (SELECT 1 FROM archive_entity a WHERE a.owner_id = listed.owner_id AND a.entity_id = listed.ak) THEN 1 ELSE 0 END AS is_archived,
-  CASE WHEN EXISTS (SELECT 1 FROM socket s WHERE s.uid = listed.user_id AND s.state = 'active') THEN 1 ELSE 0 END AS online FROM listed)"""
+  SELECT 'share', 'active', s.owner_id, s.hub_id, s.hub_id, NULL, NULL, s.hub_id, NULL, NULL, s.title, ifnull(teamun.room_count, 0), left(t.message, 100), t.ctime, CASE WHEN t.attachment IS NULL THEN 0 ELSE 1 END, 0, 0
+  FROM shared s LEFT JOIN teamun ON (teamun.hub_id, teamun.uid) = (s.hub_id, s.owner_id) LEFT JOIN team_channel t ON (t.hub_id, t.sys_id) = (s.hub_id, s.ref_sys_id)),
+roomlist AS (SELECT listed.*, CASE WHEN (owner_id, ak) IN (SELECT (owner_id, entity_id) FROM archive_entity) THEN 1 ELSE 0 END AS is_archived,
+  CASE WHEN user_id IN (SELECT uid FROM socket WHERE state = 'active') THEN 1 ELSE 0 END AS online FROM listed)"""
 _META = """json_extract_string(metadata, '$.call_status') AS call_status, json_extract_string(metadata, '$.duration') AS call_duration,
   COALESCE(json_extract_string(metadata, '$.message_type'), 'chat') AS message_type, CAST(json_extract(attachment, '$[0]') AS VARCHAR) AS attachment_first,
   CAST(json_array_length(attachment) AS INTEGER) AS attachment_count, CASE WHEN attachment IS NOT NULL AND trim(attachment) <> '' THEN 1 ELSE 0 END AS is_attachment"""
@@ -126,9 +119,9 @@ ORACLES = {
       CAST(COALESCE(a, 0) AS BIGINT) AS archive_chat_cnt, CAST(k AS BIGINT) AS support_cnt, COALESCE(h, 0) AS head_chat_cnt,
       CAST(COALESCE(s, 0) + COALESCE(c, 0) + COALESCE(a, 0) + k AS BIGINT) AS total_cnt FROM tk LEFT JOIN y ON y.owner_id = tk.id""",
     "unread_by_tag": f"WITH {_UNREAD}, {_TEAM}, {_TAGUN} SELECT * FROM byt",
-    "tag_counts": f"""WITH {_UNREAD}, {_TEAM}, {_TAGUN} SELECT b.owner_id, p.tag_id, p.parent_tag_id, p.name, p.position,
-      CASE WHEN EXISTS (SELECT 1 FROM tag k WHERE k.parent_tag_id = p.tag_id) THEN 1 ELSE 0 END AS is_any_child,
-      CAST(COALESCE(b.room_count, 0) AS BIGINT) AS room_count FROM tag p LEFT JOIN byt b ON b.tag_id = p.tag_id WHERE p.parent_tag_id IS NULL""",
+    "tag_counts": f"""WITH {_UNREAD}, {_TEAM}, {_TAGUN}, up AS (SELECT DISTINCT owner_id, parent_tag_id AS tag_id, 1 AS has FROM owned_tag WHERE parent_tag_id IS NOT NULL)
+      SELECT p.owner_id, p.tag_id, p.parent_tag_id, p.name, p.position, ifnull(up.has, 0) AS is_any_child, CAST(ifnull(b.room_count, 0) AS BIGINT) AS room_count
+      FROM owned_tag p LEFT JOIN up USING (owner_id, tag_id) LEFT JOIN byt b USING (owner_id, tag_id) WHERE p.parent_tag_id IS NULL""",
     "last_message": f"WITH {_LAST} SELECT * FROM lastm",
     "last_team_message": f"""WITH {_LASTT} SELECT l.hub_id, l.uid, l.ref_sys_id, left(c.message, 100) AS message, c.ctime,
       CASE WHEN c.attachment IS NOT NULL THEN 1 ELSE 0 END AS is_attachment
@@ -138,7 +131,7 @@ ORACLES = {
       CASE WHEN m.ref_sys_id >= c.sys_id THEN 1 ELSE 0 END AS is_readed, CASE WHEN h.ref_sys_id >= c.sys_id THEN 1 ELSE 0 END AS is_seen
       FROM channel c JOIN read_channel m ON m.owner_id = c.owner_id AND m.entity_id = c.entity_id AND m.uid = c.owner_id
       JOIN read_channel h ON h.owner_id = c.owner_id AND h.entity_id = c.entity_id AND h.uid = c.entity_id""",
-    "late_page": """SELECT owner_id, entity_id, sys_id, author_id, message_id, message, ctime, metadata, attachment FROM (
+    "late_page": """SELECT owner_id, entity_id, sys_id, author_id, message_id, thread_id, message, ctime, metadata, attachment FROM (
       SELECT *, row_number() OVER (PARTITION BY owner_id, entity_id ORDER BY sys_id DESC) AS rn FROM channel) WHERE rn BETWEEN 4 AND 6""",
     "message_metadata": f"SELECT owner_id, sys_id, {_META} FROM channel",
     "message_get_room": """SELECT hub_id, message_id, CASE WHEN len(json_keys(metadata, '$._seen_')) >= len(json_keys(metadata, '$._delivered_')) THEN 1 ELSE 0 END AS is_seen

@@ -44,11 +44,11 @@ WITH m AS (SELECT event_id, user_id AS a, (user_id * 3 + event_id % 8 + 1) % (SE
            FROM events)
 SELECT event_id AS sys_id, 'u' || CAST(a AS STRING) AS owner_id, 'u' || CAST(b AS STRING) AS entity_id,
        'u' || CAST(a AS STRING) AS author_id, 'm' || CAST(event_id AS STRING) AS message_id,
-       event_type AS message, 1700000000 + event_id AS ctime, metadata, attachment
+       event_type AS message, 1700000000 + event_id AS ctime, metadata, attachment, CAST(NULL AS STRING) AS thread_id
 FROM m WHERE a <> b
 UNION ALL
 SELECT event_id, 'u' || CAST(b AS STRING), 'u' || CAST(a AS STRING), 'u' || CAST(a AS STRING),
-       'm' || CAST(event_id AS STRING), event_type, 1700000000 + event_id, metadata, attachment
+       'm' || CAST(event_id AS STRING), event_type, 1700000000 + event_id, metadata, attachment, CAST(NULL AS STRING)
 FROM m WHERE a <> b
 ;
 -- name: read_channel
@@ -185,7 +185,8 @@ SELECT c_custkey AS row_no, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_mktsegme
        CASE WHEN c_custkey % 17 = 0 THEN 'not-an-email' WHEN c_custkey % 19 = 0 THEN ''
             ELSE 'n' || CAST(c_custkey % 900 AS STRING) || '@x.example' END AS email,
        CASE WHEN c_custkey % 23 = 0 THEN 'abc' ELSE '06' || CAST(10000000 + c_custkey AS STRING) END AS mobile,
-       CASE WHEN c_custkey % 29 = 0 THEN '' ELSE '+33' END AS areacode, 'ident' || CAST(c_custkey % 1200 AS STRING) AS ident
+       CASE WHEN c_custkey % 29 = 0 THEN '' ELSE '+33' END AS areacode, CASE WHEN c_custkey % 10 = 3 THEN 'nick' ELSE 'ident' END || CAST(c_custkey % 1200 AS STRING) AS ident,
+       c_custkey % 3 AS domain_id
 FROM customer
 ;
 -- name: contact_csv
@@ -216,6 +217,7 @@ GROUP BY l_suppkey, o_custkey
 -- name: team_channel
 SELECT 'h' || CAST(event_id % (SELECT count(*) FROM supplier) AS STRING) AS hub_id, event_id AS sys_id, 'u' || CAST(user_id AS STRING) AS author_id,
        't' || CAST(event_id AS STRING) AS message_id, event_type || ' ' || CAST(value AS STRING) AS message, 1700000000 + event_id AS ctime,
+       CASE WHEN event_id % 7 = 3 THEN 't' || CAST(event_id - (SELECT count(*) FROM supplier) AS STRING) END AS thread_id,
        CASE WHEN event_id % 6 = 1 THEN '[{"hub_id":"h2","nid":"d' || CAST(event_id % 700 AS STRING) || '"}]' END AS attachment,
        CASE event_id % 3 WHEN 0 THEN '{"_seen_":{"u1":1,"u2":2},"_delivered_":{"u1":1,"u2":2}}' WHEN 1 THEN '{"_seen_":{"u1":1},"_delivered_":{"u1":1,"u2":2}}' END AS metadata
 FROM events
@@ -319,3 +321,10 @@ FROM action_log
 SELECT uid AS owner_id, hub_id AS id, 'root' AS parent_id, 'hub' AS category, hub_id AS user_filename, CAST(0 AS BIGINT) AS filesize, sys_id % 3 AS rank FROM hub_member
 UNION ALL
 SELECT owner_id, id, '0', category, user_filename, filesize, sys_id % 3 FROM hub_media
+;
+-- name: owned_tag
+WITH u AS (SELECT DISTINCT owner_id, tag_id FROM map_tag),
+     n AS (SELECT DISTINCT u.owner_id AS owner_id, t.parent_tag_id AS tag_id FROM u JOIN tag t ON t.tag_id = u.tag_id),
+     r AS (SELECT DISTINCT n.owner_id AS owner_id, t.parent_tag_id AS tag_id FROM n JOIN tag t ON t.tag_id = n.tag_id)
+SELECT o.owner_id AS owner_id, t.tag_id AS tag_id, CASE WHEN o.owner_id LIKE '%7' THEN NULL ELSE t.parent_tag_id END AS parent_tag_id, t.name AS name, t.position AS position
+FROM (SELECT * FROM u UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r) o JOIN tag t ON t.tag_id = o.tag_id

@@ -204,8 +204,8 @@ def test_foreign_vcards(spark):
 def test_members(spark):
     members = spark.createDataFrame([
         (1, "A", "", "a@x.co", "0612345", "+33", "ID1"), (2, "", "", "a@x.co", "abc", "", "id1"), (3, "", "", "", "", "", ""), (4, "B", "", "taken@x.co", "0612345", "+1", "used"), (5, "C", "", "a@x.co", "0612345", "+1", "id5")],
-        "row_no int, firstname string, lastname string, email string, mobile string, areacode string, ident string")
-    users = spark.createDataFrame([("taken@x.co", "USED")], "email string, username string")
+        "row_no int, firstname string, lastname string, email string, mobile string, areacode string, ident string").withColumn("domain_id", F.lit(1))
+    users = spark.createDataFrame([("taken@x.co", "USED", 1)], "email string, username string, domain_id int")
     got = {r["index"]: r for r in I.validate_members(members, users).collect()}
     assert sorted(got) == [1, 2, 4, 5]
     assert got[1].errorstatus == [] and got[1].error == 0
@@ -243,9 +243,9 @@ def test_unread_of_two_owners_and_double_contacts(spark):
     none = spark.createDataFrame([], "uid string, hub_id string, room_count bigint")
     contact = spark.createDataFrame([("o1", "c1", "u"), ("o1", "c2", "u"), ("o2", "c1", "u")], "owner_id string, id string, uid string")
     mapped = spark.createDataFrame([("o1", "c1", "t"), ("o1", "c2", "t"), ("o2", "c1", "t")], "owner_id string, id string, tag_id string")
-    tag = spark.createDataFrame([("t", None, "T", 0), ("k", "t", "K", 1)], "tag_id string, parent_tag_id string, name string, position int")
+    tag = spark.createDataFrame([("o1", "t", None, "T", 0), ("o1", "k", "t", "K", 1), ("o2", "t", None, "T", 0), ("o1", "z", None, "Z", 2), ("o3", "t", None, "T", 0)], "owner_id string, tag_id string, parent_tag_id string, name string, position int")
     counts = M.tag_counts(tag, M.unread_by_tag(unread, none, contact, mapped))
-    assert rows(counts, "owner_id", "tag_id", "room_count", "is_any_child") == [("o1", "t", 3, 1), ("o2", "t", 5, 1)]
+    assert rows(counts, "owner_id", "tag_id", "room_count", "is_any_child") == [("o1", "t", 3, 1), ("o1", "z", 0, 0), ("o2", "t", 5, 0), ("o3", "t", 0, 0)]
 
 
 def test_long_words_stay_apart(spark):
@@ -297,3 +297,71 @@ def test_pages_of_a_type_reach_every_row(spark):
     users = spark.createDataFrame([("u", "F", "L")], "id string, firstname string, lastname string")
     got = [r["id"] for page in (1, 2, 3) for r in sorted(P.block_list(block, users, page=page, rows=3).collect(), key=lambda r: r["place"])]
     assert got == [f"p{k:02d}" for k in range(6, -1, -1)]
+
+
+def test_an_ident_is_taken_in_its_domain_only(spark):
+    members = spark.createDataFrame([(1, 1, "used"), (2, 2, "used"), (3, 2, "used"), (4, 1, "free"), (5, 2, "free")], "row_no int, domain_id int, ident string").select(
+        "*", F.lit("A").alias("firstname"), F.lit("B").alias("lastname"), F.concat(F.lit("m"), F.col("row_no").cast("string"), F.lit("@x.co")).alias("email"), F.lit("0612345").alias("mobile"), F.lit("+33").alias("areacode"))
+    users = spark.createDataFrame([("z@x.co", "Used", 1)], "email string, username string, domain_id int")
+    got = {r["index"]: r["errorstatus"] for r in I.validate_members(members, users).collect()}
+    assert got == {1: ["IDENT_NOT_AVAILABLE"], 2: [], 3: ["IDENT_DUPLICATE (2)"], 4: [], 5: []}
+
+
+def test_a_reply_keeps_its_thread(spark):
+    posts = spark.createDataFrame([(1, "a", "b", "m1", "hi", None), (2, "b", "a", "m2", "yes", "m1")], "seq bigint, author_id string, entity_id string, message_id string, message string, thread_id string").select(
+        "*", F.lit(None).cast("string").alias("attachment"), F.lit(5).alias("ctime"), F.lit(None).cast("string").alias("forward_message_id"), F.lit(None).cast("string").alias("forward_hub_id"))
+    empty = spark.createDataFrame([], "owner_id string, entity_id string, message_id string, sys_id bigint")
+    new = JM.post_messages(posts, empty)
+    contact = spark.createDataFrame([], "owner_id string, sys_id bigint, id string, entity string")
+    assert rows(M.message_threads(new, contact), "owner_id", "message_id", "thread_id", "thread_message") == [("a", "m2", "m1", "hi"), ("b", "m2", "m1", "hi")]
+    team = JM.post_team_messages(posts.withColumn("hub_id", F.lit("h")), spark.createDataFrame([], "hub_id string, message_id string, sys_id bigint"))
+    assert rows(team, "message_id", "thread_id") == [("m1", None), ("m2", "m1")]
+
+
+CHANGE = "seq bigint, op string, master_id string, lang string, device string, author_id string, hashtag string, isonline int, ctime bigint, target bigint, copy_id string"
+
+
+def revised(spark, history, changes):
+    stored = spark.createDataFrame(history, "serial bigint, master_id string, lang string, device string, isonline int").select("*", F.lit("a").alias("author_id"), F.lit(0).cast("bigint").alias("ctime"))
+    block = spark.createDataFrame([("p", "one"), ("q", "two")], "id string, hashtag string")
+    full = [(s, op, m, lang, device, "a", tag, online, 0, target, copy) for s, op, m, lang, device, tag, online, target, copy in changes]
+    out = JR.revisions(stored, block, spark.createDataFrame(full, CHANGE))
+    state = {(r["serial"], r["master_id"], r["lang"], r["device"]): (r["status"], r["isonline"], r["active"]) for r in out["history"].collect()}
+    return state, rows(out["block"], "id", "hashtag", "active"), rows(out["refused"], "seq", "reason")
+
+
+def test_two_pages_that_save_one_new_name(spark):
+    _, pages, refused = revised(spark, [(1, "p", "en", "d", 0), (2, "q", "en", "d", 0)], [
+        (1, "save", "q", "en", "d", "same", 0, None, None), (2, "save", "p", "en", "d", "same", 0, None, None), (3, "rename", "p", None, None, "two", 0, None, None), (4, "archive", "p", "en", "d", None, 0, None, None),
+        (5, "save", "q", "en", "d", "same", 0, None, None)])
+    assert pages == [("p", "one", 1), ("q", "same", 8)] and refused == [(2, "hash_exist"), (3, "hash_exist"), (4, "unknown_op")]
+
+
+def test_publish_copy_and_delete_of_a_language(spark):
+    history = [(1, "p", "en", "d", 0), (2, "p", "en", "d", 1), (3, "p", "fr", "d", 1), (4, "p", "fr", "m", 0), (5, "q", "fr", "d", 1)]
+    state, pages, refused = revised(spark, history, [
+        (1, "publish", "p", "en", "d", None, 0, 1, None), (2, "copy", "p", "es", None, None, 0, 3, None), (3, "copy", "p", "fr", None, None, 0, 2, None), (4, "copy", "p", "en", None, "fresh", 0, 2, "n"),
+        (5, "publish", "p", "fr", "d", None, 0, 1, None), (6, "copy", "p", "es", None, None, 0, 99, None)])
+    assert refused == [(3, "confirm_copy"), (5, "unknown_revision"), (6, "unknown_revision")]
+    assert state[1, "p", "en", "d"] == ("draft", 1, 8) and state[2, "p", "en", "d"] == ("history", 0, 8) and state[8, "p", "es", "d"] == ("draft", 0, 8) and state[10, "n", "en", "d"] == ("draft", 0, 10)
+    assert ("n", "fresh", 10) in pages
+    state, pages, _ = revised(spark, history, [(1, "unpublish", "p", "en", "d", None, 0, None, None), (2, "publish", "p", "en", "d", None, 0, 2, None), (3, "delete_lang", "p", "fr", None, None, 0, None, None)])
+    assert sorted(state) == [(1, "p", "en", "d"), (2, "p", "en", "d"), (5, "q", "fr", "d")] and state[2, "p", "en", "d"] == ("draft", 1, 2)
+    state, pages, _ = revised(spark, history, [(1, "delete_lang", None, "fr", None, None, 0, None, None), (2, "save", "p", "fr", "m", None, 1, None, None)])
+    assert [x for x, *_ in pages] == ["p"] and state[8, "p", "fr", "m"] == ("draft", 1, 8) and len(state) == 3
+
+
+def test_clearing_one_room_or_inbox(spark):
+    rooms = spark.createDataFrame([("u", "h1", "private"), ("u", "h2", "private"), ("v", "h1", "private")], "owner_id string, hub_id string, area string")
+    marks = spark.createDataFrame([("h1", "v", 9), ("h1", "u", 2), ("h2", "v", 7), ("h2", "u", 1)], "hub_id string, uid string, ref_sys_id bigint")
+    one = spark.createDataFrame([("u", "h1")], "uid string, entity_id string")
+    assert rows(JM.clear_team_markers(one, rooms, marks)) == [("h1", "u", 9), ("h1", "v", 9), ("h2", "u", 1), ("h2", "v", 7)]
+    everything = spark.createDataFrame([("u", None), ("u", "h1")], "uid string, entity_id string")
+    assert rows(JM.clear_team_markers(everything, rooms, marks)) == [("h1", "u", 9), ("h1", "v", 9), ("h2", "u", 7), ("h2", "v", 7)]
+
+
+def test_whole_lists_without_pages(spark):
+    log = spark.createDataFrame([("h", k, "u", "media", "all", "u", "x", k) for k in range(60)], "hub_id string, sys_id bigint, uid string, category string, notify_to string, entity_id string, log string, ctime bigint").withColumn("action", F.lit("backup"))
+    people = spark.createDataFrame([("u", "A", "B")], "id string, firstname string, lastname string")
+    members = spark.createDataFrame([("h", "u", 63)], "hub_id string, uid string, permission int")
+    assert N.action_log_feed(log, members, people).count() == 45 and N.action_log_feed(log, members, people, None).count() == 60 and N.backup_log(log, None).count() == 60
