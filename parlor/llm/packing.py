@@ -90,17 +90,19 @@ def _pieces(path: str, size: int, end: int):
 
 
 def _placed(plan: np.ndarray):
-    """Sequence and offset by a search for (length, rank) among the segments."""
+    """Adds sequence and offset by a search for (length, rank) among the segments; rows stream through, so that a task holds a batch of ids and no more."""
     keys = (plan[:, 0] << 44) + plan[:, 1]
+    passed = ("doc_id", "start", "length", "ids", "doc_tokens")
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        length, rank = length.to_numpy(), rank.to_numpy()
-        seg = plan[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
-        k = rank - seg[:, 1]
-        return pd.DataFrame({"sequence_id": seg[:, 3] + k // seg[:, 4], "offset": seg[:, 5] + k % seg[:, 4] * length})
+    def run(batches):
+        for batch in batches:
+            length, rank = np.asarray(batch["length"]), np.asarray(batch["rank"])
+            seg = plan[np.searchsorted(keys, (length << 44) + rank, "right") - 1]
+            k = rank - seg[:, 1]
+            sequence, offset = seg[:, 3] + k // seg[:, 4], seg[:, 5] + k % seg[:, 4] * length
+            yield pa.record_batch([*[batch[c] for c in passed], pa.array(sequence), pa.array(offset)], names=[*passed, "sequence_id", "offset"])
 
-    return place
+    return run
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
@@ -121,8 +123,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     # one row a task: for each length the pieces of earlier tasks
     starts = stored(shares.select("length", "part", before.alias("before")).groupBy("part").applyInPandas(by_length, "part long, before array<long>"), "starts")
     ranked = pieces.join(starts, "part").select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("number") + F.get("before", F.col("length").cast("int"))).alias("rank"))
-    placed = ranked.withColumn("at", _placed(pack(histogram, size))("length", "rank"))
-    return placed.select("doc_id", "start", "length", "ids", "doc_tokens", "at.sequence_id", "at.offset")
+    return ranked.mapInArrow(_placed(pack(histogram, size)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
