@@ -45,13 +45,14 @@ QUERIES = {
 
 _CLOSURE = """clo AS (SELECT tag_id AS ancestor, tag_id AS descendant, 0 AS depth FROM tag
   UNION ALL SELECT clo.ancestor, tag.tag_id, clo.depth + 1 FROM clo JOIN tag ON tag.parent_tag_id = clo.descendant)"""
-_UP = """up AS (SELECT id, id AS anc, 0 AS d, parent_id AS nxt FROM media UNION ALL SELECT up.id, m.id, d + 1, m.parent_id FROM up JOIN media m ON m.id = up.nxt)"""
-_EFF = f"""{_UP}, req AS (SELECT uid, node_id, CASE WHEN uid IN ('nobody', 'ffffffffffffffff') THEN '*' ELSE uid END AS who FROM grant_request),
-  cand AS (SELECT r.uid, r.node_id, g.permission, g.expiry_time, g.message, CASE WHEN u.d = 0 THEN 0 ELSE 1 + u.d END AS pri FROM req r JOIN up u ON u.id = r.node_id JOIN grant_rule g ON g.resource_id = u.anc AND g.entity_id = r.who
-    UNION ALL SELECT r.uid, r.node_id, g.permission, g.expiry_time, g.message, 1 FROM req r JOIN grant_rule g ON g.resource_id = '*' AND g.entity_id = r.who),
-  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid, node_id ORDER BY pri, permission DESC, expiry_time DESC) AS rn FROM cand) WHERE rn = 1),
-  eff AS (SELECT r.uid, r.node_id, CAST(COALESCE(b.expiry_time, 0) AS BIGINT) AS expiry_time, COALESCE(b.message, '') AS message, COALESCE(b.permission, 0) AS permission
-    FROM req r LEFT JOIN best b ON b.uid = r.uid AND b.node_id = r.node_id)"""
+_UP = """up AS (SELECT hub_id, id, id AS anc, 0 AS d, parent_id AS nxt FROM media UNION ALL SELECT up.hub_id, up.id, m.id, d + 1, m.parent_id FROM up JOIN media m ON m.id = up.nxt AND m.hub_id = up.hub_id)"""
+_EFF = f"""{_UP}, req AS (SELECT hub_id, uid, node_id, CASE WHEN uid IN ('nobody', 'ffffffffffffffff') THEN '*' ELSE uid END AS who FROM grant_request),
+  cand AS (SELECT r.hub_id, r.uid, r.node_id, g.permission, g.expiry_time, g.message, CASE WHEN u.d = 0 THEN 0 ELSE 1 + u.d END AS pri FROM req r JOIN up u ON u.id = r.node_id AND u.hub_id = r.hub_id
+      JOIN grant_rule g ON g.resource_id = u.anc AND g.entity_id = r.who AND g.hub_id = r.hub_id
+    UNION ALL SELECT r.hub_id, r.uid, r.node_id, g.permission, g.expiry_time, g.message, 1 FROM req r JOIN grant_rule g ON g.resource_id = '*' AND g.entity_id = r.who AND g.hub_id = r.hub_id),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hub_id, uid, node_id ORDER BY pri, permission DESC, expiry_time DESC) AS rn FROM cand) WHERE rn = 1),
+  eff AS (SELECT r.hub_id, r.uid, r.node_id, CAST(COALESCE(b.expiry_time, 0) AS BIGINT) AS expiry_time, COALESCE(b.message, '') AS message, COALESCE(b.permission, 0) AS permission
+    FROM req r LEFT JOIN best b ON b.hub_id = r.hub_id AND b.uid = r.uid AND b.node_id = r.node_id)"""
 
 ORACLES = {
     "tag_closure": f"WITH RECURSIVE {_CLOSURE} SELECT * FROM clo",
@@ -60,10 +61,10 @@ ORACLES = {
       CASE WHEN EXISTS (SELECT 1 FROM clo WHERE clo.ancestor = p.tag_id AND clo.descendant = p.parent_tag_id) THEN 1 ELSE 0 END AS is_cycle FROM ({PROPOSED}) p""",
     "tag_remove": f"WITH RECURSIVE {_CLOSURE} SELECT * FROM tag WHERE tag_id NOT IN (SELECT descendant FROM clo WHERE ancestor IN ({REMOVED}))",
     "tag_remove_mappings": f"WITH RECURSIVE {_CLOSURE} SELECT * FROM map_tag WHERE tag_id NOT IN (SELECT descendant FROM clo WHERE ancestor IN ({REMOVED}))",
-    "nearest_grant": f"""WITH RECURSIVE {_UP} SELECT m.id, n.anc AS resource_id FROM media m LEFT JOIN (SELECT id, arg_min(anc, d) AS anc FROM up
-      WHERE anc IN (SELECT resource_id FROM grant_rule) GROUP BY id) n ON n.id = m.id""",
+    "nearest_grant": f"""WITH RECURSIVE {_UP} SELECT m.hub_id, m.id, n.anc AS resource_id FROM media m LEFT JOIN (SELECT hub_id, id, arg_min(anc, d) AS anc FROM up
+      WHERE (hub_id, anc) IN (SELECT (hub_id, resource_id) FROM grant_rule) GROUP BY hub_id, id) n ON n.id = m.id AND n.hub_id = m.hub_id""",
     "effective_grant": f"WITH RECURSIVE {_EFF} SELECT * FROM eff",
-    "media_ttl": f"WITH RECURSIVE {_EFF} SELECT uid, node_id, CASE WHEN expiry_time = 0 THEN 0 ELSE expiry_time - {NOW} END AS ttl FROM eff",
+    "media_ttl": f"WITH RECURSIVE {_EFF} SELECT hub_id, uid, node_id, CASE WHEN expiry_time = 0 THEN 0 ELSE expiry_time - {NOW} END AS ttl FROM eff",
     "grants_from_hours": f"SELECT 'o' || o_orderkey AS resource_id, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE {NOW} + 3600 * (o_orderkey % 5) END AS expiry_time FROM orders",
     "has_permission": "SELECT resource_id, entity_id, CASE WHEN permission = 63 THEN 1 ELSE 0 END AS is_owner FROM permission WHERE permission & 16 > 0",
     "orphan_rooms": "SELECT id AS hub_id FROM hub WHERE id NOT IN (SELECT hub_id FROM hub_member WHERE permission = 63)",

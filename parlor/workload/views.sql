@@ -87,12 +87,13 @@ SELECT 'n' || CAST(c.c_nationkey AS STRING) || '.' || c.c_mktsegment AS tag_id,
 FROM contact k JOIN customer c ON k.entity = 'u' || CAST(c.c_custkey AS STRING)
 ;
 -- name: media
-SELECT 'root' AS id, '0' AS parent_id, 'u0' AS owner_id, 'folder' AS category, CAST(0 AS BIGINT) AS filesize, '/' AS user_filename, CAST(0 AS BIGINT) AS upload_time
+SELECT id AS hub_id, 'root' AS id, '0' AS parent_id, 'u0' AS owner_id, 'folder' AS category, CAST(0 AS BIGINT) AS filesize, '/' AS user_filename, CAST(0 AS BIGINT) AS upload_time FROM hub
 UNION ALL
-SELECT 'o' || CAST(o_orderkey AS STRING), 'root', 'u' || CAST(o_custkey AS STRING), 'folder', 0,
+SELECT 'h' || CAST(o_orderkey % (SELECT count(*) FROM supplier) AS STRING), 'o' || CAST(o_orderkey AS STRING), 'root', 'u' || CAST(o_custkey AS STRING), 'folder', 0,
        'order-' || CAST(o_orderkey AS STRING), 1000000000 + o_orderkey FROM orders
 UNION ALL
-SELECT 'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING),
+SELECT 'h' || CAST(o_orderkey % (SELECT count(*) FROM supplier) AS STRING),
+       'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING),
        'o' || CAST(l_orderkey AS STRING), 'u' || CAST(o_custkey AS STRING),
        CASE l_returnflag WHEN 'A' THEN 'image' WHEN 'N' THEN 'document' ELSE 'video' END,
        CAST(floor(l_quantity) AS BIGINT), 'line-' || CAST(l_linenumber AS STRING), 1000000000 + l_orderkey
@@ -301,13 +302,17 @@ SELECT c.owner_id, c.entity_id, c.sys_id, c.author_id, c.message, c.message_id,
 FROM channel c JOIN (SELECT owner_id, entity_id, min(sys_id) AS first_id FROM channel GROUP BY owner_id, entity_id) f
   ON f.owner_id = c.owner_id AND f.entity_id = c.entity_id
 -- name: grant_rule
-SELECT resource_id, entity_id, permission, expiry_time, CASE WHEN permission = 3 THEN 'shared ' || resource_id ELSE '' END AS message FROM permission
-WHERE resource_id <> '*' OR permission > 7
+SELECT hub_id, '*' AS resource_id, uid AS entity_id, permission, 0 AS expiry_time, '' AS message FROM hub_member WHERE permission > 7
 UNION ALL
-SELECT 'root', 'u' || CAST(n_nationkey * 9 + 5 AS STRING), 1, 0, 'root' FROM nation
+SELECT 'h' || CAST(o_orderkey % (SELECT count(*) FROM supplier) AS STRING), 'o' || CAST(o_orderkey AS STRING), 'u' || CAST((o_custkey + 1) % 10 AS STRING), 3,
+       CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1000000000 + o_orderkey END, 'shared o' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL
+SELECT h.id, 'root', 'u' || CAST(n_nationkey * 9 + h.serial AS STRING), 1, 0, 'root' FROM nation JOIN hub h ON h.serial < 3
+UNION ALL
+SELECT id, 'root', '*', 1, 0, 'guests' FROM hub WHERE area = 'public'
 ;
 -- name: grant_request
-SELECT DISTINCT CASE WHEN l_partkey % 40 = 0 THEN 'nobody' WHEN l_partkey % 3 = 0 THEN 'u' || CAST((o_custkey + 1) % 10 AS STRING)
+SELECT DISTINCT 'h' || CAST(o_orderkey % (SELECT count(*) FROM supplier) AS STRING) AS hub_id, CASE WHEN l_partkey % 40 = 0 THEN 'nobody' WHEN l_partkey % 3 = 0 THEN 'u' || CAST((o_custkey + 1) % 10 AS STRING)
   ELSE 'u' || CAST(l_partkey % (SELECT count(*) FROM customer) AS STRING) END AS uid,
   'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS node_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -16,6 +16,7 @@ from parlor.operators import pages as P
 from parlor.operators import search as S
 from parlor.operators import trees
 from parlor.operators.grants import effective_grant, nearest_grant
+from parlor.plans import forest
 from parlor.sources import imports as I
 
 
@@ -153,12 +154,12 @@ def test_closure_survives_a_cycle(spark):
 
 
 def test_grants_on_a_deep_chain(spark):
-    media = spark.createDataFrame([("n0", "0")] + [(f"n{i}", f"n{i - 1}") for i in range(1, 40)], "id string, parent_id string")
+    media = spark.createDataFrame([("n0", "0")] + [(f"n{i}", f"n{i - 1}") for i in range(1, 40)], "id string, parent_id string").withColumn("hub_id", F.lit("h"))
     rules = spark.createDataFrame([("n3", "u", 7, 0, "near"), ("n0", "v", 1, 50, "top"), ("n20", "w", 3, 9, ""), ("*", "w", 15, 0, "wide")],
-                                  "resource_id string, entity_id string, permission int, expiry_time bigint, message string")
+                                  "resource_id string, entity_id string, permission int, expiry_time bigint, message string").withColumn("hub_id", F.lit("h"))
     near = dict(rows(nearest_grant(media, rules), "id", "resource_id"))
     assert near["n2"] == "n0" and near["n19"] == "n3" and near["n39"] == "n20"
-    ask = spark.createDataFrame([("u", "n39"), ("v", "n39"), ("w", "n20"), ("w", "n39"), ("z", "n39"), ("u", "n2")], "uid string, node_id string")
+    ask = spark.createDataFrame([("u", "n39"), ("v", "n39"), ("w", "n20"), ("w", "n39"), ("z", "n39"), ("u", "n2")], "uid string, node_id string").withColumn("hub_id", F.lit("h"))
     assert rows(effective_grant(ask, media, rules), "uid", "node_id", "permission", "expiry_time") == [
         ("u", "n2", 0, 0), ("u", "n39", 7, 0), ("v", "n39", 1, 50), ("w", "n20", 3, 9), ("w", "n39", 15, 0), ("z", "n39", 0, 0)]
 
@@ -221,11 +222,21 @@ def test_assigned_contacts(spark):
 
 
 def test_deep_trees_lose_nothing(spark):
-    media = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else "0") for k in range(400)], "id string, parent_id string")
-    grants = spark.createDataFrame([("n0", "u", 7, 0, "")], "resource_id string, entity_id string, permission int, expiry_time int, message string")
+    hub = F.lit("h").alias("hub_id")
+    media = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else "0") for k in range(400)], "id string, parent_id string").select("*", hub)
+    rule = "resource_id string, entity_id string, permission int, expiry_time int, message string"
+    grants = spark.createDataFrame([("n0", "u", 7, 0, "")], rule).select("*", hub)
     assert {r["resource_id"] for r in G.nearest_grant(media, grants).collect()} == {"n0"}
-    asked = spark.createDataFrame([("u", "n399"), ("v", "n399")], "uid string, node_id string")
+    asked = spark.createDataFrame([("u", "n399"), ("v", "n399")], "uid string, node_id string").select("*", hub)
     assert rows(G.effective_grant(asked, media, grants), "uid", "permission") == [("u", 7), ("v", 0)]
+    every = grants.unionByName(spark.createDataFrame([(f"n{k}", "w", 3, 0, "") for k in range(1, 400)], rule).select("*", hub))
+    rounds = []
+    cut, forest.cut_lineage = forest.cut_lineage, lambda df: rounds.append(1) or cut(df)
+    try:
+        assert rows(G.effective_grant(asked, media, every), "uid", "permission") == [("u", 7), ("v", 0)]
+    finally:
+        forest.cut_lineage = cut
+    assert len(rounds) < 50  # 400 granted nodes in a row
     tags = spark.createDataFrame([(f"t{k}", f"t{k - 1}" if k else None) for k in range(1200)] + [("a", "b"), ("b", "a")], "tag_id string, parent_tag_id string")
     left, _ = trees.tag_remove(tags, spark.createDataFrame([("o", "x", "t9")], "owner_id string, id string, tag_id string"), spark.createDataFrame([("t1",)], "tag_id string"))
     assert rows(left, "tag_id") == [("a",), ("b",), ("t0",)]
