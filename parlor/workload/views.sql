@@ -307,7 +307,7 @@ UNION ALL
 SELECT 'h' || CAST(o_orderkey % (SELECT count(*) FROM supplier) AS STRING), 'o' || CAST(o_orderkey AS STRING), 'u' || CAST((o_custkey + 1) % 10 AS STRING), 3,
        CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1000000000 + o_orderkey END, 'shared o' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 10 = 0
 UNION ALL
-SELECT h.id, 'root', 'u' || CAST(n_nationkey * 9 + h.serial AS STRING), 1, 0, 'root' FROM nation JOIN hub h ON h.serial < 3
+SELECT hub_id, 'root', uid, 1, 0, 'root' FROM hub_member WHERE permission = 3
 UNION ALL
 SELECT id, 'root', '*', 1, 0, 'guests' FROM hub WHERE area = 'public'
 ;
