@@ -45,8 +45,8 @@ class PairMerger:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         symbols = byte_symbols()
         self.of_byte = np.array([vocab[s] for s in symbols], np.int64)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.size = max(max(vocab.values()), *self.special.values()) + 1
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+        self.size = max([*vocab.values(), *self.special.values()]) + 1
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys)

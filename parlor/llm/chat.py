@@ -1,7 +1,7 @@
 r"""Conversations as training text, proved by a grammar round trip.
 
 Template: each turn is ``### role: body</turn>`` and a line end. The parser is deterministic: blocks end at ``</turn>`` and a line end; a block is the mark, a role up to the
-first ``: ``, and a body without marks, in which a backslash stands for the character after it. A turn is first rendered as it is and parsed again; if that
+first ``: ``, and a body without marks, in which a backslash stands for the character after it; role and body do not end in half an escape. A turn is first rendered as it is and parsed again; if that
 does not give back the turn, its control strings get a backslash inside (``<\/turn>``, ``#\## ``, ``\\``). Then the whole conversation is parsed; if the
 turns differ from the source, all are escaped. An escaped body holds no control string, so this is the last step. DataFrame functions only.
 
@@ -30,6 +30,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def half_escape(text: Column) -> Column:
+    """Whether the last character is a backslash that no backslash before it takes."""
+    return F.endswith(text, F.lit("\\")) & F.regexp_like(text, F.lit(r"(?<!\\)\\(\\\\)*$"))
+
+
 def render(role: Column, body: Column) -> Column:
     return F.concat(F.lit(MARK), role, F.lit(SEPARATOR), body, F.lit(_STOP))
 
@@ -45,8 +50,9 @@ def parse(formatted: Column) -> Column:
     def turn(block: Column) -> Column:
         at = F.locate(SEPARATOR, block)
         body = F.substring(block, at + len(SEPARATOR), F.length(block))
-        ok = F.startswith(block, F.lit(MARK)) & (at > 0) & ~F.contains(body, F.lit(MARK)) & ~F.contains(body, F.lit(END))
-        return F.when(ok, F.struct(unescape(F.substring(block, F.lit(len(MARK) + 1), at - len(MARK) - 1)).alias("role"), unescape(body).alias("text")))
+        role = F.substring(block, F.lit(len(MARK) + 1), at - len(MARK) - 1)
+        ok = F.startswith(block, F.lit(MARK)) & (at > 0) & ~F.contains(body, F.lit(MARK)) & ~F.contains(body, F.lit(END)) & ~half_escape(body) & ~half_escape(role)
+        return F.when(ok, F.struct(unescape(role).alias("role"), unescape(body).alias("text")))
 
     parts = blocks(formatted)
     turns = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)

@@ -3,10 +3,13 @@ r"""Legacy ARC archives to WARC.
 ARC files hold records of a header line and a body of the declared length; the version block at a file's start (``filedesc://``) says which header fields
 follow: five in version 1, ten in version 2. The converter reads records by their lengths, never by searching for marks, and gives each its WARC
 counterpart: identifier (from the record itself, so that a retry gives the same), timestamp, type and digests. Of captures with equal payloads of
-``REVISIT`` bytes or more, that with the largest page id is the response, the others revisit it and leave out the payload.
+``REVISIT`` bytes or more, that with the largest page id is the response, the others revisit it and leave out the payload. Records are handled as bytes in
+any encoding. A body that is no HTTP message (DNS answers, old protocols) is payload as a whole and becomes a ``resource`` of its content type. The head of a
+message ends at its first empty line, of either kind of line end; without one all of it is head. Header URLs may hold blanks and bytes that are no UTF-8: both are
+percent-encoded. Dates that lack parts get the first month, day or hour. An ``X-Page-Id`` that is missing or no 64-bit integer: null page id.
 
 Archives are written by Spark's text writer as gzip files, in the folder that executors share, and read whole by tasks that decompress them as a stream, so a
-task holds one file of about an input split. Null URL: ``-``; white space in URLs is percent-encoded. Null html: an empty payload. Null page id: below all
+task holds one file of about an input split. No pages: no records. Null URL: ``-``; white space in URLs is percent-encoded. Null html: an empty payload. Null page id: below all
 ids. Repeated rows of the id that is the response: the same record again. Extra columns are left out.
 """
 
@@ -16,6 +19,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,7 +42,11 @@ TITLES = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _BLANKS = {**{c: f"%{c:02X}" for c in range(33)}, 127: "%7F", **{ord(c): "".join(f"%{b:02X}" for b in c.encode()) for c in "\x85\xa0  "}}
 _SECTION = 1 << 24  # bytes after which a new version block begins
-_RECORD = "page_id long, url string, date string, http binary, payload binary, digest string, record_id string"
+#: Fields around the URL, which may hold blanks: address and date are known by their form, the rest is counted from the right.
+_HEADERS = {v: re.compile(rb"(.+?) ([0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*|-) (\d{4,17}) (.+)" + rb" (\S+)" * (len(f) - 4)) for v, f in FIELDS.items()}
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_MESSAGE = "application/http; msgtype=response"
+_RECORD = "page_id long, url string, date string, kind string, http binary, payload binary, digest string, record_id string"
 
 
 def http_head(page_id: int | None, payload: bytes) -> bytes:
@@ -71,26 +79,56 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", key: st
                 record = arc_record(version, (u or "-").translate(_BLANKS) or "-", date, http_head(i, payload) + payload)
                 size += len(record)
                 rows.append(record)
-            yield pa.record_batch([pa.array([r.decode() for r in rows], pa.string())], names=["value"])
+            yield pa.record_batch([pa.array(rows, pa.binary())], names=["value"])
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "value string")
-    rows.write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "value binary")
+    _as_text(rows).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+
+
+def _address(raw: bytes) -> str:
+    """A URL in UTF-8; white space is percent-encoded, and where the bytes are no UTF-8 all beyond ASCII."""
+    try:
+        return raw.decode().translate(_BLANKS)
+    except UnicodeDecodeError:
+        return "".join(chr(b) if b < 128 else f"%{b:02X}" for b in raw).translate(_BLANKS)
+
+
+def _fields(line: bytes, version: int) -> dict:
+    found = _HEADERS[version].fullmatch(line)
+    values = found.groups() if found else line.rsplit(b" ", len(FIELDS[version]) - 1)
+    if len(values) != len(FIELDS[version]):
+        raise ValueError(f"{len(values)} header fields, expected {len(FIELDS[version])}")
+    return {f: _address(v) if f == "url" else v.decode("latin-1") for f, v in zip(FIELDS[version], values)}
+
+
+def split_message(block: bytes) -> tuple[bytes, bytes]:
+    """Head of an HTTP message, empty line included, and payload; together they are the block."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    end = _HEAD_END.search(block)
+    return (block[: end.end()], block[end.end() :]) if end else (block, b"")
+
+
+def _page_id(head: bytes) -> int | None:
+    for line in head.split(b"\n"):
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"x-page-id" and re.fullmatch(rb"-?\d{1,19}", value.strip()):
+            return int(value) if -(1 << 63) <= int(value) < 1 << 63 else None
+    return None
 
 
 def parse_arc(stream: BinaryIO) -> Iterator[dict]:
-    """Records with the fields of their version and ``block``; the line end after a block is skipped."""
-    fields = FIELDS[1]
+    """Records with the fields of their version and ``block``; line ends between records are skipped."""
+    version = 1
     while line := stream.readline():
-        if line == b"\n":
+        line = line.rstrip(b"\r\n")
+        if not line:
             continue
-        values = line.decode().rstrip("\n").split(" ")
-        if values[0].startswith("filedesc://"):
-            body = stream.read(int(values[-1]))
-            fields = FIELDS[int(body.split(b" ", 1)[0])]
+        if line.startswith(b"filedesc://"):
+            body = stream.read(int(line.rsplit(b" ", 1)[1]))
+            version = int(body.split(b" ", 1)[0])
             continue
-        if len(values) != len(fields):
-            raise ValueError(f"{len(values)} header fields, expected {len(fields)}")
-        record = dict(zip(fields, values))
+        record = _fields(line, version)
         record["block"] = stream.read(int(record["length"]))
         if len(record["block"]) != int(record["length"]):
             raise ValueError("record shorter than declared")
@@ -115,27 +153,26 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list, most: int = 4
 
 
 def _files(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
 def read_arc(spark, path: str, narrow: bool = False) -> DataFrame:
-    """Captures: page_id, url, date, http (head), payload (zlib), digest (SHA-1, base 32), record_id. narrow: page_id, digest, size, record_id."""
+    """Captures: page_id, url, date, kind (content type of the block), http (head), payload (zlib), digest (SHA-1, base 32), record_id. narrow: page_id, digest, size, record_id."""
 
     def captures(batches):
         for batch in batches:
             for content in batch["content"]:
                 for r in parse_arc(_opened(content.as_py())):
-                    head, _, payload = r["block"].partition(b"\r\n\r\n")
-                    page = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]).get("X-Page-Id", "").strip()
+                    head, payload = split_message(r["block"])
+                    page = _page_id(head)
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    ident = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {r['url']} {r['date']} {digest}"))
-                    page_id = int(page) if page else None
-                    yield (page_id, digest, len(payload), ident) if narrow else (page_id, r["url"], r["date"], head + b"\r\n\r\n", zlib.compress(payload, 1), digest, ident)
+                    ident = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{'' if page is None else page} {r['url']} {r['date']} {digest}"))
+                    yield (page, digest, len(payload), ident) if narrow else (page, r["url"], r["date"], _MESSAGE if head else r["type"], head, zlib.compress(payload, 1), digest, ident)
 
     if narrow:
         names, kinds, shape = ["page_id", "digest", "size", "record_id"], [pa.int64(), pa.string(), pa.int64(), pa.string()], "page_id long, digest string, size long, record_id string"
     else:
-        names, kinds, shape = ["page_id", "url", "date", "http", "payload", "digest", "record_id"], [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.string()], _RECORD
+        names, kinds, shape = ["page_id", "url", "date", "kind", "http", "payload", "digest", "record_id"], [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.string()], _RECORD
     return _files(spark, path).mapInArrow(lambda batches: _batches(captures(batches), names, kinds), shape)
 
 
@@ -145,33 +182,38 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
 
 
 def _warc_date(date: str) -> str:
-    d = date.ljust(14, "0")
+    d = date[:14] + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def _as_text(blocks: DataFrame) -> DataFrame:
+    """Bytes as they are for Spark's text writer, which copies them."""
+    return blocks.select(F.col("value").cast("string"))
+
+
 def arc_to_warc(spark, source: str, target: str) -> None:
-    """Converts the ARC files of a folder. Which capture is the response is settled on digests alone; bodies move once, compressed."""
-    digests = stored(read_arc(spark, source, narrow=True), "captures").where(F.col("size") >= REVISIT)
-    rank = F.coalesce("page_id", F.lit(-(1 << 63)))
-    keepers = (digests.groupBy("digest").agg(F.max(F.struct(rank.alias("page"), "record_id")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    """Converts the ARC files of a folder. Which captures revisit which is settled on digests alone and joined by record, so bodies move once, compressed, and evenly."""
+    digests = stored(read_arc(spark, source, narrow=True), "captures").where(F.col("size") >= REVISIT).withColumn("page", F.coalesce("page_id", F.lit(-(1 << 63))))
+    keepers = (digests.groupBy("digest").agg(F.max(F.struct("page", "record_id")).alias("x"), F.count("*").alias("n")).where("n > 1")
                .select("digest", F.col("x.page").alias("keeper"), F.col("x.record_id").alias("refers_to")))
-    rows = read_arc(spark, source).join(keepers, "digest", "left")
+    marks = digests.join(keepers, "digest").where("page <> keeper").select("record_id", "refers_to").distinct()
+    rows = read_arc(spark, source).join(marks, "record_id", "left")
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                own = -(1 << 63) if r["page_id"] is None else r["page_id"]
-                again = r["keeper"] is not None and own != r["keeper"]
+                again = r["refers_to"] is not None
                 block = r["http"] if again else r["http"] + zlib.decompress(r["payload"])
                 fields = [("WARC-Record-ID", f"<urn:uuid:{r['record_id']}>"), ("WARC-Date", _warc_date(r["date"])), ("WARC-Target-URI", r["url"]), ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
-                          ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("Content-Type", "application/http; msgtype=response")]
+                          ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()), ("Content-Type", r["kind"])]
                 if again:
                     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{r['refers_to']}>")]
-                out.append(warc_record("revisit" if again else "response", fields, block)[:-1].decode())  # the writer adds the last line end
-            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+                kind = "revisit" if again else "response" if r["http"] else "resource"
+                out.append(warc_record(kind, fields, block)[:-1])  # the writer adds the last line end
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(target)
+    _as_text(rows.mapInArrow(run, "value binary")).write.option("compression", "gzip").option("lineSep", "\n").text(target)
 
 
 def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -183,8 +225,8 @@ def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("no WARC record where one should begin")
         headers = {}
         while (line := stream.readline()) not in (b"\r\n", b""):
-            k, _, v = line.decode().rstrip("\r\n").partition(": ")
-            headers[k] = v
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k] = v.strip()
         block = stream.read(int(headers["Content-Length"]))
         if len(block) != int(headers["Content-Length"]):
             raise ValueError("record shorter than declared")
@@ -192,7 +234,7 @@ def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """page_id, record_id, record_type, payload_bytes, payload_digest (hex), target (record id that a revisit refers to). Digests of blocks and payloads are checked."""
+    """page_id, record_id, record_type, payload_bytes (null: revisits), payload_digest (hex), target (record id that a revisit refers to). Digests of blocks and payloads are checked."""
     names = ["page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "target"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
@@ -200,13 +242,12 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 for h, block in parse_warc(_opened(content.as_py())):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    http = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+                    head, payload = split_message(block)
+                    again = h["WARC-Type"] == "revisit"
                     digest = base64.b32decode(h["WARC-Payload-Digest"][5:])
-                    if base64.b32decode(h["WARC-Block-Digest"][5:]) != hashlib.sha1(block).digest() or h["WARC-Type"] == "response" and digest != hashlib.sha1(payload).digest():
+                    if base64.b32decode(h["WARC-Block-Digest"][5:]) != hashlib.sha1(block).digest() or not again and digest != hashlib.sha1(payload).digest():
                         raise ValueError(f"digest of {h['WARC-Record-ID']} differs")
-                    page = http.get("X-Page-Id", "").strip()
-                    yield int(page) if page else None, h["WARC-Record-ID"], h["WARC-Type"], int(http["Content-Length"]), digest.hex(), h.get("WARC-Refers-To")
+                    yield _page_id(head), h["WARC-Record-ID"], h["WARC-Type"], None if again else len(payload), digest.hex(), h.get("WARC-Refers-To")
 
     return _files(spark, path).mapInArrow(lambda batches: _batches(records(batches), names, kinds), "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, target string")
 
@@ -219,7 +260,7 @@ def archive(pages: DataFrame) -> DataFrame:
     write_arc(pages, arc)
     arc_to_warc(spark, arc, warc)
     records = stored(read_warc(spark, warc), "records")
-    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to")).distinct()
+    responses = records.where("target IS NULL").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), "payload_bytes").distinct()
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     alone = records.where("target IS NULL").withColumn("refers_to", F.lit(None).cast("long")).select(*columns)
-    return alone.unionByName(records.where("target IS NOT NULL").join(responses, "target", "left").select(*columns))
+    return alone.unionByName(records.where("target IS NOT NULL").drop("payload_bytes").join(responses, "target", "left").select(*columns))

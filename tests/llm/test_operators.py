@@ -1,7 +1,9 @@
 """Edge cases of the text operators against plain versions: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import gzip
+import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -148,6 +150,16 @@ def test_chat_round_trip(spark):
         assert r["loss"] == "".join(t for _, role, t in own if role == "assistant")
         assert sum(m["skip"] + m["take"] + len("</turn>\n") for m in r["mask"]) == len(r["formatted"])
     assert len(out) == 5 and "plain\n\ntext: yes</turn>" in next(r["formatted"] for r in out if r["conv_id"] == 1)
+    assert chat.format_conversations(df.limit(0)).collect() == []
+
+
+def test_half_an_escape_is_out_of_the_grammar(spark):
+    texts = {1: ("user", "a\\"), 2: ("user", "a\\\\"), 3: ("user\\", "a"), 4: ("user", "a")}
+    df = spark.createDataFrame([(c, 0, *x) for c, x in texts.items()], "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("mine"))
+    got = {r["conv_id"]: r["formatted"] for r in chat.format_conversations(df).collect()}
+    assert got == {1: "### user: a\\\\</turn>\n", 2: "### user: a\\\\\\\\</turn>\n", 3: "### user\\\\: a</turn>\n", 4: "### user: a</turn>\n"}
+    cut = spark.createDataFrame([("### user: a\\</turn>\n",)], "t string")
+    assert cut.select(chat.parse(F.col("t"))).collect()[0][0] is None
 
 
 def test_url_rules(spark):
@@ -170,6 +182,45 @@ def test_archives(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_archives_with_extra_columns(spark):
+    rows = [(1, "u", "x" * 1000, "a", 5), (2, "u", "x" * 1000, "b", 6)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, payload_bytes long")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [(1, "revisit", 2, 1000), (2, "response", None, 1000)]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_legacy_records(spark, tmp_path, version):
+    """Bytes that are no UTF-8, blanks in URLs and types, heads without lengths, colons or carriage returns, bodies that are no HTTP."""
+    latin, same = "caf\u00e9".encode("latin-1") * 300, b"\xff\xfe\x00\n" * 400
+    rest = b"" if version == 1 else b"200 - - 0 f.arc "
+    blocks = [
+        (b"http://a.org/x y", b"19990102030405", b"text/html", b"HTTP/1.0 200 OK\r\nX-Caf\xe9: 1\r\nno colon\r\n\r\n" + latin),
+        (b"http://a.org/\xe9", b"1999", b"text/html", b"HTTP/1.0 200 OK\nX-Page-Id: 7\n\n" + same),
+        (b"http://a.org/3", b"19990102", b"text/html; charset=x", b"HTTP/1.0 200 OK\r\nX-Page-Id: 9\r\n\r\n" + same),
+        (b"dns:a.org", b"19990102030405", b"text/dns", b"19990102\na.org. 1 IN A 10.0.0.1\n"),
+        (b"http://a.org/cut", b"19990102030405", b"no-type", b"HTTP/1.0 404 Gone"),
+        (b"http://a.org/long", b"19990102030405", b"text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 99999999999999999999\r\n\r\n"),
+    ]
+    data = warc.arc_version_block(version, "19990102030405")
+    for url, date, kind, block in blocks:
+        data += b"\n" + b" ".join([url, b"10.0.0.1", date, kind, rest + str(len(block)).encode()]) + b"\n" + block
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "IA-1.arc").write_bytes(data + b"\n")
+    warc.arc_to_warc(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    records = [r for f in (tmp_path / "new").glob("part-*") for r in warc.parse_warc(gzip.open(f))]
+    by_url = {h["WARC-Target-URI"]: (h, block) for h, block in records}
+    assert len(records) == 6 and {u: h["WARC-Date"] for u, (h, _) in by_url.items()} == {
+        "http://a.org/x%20y": "1999-01-02T03:04:05Z", "http://a.org/%E9": "1999-01-01T00:00:00Z", "http://a.org/3": "1999-01-02T00:00:00Z", "dns:a.org": "1999-01-02T03:04:05Z",
+        "http://a.org/cut": "1999-01-02T03:04:05Z", "http://a.org/long": "1999-01-02T03:04:05Z"}
+    assert [by_url[u][1] for u in ("http://a.org/x%20y", "http://a.org/3", "dns:a.org", "http://a.org/cut", "http://a.org/long")] == [blocks[k][3] for k in (0, 2, 3, 4, 5)]
+    assert by_url["http://a.org/%E9"][0]["WARC-Type"] == "revisit" and by_url["http://a.org/%E9"][1] == blocks[1][3][: -len(same)]
+    assert by_url["dns:a.org"][0]["WARC-Type"] == "resource" and by_url["dns:a.org"][0]["Content-Type"] == "text/dns"
+    got = {(r["page_id"], r["record_type"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, str(tmp_path / "new")).collect()}
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert got == {(None, "response", 1200, sha(latin)), (7, "revisit", None, sha(same)), (9, "response", 1600, sha(same)),
+                   (None, "resource", len(blocks[3][3]), sha(blocks[3][3])), (None, "response", 0, sha(b""))}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_headers(version):
     date, bodies = "20010203040506", [b"", b"a\nhttp://x 0.0.0.0 1 t 5\n", b"\n\n"]
@@ -190,6 +241,15 @@ def test_bpe(docs, none):
     assert bpe.encode(none, path).collect() == []
 
 
+def test_tokenizer_without_added_tokens(spark, tmp_path):
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["added_tokens"] = []
+    path = tmp_path / "plain.json"
+    path.write_text(json.dumps(spec))
+    row = bpe.decode(bpe.encode(spark.createDataFrame([(1, "x<|endoftext|>y")], "doc_id long, text string"), str(path)), str(path)).collect()[0]
+    assert row["decoded"] == "x<|endoftext|>y" and row["ids"] == np.array(Tokenizer.from_str(json.dumps(spec)).encode("x<|endoftext|>y", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_fingerprints(docs, none):
     got = {r["doc_id"]: r for r in fingerprint.compare_with_edits(docs).collect()}
     texts = dict((i, t or "") for i, t in corpus())
