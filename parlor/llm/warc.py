@@ -41,6 +41,8 @@ TITLES = {
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _BLANKS = {**{c: f"%{c:02X}" for c in range(33)}, 127: "%7F", **{ord(c): "".join(f"%{b:02X}" for b in c.encode()) for c in "\x85\xa0  "}}
+#: Level 3 takes about half the time of the default and a few per cent more space.
+GZIP = {"compression": "gzip", "zlib.compress.level": "THREE", "lineSep": "\n"}
 _SECTION = 1 << 24  # bytes after which a new version block begins
 #: Fields around the URL, which may hold blanks: address and date are known by their form, the rest is counted from the right.
 _HEADERS = {v: re.compile(rb"(.+?) ([0-9A-Fa-f.:]*[.:][0-9A-Fa-f.:]*|-) (\d{4,17}) (.+)" + rb" (\S+)" * (len(f) - 4)) for v, f in FIELDS.items()}
@@ -82,7 +84,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", key: st
             yield pa.record_batch([pa.array(rows, pa.binary())], names=["value"])
 
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "value binary")
-    _as_text(rows).write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    _as_text(rows).write.options(**GZIP).text(path)
 
 
 def _address(raw: bytes) -> str:
@@ -213,7 +215,7 @@ def arc_to_warc(spark, source: str, target: str) -> None:
                 out.append(warc_record(kind, fields, block)[:-1])  # the writer adds the last line end
             yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
-    _as_text(rows.mapInArrow(run, "value binary")).write.option("compression", "gzip").option("lineSep", "\n").text(target)
+    _as_text(rows.mapInArrow(run, "value binary")).write.options(**GZIP).text(target)
 
 
 def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
