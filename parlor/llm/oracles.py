@@ -12,17 +12,23 @@ r AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_i
 s AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines FROM w LEFT JOIN r USING (doc_id)),
-t AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
+t AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
     coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats,
     coalesce(word_chars * 1000 // nullif(n_words, 0), 0) AS mean_length FROM s),
 x AS (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, mean_length FROM t WHERE NOT base_failed) ON symbols, dup_lines, repeats, mean_length INTO NAME rule VALUE v),
 b AS (SELECT lang, source, rule, v - v % (1::BIGINT << greatest(length(bin(v)) - 7, 0)) AS v FROM x),
-q1 AS (SELECT lang, source, rule, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY ALL),
-q2 AS (SELECT lang, rule, count(*) AS n, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY ALL),
-q3 AS (SELECT rule, quantile_disc(v, [0.25, 0.5, 0.75]) AS q FROM b GROUP BY ALL),
-q AS (SELECT q1.lang, q1.source, q1.rule, CASE WHEN q1.n >= 200 THEN q1.q WHEN q2.n >= 200 THEN q2.q ELSE q3.q END AS q,
-    CASE q1.rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 250 WHEN 'repeats' THEN 150 ELSE 2000 END AS m
-    FROM q1 JOIN q2 ON q1.rule = q2.rule AND q1.lang IS NOT DISTINCT FROM q2.lang JOIN q3 ON q3.rule = q1.rule),
+bg AS MATERIALIZED (SELECT lang, source, rule, v, count(*)::HUGEINT AS n FROM b GROUP BY ALL),
+bl AS (SELECT lang, rule, v, sum(n)::HUGEINT AS n, (sum(sum(n)) OVER (PARTITION BY lang, rule))::HUGEINT AS total FROM bg GROUP BY lang, rule, v),
+ba AS (SELECT rule, v, sum(n)::HUGEINT AS n, (sum(sum(n)) OVER (PARTITION BY rule))::HUGEINT AS total FROM bg GROUP BY rule, v),
+gr AS (SELECT g.lang, g.source, g.rule, l.total AS nl, a.total AS na FROM (SELECT DISTINCT lang, source, rule FROM bg) g
+    JOIN (SELECT DISTINCT lang, rule, total FROM bl) l ON l.rule = g.rule AND l.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT DISTINCT rule, total FROM ba) a ON a.rule = g.rule),
+u AS (SELECT gr.*, v, n * nl * na AS w FROM gr JOIN bg ON bg.rule = gr.rule AND bg.lang IS NOT DISTINCT FROM gr.lang AND bg.source IS NOT DISTINCT FROM gr.source
+    UNION ALL SELECT gr.*, v, 100 * n * na FROM gr JOIN bl ON bl.rule = gr.rule AND bl.lang IS NOT DISTINCT FROM gr.lang
+    UNION ALL SELECT gr.*, v, 100 * n * nl FROM gr JOIN ba ON ba.rule = gr.rule),
+c AS (SELECT lang, source, rule, v, (sum(sum(w)) OVER (PARTITION BY lang, source, rule ORDER BY v))::HUGEINT AS seen, (sum(sum(w)) OVER (PARTITION BY lang, source, rule))::HUGEINT AS total
+    FROM u GROUP BY lang, source, rule, v),
+q AS (SELECT lang, source, rule, [min(v) FILTER (4 * seen >= total), min(v) FILTER (4 * seen >= 2 * total), min(v) FILTER (4 * seen >= 3 * total)] AS q,
+    CASE rule WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 250 WHEN 'repeats' THEN 150 ELSE 2000 END AS m FROM c GROUP BY lang, source, rule),
 h AS (SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN hi END) AS hs, max(CASE WHEN rule = 'dup_lines' THEN hi END) AS hd, max(CASE WHEN rule = 'repeats' THEN hi END) AS hr,
     max(CASE WHEN rule = 'mean_length' THEN hi END) AS hm, max(CASE WHEN rule = 'mean_length' THEN lo END) AS lm
     FROM (SELECT lang, source, rule, least(q[1] - 3 * (q[3] - q[1]), q[2] - m) AS lo, greatest(q[3] + 3 * (q[3] - q[1]), q[2] + m) AS hi FROM q) GROUP BY ALL),

@@ -1,10 +1,11 @@
-"""Quality rules whose thresholds follow the data: quantile sketches per language and source, merged where a group is small.
+"""Quality rules whose thresholds follow the data: quantile sketches per language and source, each with a fixed share of coarser ones.
 
 The statistics are array expressions on each row. The sketch of a group is a count per bin of an integer statistic: bins are exact below 128
 and have 64 steps per power of two above (relative error under 1/64). Sketches merge by adding counts, in any order and with the same result
-after a retry. DataFrame functions only.
+after a retry. To the sketch of a group that of its language and that of all documents are added, each weighing ``PRIOR`` documents, so a small group leans
+on them and a large one on itself, without a step at any size. DataFrame functions only.
 
-Null text: no words, so the base rule rejects it. Null language or source: a group of its own. Repeated rows: each is judged. Extra columns
+Null text: no words, so the base rule rejects it. Null language or source: a group of its own. Repeated rows: each is judged. No documents: no rows. Extra columns
 are passed on; the columns added here replace columns of the same names.
 """
 
@@ -17,12 +18,13 @@ from .store import stored
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: A group under this many judged documents takes the sketch of its language, a language under it that of all documents.
-MIN_GROUP = 200
+#: Weight, in documents, of the sketch of the language and of that of all documents in the sketch of each group.
+PRIOR = 100
 #: Distance from the quartiles in interquartile ranges, and the least distance from the median (per thousand words or lines; thousandths of a character).
 #: Repeats: 99 of 100 documents that pass the base rule stay within 150 (sf0.01), half of what that rule leaves (300). Lines: 99 of 100 within 200; one double in four lines is 250.
 RANGES = 3
 RULES = {"symbols": (100, False), "dup_lines": (250, False), "repeats": (150, False), "mean_length": (2000, True)}
+_EXACT = "decimal(38, 0)"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -107,30 +109,40 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Per group and rule: its size and quartiles. A group has at most some thousand bins, whatever its size, so they are folded in one row."""
-    folded = sketch.groupBy(*keys, "rule").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("b"), F.sum("n").alias("n"))
+def _folded(sketch: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Bins of each group in one row; there are at most some thousand, whatever the size of the group."""
+    return sketch.groupBy(*keys, "rule").agg(F.collect_list(F.struct("bin", "n")).alias(f"{name}_bins"), F.sum("n").cast(_EXACT).alias(f"{name}_n"))
 
-    def quantile(quarter: int) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
 
-        def step(a: Column, x: Column) -> Column:
-            seen = a["seen"] + x["n"]
-            return F.struct(seen.alias("seen"), F.coalesce(a["at"], F.when(4 * seen >= quarter * F.col("n"), x["bin"])).alias("at"))
+def _quantile(bins: Column, total: Column, quarter: int) -> Column:
+    """Lowest bin up to which a number of quarters of the weight lies."""
+    zero = F.struct(F.lit(0).cast(_EXACT).alias("seen"), F.lit(None).cast("long").alias("at"))
 
-        return F.aggregate("b", zero, step)["at"]
+    def step(a: Column, x: Column) -> Column:
+        seen = a["seen"] + x["w"]
+        return F.struct(seen.alias("seen"), F.coalesce(a["at"], F.when(4 * seen >= quarter * total, x["bin"])).alias("at"))
 
-    return folded.select(*keys, "rule", "n", quantile(1).alias("q1"), quantile(2).alias("q2"), quantile(3).alias("q3"))
+    return F.aggregate(bins, zero, step)["at"]
+
+
+def quartiles(fine: DataFrame) -> DataFrame:
+    """Per language, source and rule: quartiles of its sketch with those of the language and of all documents. Weights are whole numbers: shares are brought to one denominator."""
+    lang = _folded(merged(fine, "lang"), "l", "lang").withColumnsRenamed({"lang": "l_lang", "rule": "l_rule"})
+    whole = _folded(merged(fine), "a").withColumnRenamed("rule", "a_rule")
+    rows = _folded(fine, "g", "lang", "source").join(lang, F.expr("lang <=> l_lang AND rule = l_rule")).join(whole, F.expr("rule = a_rule"))
+
+    def weighed(bins: str, factor: Column) -> Column:
+        return F.transform(bins, lambda x: F.struct(x["bin"].alias("bin"), (x["n"] * factor).alias("w")))
+
+    g_n, l_n, a_n = (F.col(f"{x}_n") for x in "gla")
+    shares = F.concat(weighed("g_bins", l_n * a_n), weighed("l_bins", PRIOR * a_n), weighed("a_bins", PRIOR * l_n))
+    rows = rows.withColumn("bins", F.sort_array(shares)).withColumn("total", (g_n + 2 * PRIOR) * l_n * a_n)
+    return rows.select("lang", "source", "rule", *[_quantile(F.col("bins"), F.col("total"), k).alias(f"q{k}") for k in (1, 2, 3)])
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
     """Per language and source: lowest and highest score of each rule that is kept. Stored once, so that all later reads agree."""
-    fine = stored(sketches(scored), "sketch")
-    group, lang = quartiles(fine, "lang", "source"), quartiles(merged(fine, "lang"), "lang").withColumnRenamed("lang", "l")
-    whole = quartiles(merged(fine))
-    wide = (group.alias("g").join(lang.alias("l"), F.expr("g.lang <=> l.l AND g.rule = l.rule")).join(whole.alias("a"), F.expr("a.rule = g.rule")))
-    pick = lambda q: F.when(F.col("g.n") >= MIN_GROUP, F.col(f"g.{q}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
-    picked = wide.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.rule").alias("rule"), *[pick(q).alias(q) for q in ("q1", "q2", "q3")])
+    picked = quartiles(stored(sketches(scored), "sketch"))
     spread = RANGES * (F.col("q3") - F.col("q1"))
     margin = F.create_map(*[F.lit(x) for r, (m, _) in RULES.items() for x in (r, m)])[F.col("rule")]
     limits = picked.select("lang", "source", "rule", F.least(F.col("q1") - spread, F.col("q2") - margin).alias("low"), F.greatest(F.col("q3") + spread, F.col("q2") + margin).alias("high"))

@@ -6,6 +6,8 @@ import io
 import json
 import random
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -300,6 +302,31 @@ def test_each_adaptive_rule_rejects_its_outlier_and_keeps_the_group(spark):
     assert found == {"symbols": (20, 0, 0), "dup_lines": (0, 4, 0), "repeats": (0, 0, 28), "mean_length": (0, 0, 0)}
 
 
+def test_quartiles_lean_on_language_and_all_by_fixed_weights(spark):
+    """Against fractions: each group's counts and 100 documents spread as the language and 100 spread as all are."""
+    r = random.Random(8)
+    groups = [("en", "big", 5000), ("en", "some", 200), ("en", "some less", 199), ("en", None, 1), (None, "big", 40), ("de", "only", 90)]
+    rows = [(lang, source, rule, v, n) for lang, source, size in groups for rule in ("symbols", "repeats") for v, n in Counter(int(r.gauss(size % 97, 9)) ** 2 for _ in range(size)).items()]
+    got = {(x["lang"], x["source"], x["rule"]): (x["q1"], x["q2"], x["q3"]) for x in quality.quartiles(spark.createDataFrame(rows, "lang string, source string, rule string, bin long, n long")).collect()}
+    want = {}
+    for lang, source, _ in groups:
+        for rule in ("symbols", "repeats"):
+            weight = Counter()
+            for own, prior in (((lang, source), None), ((lang,), 100), ((), 100)):
+                part = [(v, n) for *key, u, v, n in rows if u == rule and tuple(key[: len(own)]) == own]
+                for v, n in part:
+                    weight[v] += Fraction(n) if prior is None else Fraction(prior * n, sum(k for _, k in part))
+            want[lang, source, rule] = tuple(min(v for v in weight if 4 * sum(w for u, w in weight.items() if u <= v) >= q * sum(weight.values())) for q in (1, 2, 3))
+    assert got == want
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(40)), "en", "s", 0)] * 3 + [(2, "short", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("mine")).withColumn("n_words", F.lit(-1)).withColumn("rule", F.lit("r")).withColumn("high_repeats", F.lit(0))
+    assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in quality.judge(df).collect()) == [(1, 40, True)] * 3 + [(2, 1, False)]
+    assert [(r["doc_id"], r["kept"], r["high_repeats"]) for r in quality.filter_documents(df).collect()] == [(1, "mine", 0)] * 3
+
+
 def test_digest_column(docs):
     row = docs.where("doc_id = 4").select(F.crc32(F.encode("text", "UTF-8")).alias("c")).collect()[0]
     assert row["c"] == zlib.crc32(corpus()[4][1].encode())
