@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlor.plans.skew import paginate, top_in_groups
+from parlor.session import written
 
 DOC = ["hub_id", "nid"]
 
@@ -20,9 +21,14 @@ def words_of(text: Column) -> Column:
 
 
 def index_build(documents: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
-    """``(hub_id, nid, word, occurrence)``; documents already in ``indexed`` are left out."""
+    """``(hub_id, nid, word, occurrence)``; documents already in ``indexed`` are left out.
+
+    Texts are dealt by document before they are split into words, as a text is several times smaller than its postings; what follows per document
+    needs no further shuffle.
+    """
     todo = documents if indexed is None else documents.join(indexed.select(*DOC).distinct(), DOC, "left_anti")
-    return todo.select(*DOC, F.explode(words_of(F.col("text"))).alias("word")).groupBy(*DOC, "word").agg(F.count(F.lit(1)).alias("occurrence"))
+    return todo.select(*DOC, "text").repartition(*DOC).select(*DOC, F.explode(words_of(F.col("text"))).alias("word")).groupBy(*DOC, "word").agg(
+        F.count(F.lit(1)).alias("occurrence"))
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -31,34 +37,32 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(parts).alias("q")).distinct()
 
 
-def match_words(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(q, word, score)`` for all words of the index that a query word scores above the threshold.
-
-    Each vocabulary word is expanded into its prefixes, so the prefix test is an equality of prefix and query
-    word.  Prefixes too short to pass the threshold are left out unless they are the whole word.
-    """
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.left(F.col("word"), n))
-    long_enough = F.filter(prefixes, lambda p: (F.octet_length(p) * PER_BYTE > KEEP_ABOVE) | (p == F.col("word")))
-    score = F.octet_length("q") * PER_BYTE + F.when(F.col("q") == F.col("word"), F.lit(EXACT)).otherwise(F.lit(0))
-    return (
-        vocabulary.select("word").distinct().select("word", F.explode(long_enough).alias("q"))
-        .join(asked.select("q").distinct(), "q").withColumn("score", score).where(F.col("score") > KEEP_ABOVE)
-    )
+def _prefixes(word: Column) -> Column:
+    """Prefixes of a word long enough to pass the threshold, and the whole word."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.left(word, n))
+    return F.filter(prefixes, lambda p: (F.octet_length(p) * PER_BYTE > KEEP_ABOVE) | (p == word))
 
 
 def word_search(queries: DataFrame, index: DataFrame, page: int | None = 1, rows: int = 45) -> DataFrame:
     """Best word per query and document, best documents first; the highest score wins, then the smallest word.
 
-    The matched words of a query are numbered from best to worst, so that a document's best word is a plain
-    minimum of whole numbers, which the map side adds up by hash without sorting the postings.
+    A document first keeps its best word per query word, of which the queries that hold it then choose: all within the document, so a posting
+    meets no query that another word of the document with the same prefix has met. For a page, each query word sends on the first ``page * rows``
+    documents of a score only: whoever of them comes before a document in the order scores at least as much, so the cut leaves the page exact.
     """
-    asked = query_words(queries)
-    wanted = asked.join(match_words(index, asked), "q").groupBy("query_id", "word").agg(F.max("score").alias("score"))
-    placed = wanted.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("word").asc())))
+    asked = query_words(queries).where("query_id IS NOT NULL")
+    other = F.col("q") != F.col("word")
+    score = F.octet_length("q") * PER_BYTE + F.when(F.col("other"), F.lit(0)).otherwise(F.lit(EXACT))
+    per_word = (
+        index.select(*DOC, "word", F.explode(_prefixes(F.col("word"))).alias("q")).join(asked.select("q").distinct(), "q")
+        .groupBy(*DOC, "q").agg(F.min(F.struct(other.alias("other"), "word")).alias("m"))
+        .select(*DOC, "q", "m.other", "m.word").withColumn("score", score).where(F.col("score") > KEEP_ABOVE).drop("other")
+    )
+    if page is not None:
+        per_word = top_in_groups(per_word, ["q", "score"], [F.col(c).asc() for c in DOC], max(int(page), 1) * rows, "_first").drop("_first")
     best = (
-        placed.select("query_id", "word", "place").join(index.select(*DOC, "word"), "word")
-        .groupBy("query_id", *DOC).agg(F.min("place").alias("place"))
-        .join(placed, ["query_id", "place"]).select("query_id", *DOC, "score", "word")
+        per_word.join(asked, "q").groupBy(*DOC, "query_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "word")).alias("m"))
+        .select("query_id", *DOC, (-F.col("m.less")).alias("score"), "m.word")
     )
     if page is None:
         return best
@@ -73,7 +77,7 @@ def term_weights(index: DataFrame) -> DataFrame:
 
 
 def _scores(terms: DataFrame, index: DataFrame, weights: DataFrame) -> DataFrame:
-    weighed = terms.join(weights, "word")
+    weighed = written(terms.join(weights, "word"))  # of the size of the queries, whatever the index
     return weighed.join(index, "word").groupBy("query_id", *DOC).agg(F.sum(F.col("occurrence") * F.col("weight")).alias("score"))
 
 
@@ -83,14 +87,15 @@ def text_search(
     """Ranked search with query expansion, plus hits on the hashtag of ``tags(hub_id, nid, hashtag)``.
 
     A first pass ranks by term weight; the strongest new terms of its best documents join the query for the
-    second pass.  Hashtag hits rank before content hits.
+    second pass.  Hashtag hits rank before content hits.  The index is read five times, so it is written first.
     """
+    index = written(index)
     weights = term_weights(index)
     asked = queries.select("query_id", F.explode(words_of(F.col("string"))).alias("word")).distinct()
     first = _scores(asked, index, weights)
     best = top_in_groups(first, ["query_id"], [F.col("score").desc(), *[F.col(c).asc() for c in DOC]], top_documents)
     terms = (
-        best.select("query_id", *DOC).join(index, DOC).join(weights, "word").join(asked, ["query_id", "word"], "left_anti")
+        written(best.select("query_id", *DOC)).join(index, DOC).join(weights, "word").join(asked, ["query_id", "word"], "left_anti")
         .groupBy("query_id", "word").agg(F.sum(F.col("occurrence") * F.col("weight")).alias("gain"))
     )
     added = top_in_groups(terms, ["query_id"], [F.col("gain").desc(), F.col("word").asc()], top_terms).select("query_id", "word")
