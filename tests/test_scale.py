@@ -5,6 +5,7 @@ import re
 import pytest
 
 from parlor.operators import search as S
+from parlor.workload import fixtures
 
 
 def _plan(df) -> str:
@@ -34,3 +35,13 @@ def test_pages_of_the_search_are_those_of_all_hits(searched):
     for page in (1, 2, 3):
         got = sorted(S.word_search(asked, index, page, 2).collect(), key=order)
         assert got == [r for q in (1, 2) for r in [h for h in hits if h["query_id"] == q][2 * page - 2:2 * page]]
+
+
+def test_a_view_without_joins_is_not_stored(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.sql("SELECT 1L event_id, 5L user_id, 'view' event_type, '{}' props UNION ALL SELECT 2L, 5L, 'error', NULL").write.parquet(f"{folder}/events.parquet")
+    t = fixtures.Tables(spark, folder)
+    assert sorted((r["sys_id"], r["owner_id"], r["intime"]) for r in t.login_log.collect()) == [(1, "u5", 1700000001), (2, "u5", None)]
+    assert t.cookie.count() == 2
+    stored = {name for _, place, name in fixtures._STORED if place == folder}
+    assert stored == {"cookie"}
