@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from parlor.operators import grants as G
 from parlor.operators import search as S
 from parlor.workload import fixtures
 
@@ -45,3 +46,15 @@ def test_a_view_without_joins_is_not_stored(spark, tmp_path):
     assert t.cookie.count() == 2
     stored = {name for _, place, name in fixtures._STORED if place == folder}
     assert stored == {"cookie"}
+
+
+def test_grant_walks_keep_compressed_tables(spark, monkeypatch):
+    def refuse(self, *args, **kwargs):
+        raise AssertionError("rows of a checkpoint are not compressed")
+
+    media = spark.createDataFrame([("h", "root", "0"), ("h", "o", "root"), ("h", "f", "o")], "hub_id string, id string, parent_id string")
+    rules = spark.createDataFrame([("h", "root", "u1", 1, 7, "x")], "hub_id string, resource_id string, entity_id string, permission int, expiry_time bigint, message string")
+    asked = spark.createDataFrame([("h", "u1", "f"), ("h", "u2", "f")], "hub_id string, uid string, node_id string")
+    monkeypatch.setattr(type(media), "checkpoint", refuse)
+    got = {(r["uid"], r["expiry_time"], r["permission"]) for r in G.effective_grant(asked, media, rules).collect()}
+    assert got == {("u1", 7, 1), ("u2", 0, 0)}
