@@ -1,6 +1,6 @@
 """Stateful behaviours as Structured Streaming jobs, each equal to its batch twin once all input is in.
 
-State is Spark's own: built-in aggregation, or a processor with map and value state, on RocksDB. A batch reads and writes the state of its own keys only.
+State is Spark's own: built-in aggregation, whose batch reads and writes the state of its own keys only, or a processor that holds keys by shard, on RocksDB.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from parlor.operators import contact_changes as JC
 from parlor.operators import room_changes as JR
 from parlor.operators.message_changes import both_inboxes
-from parlor.streaming.outputs import Output, State, state_on_disk
+from parlor.streaming.outputs import Output, state_on_disk
+from parlor.streaming.shards import SHARDS, ShardState, arrow_schema, by_shard, number, pack, unpack, whole
 
 BOX = ["owner_id", "entity_id"]
 
@@ -75,63 +76,80 @@ EVENT = "kind string, owner_id string, entity_id string, uid string, author_id s
 
 
 class _Unread(StatefulProcessor):
-    """State of an inbox: its owner's marker, the count above it, and the positions above it by blocks of WIDTH.
+    """State of a shard: its inboxes with their owner's marker and the count above it, and the positions above the markers by blocks of WIDTH.
 
-    A message adds its position to one block; a raised marker drops the blocks below it and cuts the one it lies in, so a position is added
-    and taken away once, and a batch touches the blocks of its own messages.
+    A message adds its position to one block; raised markers drop the positions below them from the blocks they have passed, so a position is added
+    and taken away once, and a batch writes the blocks of its own messages and markers.
     """
 
-    WIDTH = 4096
+    WIDTH = 1 << 20
+    ROWS = "owner_id string, entity_id string, marker bigint, room_count bigint"
+    NONE = np.iinfo(np.int64).min
 
     def init(self, handle) -> None:
-        self.box = handle.getValueState("box", "marker bigint, room_count bigint")
-        self.blocks = handle.getMapState("blocks", "block bigint", "positions binary")
+        self.schema, self.places = arrow_schema(self.ROWS), arrow_schema("box bigint, sys_id bigint")
+        self.state = handle.getValueState("shard", "rows binary")
+        self.blocks = handle.getMapState("blocks", "block bigint", "rows binary")
+
+    def _block(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a block and the numbers of their inboxes."""
+        found = self.blocks.containsKey((block,))
+        rows = unpack(self.blocks.getValue((block,))[0] if found else None, self.places)
+        return rows["sys_id"].to_numpy(np.int64), rows["box"].to_numpy(np.int64)
+
+    def _write(self, block: int, positions: np.ndarray, box: np.ndarray) -> None:
+        if len(positions):
+            self.blocks.updateValue((block,), (pack(pd.DataFrame({"box": box, "sys_id": positions}), self.places),))
+        else:
+            self.blocks.removeKey((block,))
 
     def handleInputRows(self, key, rows, timerValues):
-        owner, entity = key
-        marker, count = self.box.get() if self.box.exists() else (None, 0)
-        raised, new = marker, [np.zeros(0, np.int64)]
-        for frame in rows:
-            acks = frame.loc[(frame["kind"] == "ack") & (frame["uid"] == owner), "sys_id"]
-            if len(acks):
-                raised = int(acks.max()) if raised is None else max(raised, int(acks.max()))
-            new.append(frame.loc[(frame["kind"] == "message") & (frame["author_id"] == entity), "sys_id"].to_numpy(np.int64))
-        if raised != marker:
-            for (block,), (data,) in list(self.blocks.iterator()):
-                held = np.frombuffer(data, np.int64)
-                left = held[held > raised]
-                count -= len(held) - len(left)
-                if not len(left):
-                    self.blocks.removeKey((block,))
-                elif len(left) < len(held):
-                    self.blocks.updateValue((block,), (left.tobytes(),))
-        added = np.unique(np.concatenate(new))
-        added = added if raised is None else added[added > raised]
-        for block in np.unique(added // self.WIDTH).tolist():
-            held = np.frombuffer(self.blocks.getValue((block,))[0], np.int64) if self.blocks.containsKey((block,)) else new[0]
-            both = np.union1d(held, added[added // self.WIDTH == block])
-            count += len(both) - len(held)
-            self.blocks.updateValue((block,), (both.tobytes(),))
-        self.box.update((raised, count))
+        held = unpack(self.state.get()[0] if self.state.exists() else None, self.schema)
+        came = whole([held.assign(kind="held", sys_id=held["marker"]), *(frame.assign(room_count=0) for frame in rows)], [*BOX, "kind", "sys_id", "room_count"], ["sys_id", "room_count"])
+        came["box"] = number(came, BOX)  # inboxes held keep their numbers
+        boxes = came.drop_duplicates("box")
+        marker = np.full(len(boxes), self.NONE)
+        marker[:len(held)] = held["marker"].fillna(self.NONE).to_numpy(np.int64)
+        count = boxes["room_count"].to_numpy(np.int64).copy()
+        acks, new = came[came["kind"] == "ack"], came[came["kind"] == "message"]
+        raised = marker.copy()
+        np.maximum.at(raised, acks["box"].to_numpy(), acks["sys_id"].to_numpy(np.int64))
+        if (raised > marker).any():
+            last = int(raised[raised > marker].max()) // self.WIDTH
+            for block in [b for (b,) in self.blocks.keys() if b <= last]:
+                positions, box = self._block(block)
+                left = positions > raised[box]
+                if not left.all():
+                    count -= np.bincount(box[~left], minlength=len(count))
+                    self._write(block, positions[left], box[left])
+        new = new[new["sys_id"].to_numpy(np.int64) > raised[new["box"].to_numpy()]]
+        for block, part in new.groupby(new["sys_id"].to_numpy(np.int64) // self.WIDTH):
+            positions, box = self._block(block)
+            both = pd.DataFrame({"box": np.concatenate([box, part["box"].to_numpy()]), "sys_id": np.concatenate([positions, part["sys_id"].to_numpy(np.int64)])}).drop_duplicates()
+            count += np.bincount(both["box"], minlength=len(count)) - np.bincount(box, minlength=len(count))
+            self._write(block, both["sys_id"].to_numpy(), both["box"].to_numpy())
+        now = boxes[BOX].assign(marker=pd.array(raised, "Int64"), room_count=count)
+        self.state.update((pack(now.assign(marker=now["marker"].mask(raised == self.NONE)), self.schema),))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-class UnreadCounts(State):
+class UnreadCounts(ShardState):
     def read(self) -> DataFrame:
         """Inboxes whose owner has a marker."""
         return super().read().where("marker IS NOT NULL").select(*BOX, "room_count")
 
 
-def stream_unread(events: DataFrame, root: str) -> tuple[StreamingQuery, UnreadCounts]:
+def stream_unread(events: DataFrame, root: str, shards: int = SHARDS) -> tuple[StreamingQuery, UnreadCounts]:
     """Unread count per inbox from ``events(kind message|ack, …)``.
 
     An acknowledgement may come before its message: the marker is raised, and the message counts as read on arrival. Repeated rows change nothing.
     """
-    state = events.groupBy(*BOX).transformWithStateInPandas(_Unread(), "owner_id string", "Update", "None")
-    return start(state, root), UnreadCounts(events.sparkSession, f"{root}/checkpoint", "box")
+    counted = events.where("kind = 'ack' AND uid = owner_id OR kind = 'message' AND author_id = entity_id").select(*BOX, "kind", "sys_id")
+    state = by_shard(counted, BOX, shards).transformWithStateInPandas(_Unread(), "shard int", "Update", "None")
+    return start(state, root), UnreadCounts(events.sparkSession, f"{root}/checkpoint", "shard", _Unread.ROWS)
 
 
 ITEM_KEYS = ["owner_id", "entity_id", "hub_id", "category", "area"]
@@ -155,30 +173,38 @@ def online_users(sockets: DataFrame, silent_since: int) -> DataFrame:
     return sockets.groupBy("uid").agg(F.max(F.when(live, 1).otherwise(0)).alias("online"))
 
 
-class _Relation(StatefulProcessor):
-    """State of a pair, moved by the transition of each event."""
+class _Relations(StatefulProcessor):
+    """State of a shard: its pairs, each moved by the transition of each of its events."""
+
+    ROWS = "low string, high string, state bigint"
 
     def __init__(self, table: list[list[int]]):
         self.table = table
 
     def init(self, handle) -> None:
-        self.pair = handle.getValueState("pair", "state int")
+        self.schema = arrow_schema(self.ROWS)
+        self.state = handle.getValueState("shard", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        now = self.pair.get()[0] if self.pair.exists() else 0
-        for kind in pd.concat(list(rows)).sort_values("seq")["kind"].tolist():
-            now = self.table[kind][now]
-        self.pair.update((now,))
+        held = unpack(self.state.get()[0] if self.state.exists() else None, self.schema)
+        new = pd.concat([held, *rows], ignore_index=True)
+        new["pair"] = number(new, ["low", "high"])  # pairs held keep their numbers
+        pairs = new.drop_duplicates("pair")
+        now = pairs["state"].fillna(0).astype(np.int64).tolist()
+        events = new.iloc[len(held):].sort_values("seq", kind="stable")
+        for pair, kind in zip(events["pair"].tolist(), events["kind"].tolist()):
+            now[pair] = self.table[int(kind)][now[pair]]
+        self.state.update((pack(pairs[["low", "high"]].assign(state=now), self.schema),))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def stream_relations(events: DataFrame, root: str) -> tuple[StreamingQuery, State]:
+def stream_relations(events: DataFrame, root: str, shards: int = SHARDS) -> tuple[StreamingQuery, ShardState]:
     """Invitation states: the events of a batch move their pair in order of ``seq``."""
-    state = JC.pair_events(events).groupBy("low", "high").transformWithStateInPandas(_Relation(JC.TABLE), "low string", "Update", "None")
-    return start(state, root), State(events.sparkSession, f"{root}/checkpoint", "pair")
+    state = by_shard(JC.pair_events(events), ["low", "high"], shards).transformWithStateInPandas(_Relations(JC.TABLE), "shard int", "Update", "None")
+    return start(state, root), ShardState(events.sparkSession, f"{root}/checkpoint", "shard", _Relations.ROWS)
 
 
 def stream_subscriptions(events: DataFrame, root: str) -> tuple[StreamingQuery, Output]:

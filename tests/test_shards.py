@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
+from parlor.operators import contact_changes as JC
+from parlor.operators import messaging as M
+from parlor.streaming import streams as S
 from parlor.streaming import timers as T
 from parlor.streaming.outputs import State
 from test_streams import feed
@@ -43,3 +46,34 @@ def test_sessions_of_a_shard(spark, tmp_path):
     want = paired.where("came IS NOT NULL OR intime + 60 <= 1399").select("owner_id", "cookie_id", "sys_id", "intime", F.when(F.col("came") < F.col("intime") + 60, F.col("outtime")).alias("outtime"))
     assert rows(closed.read().fillna("?", ["owner_id"])) == rows(want)
     assert State(spark, str(tmp_path / "out" / "checkpoint"), "shard").read().count() == 3
+
+
+def test_inboxes_of_a_shard(spark, tmp_path):
+    """Markers that cross blocks, before and after their messages; an inbox without a marker; repeated rows."""
+    rnd = random.Random(7)
+    data = []
+    for n in range(400):
+        owner, entity = rnd.sample([f"u{i}" for i in range(9)], 2)
+        place = n * S._Unread.WIDTH // 90
+        data.append(("message", owner, entity, owner, rnd.choice([owner, entity]), f"m{n}", place, n // 100))
+        if n % 5 == 0:
+            data.append(("ack", owner, entity, rnd.choice([owner, owner, entity]), owner, f"m{n}", place, rnd.randrange(4)))
+        if n % 9 == 0:
+            data.append((*data[-1][:7], 3))
+    clean, stream = feed(spark, tmp_path / "in", data, S.EVENT + ", part int")
+    query, counts = S.stream_unread(stream, str(tmp_path / "out"), shards=3)
+    query.awaitTermination()
+    marks = clean.where("kind = 'ack'").groupBy("owner_id", "entity_id", "uid").agg(F.max("sys_id").alias("ref_sys_id"))
+    want = M.unread_direct(clean.where("kind = 'message'").dropDuplicates(["owner_id", "message_id"]), marks)
+    assert rows(counts.read().where("room_count > 0"), "owner_id", "entity_id", "room_count") == rows(want)
+    assert State(spark, str(tmp_path / "out" / "checkpoint"), "shard").read().count() == 3
+
+
+def test_pairs_of_a_shard(spark, tmp_path):
+    rnd = random.Random(8)
+    data = [(n, *rnd.sample([f"u{i}" for i in range(9)], 2), rnd.choice(JC.EVENTS), n // 100) for n in range(400)]
+    clean, stream = feed(spark, tmp_path / "in", data, "seq bigint, actor string, target string, event string, part int")
+    query, pairs = S.stream_relations(stream, str(tmp_path / "out"), shards=3)
+    query.awaitTermination()
+    assert rows(JC.state_rows(pairs.read()), "owner_id", "entity", "status") == rows(JC.invitation_fold(clean), "owner_id", "entity", "status")
+    assert State(spark, str(tmp_path / "out" / "checkpoint"), "shard").read().count() == 3
