@@ -65,3 +65,35 @@ def test_cards_are_exported_once(spark, monkeypatch):
     got = files.QUERIES["import_vcard_phones"](Held)
     assert len(kept) == 1 and "BEGIN:VCARD" not in _plan(got)
     assert rows(got, "owner_id", "phone", "is_default", "category") == [("u2", "12", 1, "prof")]
+
+
+def _shuffled_rows(df) -> int:
+    """Rows written by all shuffles of a run of ``df``."""
+    df.collect()
+
+    def walk(node) -> int:
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStage"):
+            return walk(node.plan())
+        if kind == "ReusedExchange":
+            return 0
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "Exchange" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _talk(spark):
+    """300 messages and 3,000 markers in 10 rooms."""
+    talk = [(f"h{k % 10}", k, f"u{k % 7}", 100 + k) for k in range(300)]
+    read = [(f"h{r}", f"u{m}", (m * 31 + r) % 320 - 5) for r in range(10) for m in range(300)]
+    return talk, read, spark.createDataFrame(talk, "hub_id string, sys_id bigint, author_id string, ctime bigint"), spark.createDataFrame(read, "hub_id string, uid string, ref_sys_id bigint")
+
+
+def test_markers_are_shuffled_once_to_be_counted(shuffled):
+    talk, read, channel, marks = _talk(shuffled)
+    got = M.unread_team(channel, marks)
+    assert _shuffled_rows(got) < 1.5 * (len(talk) + len(read))
+    assert rows(got) == sorted(((h, u, sum(1 for t in talk if t[0] == h and t[1] > at and t[2] != u)) for h, u, at in read), key=repr)

@@ -77,3 +77,23 @@ def test_list_in_parts(spark):
         parts = [got[g, p] for p in range(1, -(-len(whole) // 9) + 1)]
         assert [v for p in parts for v in p] == whole
         assert max(map(len, parts)) <= 9
+
+
+def test_count_upto_with_facts_of_the_group(spark):
+    """Small groups in one pass, the hot one in blocks; NULL members own nothing, NULL positions of events lie before all, of probes have no answer."""
+    rnd = random.Random(5)
+    data = [("hot" if k % 2 else f"g{rnd.randrange(15)}", rnd.randrange(-50, 400), rnd.choice(["a", "b", None]), k) for k in range(300)]
+    data = list({(g, s): (g, s, m, t) for g, s, m, t in data}.values()) + [("g1", None, "a", 999), (None, 3, "a", 7)]
+    asked = list({(g, rnd.choice(["a", "b", "c", None])): (g, rnd.randrange(-60, 420)) for g in ["hot", "none", *(f"g{i}" for i in range(15))] for _ in range(5)}.items())
+    asked = [(g, m, s) for (g, m), (_, s) in asked] + [("hot", f"x{i}", 100) for i in range(40)] + [(None, "a", 5), ("g2", "a", None)]
+    for width in (13, 1 << 20):
+        got = rows(count_upto(spark.createDataFrame(data, "g string, s bigint, m string, t bigint"), spark.createDataFrame(asked, "g string, m string, s bigint"),
+                              ["g"], "s", "n", width, total="all", newest="t", own=("m", "own")), "g", "m", "s", "n", "all", "t", "own")
+        want = []
+        for g, m, s in asked:
+            if g is None or s is None:
+                continue
+            group = [d for d in data if d[0] == g]
+            last = max((d for d in group if d[1] is not None), key=lambda d: d[1], default=(None, None, None, None))
+            want.append((g, m, s, sum(d[1] is None or d[1] <= s for d in group), len(group), last[3], sum(m is not None and d[2] == m and d[1] is not None and d[1] > s for d in group)))
+        assert got == sorted(want, key=repr)
