@@ -97,3 +97,11 @@ def test_markers_are_shuffled_once_to_be_counted(shuffled):
     got = M.unread_team(channel, marks)
     assert _shuffled_rows(got) < 1.5 * (len(talk) + len(read))
     assert rows(got) == sorted(((h, u, sum(1 for t in talk if t[0] == h and t[1] > at and t[2] != u)) for h, u, at in read), key=repr)
+
+
+def test_pending_messages_take_one_shuffle_of_the_markers(shuffled):
+    talk, read, channel, marks = _talk(shuffled)
+    got = N.team_pending(channel, marks)
+    assert _shuffled_rows(got) < 1.5 * (len(talk) + len(read))
+    want = [(h, u, n, 100 + max(t[1] for t in talk if t[0] == h)) for h, u, at in read if (n := sum(1 for t in talk if t[0] == h and t[1] > at))]
+    assert rows(got) == sorted(want, key=repr)
