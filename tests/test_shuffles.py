@@ -5,6 +5,7 @@ import re
 import pytest
 
 from conftest import rows
+from parlor.operators import message_changes as JM
 from parlor.operators import messaging as M
 from parlor.operators import notify as N
 from parlor.workload import files
@@ -105,3 +106,13 @@ def test_pending_messages_take_one_shuffle_of_the_markers(shuffled):
     assert _shuffled_rows(got) < 1.5 * (len(talk) + len(read))
     want = [(h, u, n, 100 + max(t[1] for t in talk if t[0] == h)) for h, u, at in read if (n := sum(1 for t in talk if t[0] == h and t[1] > at))]
     assert rows(got) == sorted(want, key=repr)
+
+
+def test_cleared_rooms_are_made_distinct_where_they_lie(shuffled):
+    desk = [(f"u{m}", f"h{r}", "share") for r in range(10) for m in range(300)]
+    media = shuffled.createDataFrame([(f"h{r}", 10 + r) for r in range(10)] + [("h3", 99)], "hub_id string, sys_id bigint")
+    rooms = shuffled.createDataFrame(desk, "owner_id string, hub_id string, area string")
+    users = shuffled.createDataFrame([(f"u{m}",) for m in range(300)], "uid string")
+    got = JM.clear_file_markers(users, rooms, media)
+    assert _shuffled_rows(got) < 2.5 * len(desk)
+    assert rows(got) == sorted(((f"h{r}", f"u{m}", 99 if r == 3 else 10 + r) for r in range(10) for m in range(300)), key=repr)
