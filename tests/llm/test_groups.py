@@ -196,6 +196,38 @@ def test_recall_among_many_relatives(spark):
     assert sum(i != c for i, c in got.items()) <= 100  # relatives are no links
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 100])
+def test_large_groups_of_near_copies_stay_whole(spark, monkeypatch, block):
+    """1,500 copies of copies, most of them linked with the one they come from and few others, all in shared buckets."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(3)
+    shingles = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    texts, origin = [[f"w{k}" for k in range(200)]], {}
+    sets = [shingles(texts[0])]
+    while len(texts) < 1500:
+        m, p = len(texts), r.randrange(len(texts) if r.random() < 0.5 else min(20, len(texts)))
+        v = list(texts[p])
+        for j in r.sample(range(200), r.choice([2, 5, 5, 5])):
+            v[j] = f"x{m}_{j}"
+        s = shingles(v)
+        if 100 * len(s & sets[p]) >= 80 * len(s | sets[p]):
+            origin[m] = p
+            texts.append(v)
+            sets.append(s)
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")  # noqa: F811
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, width=4).collect()}
+    assert len(origin) == 1499 and sum(got[m] != got[p] for m, p in origin.items()) == 0
+
+
+def test_cells_of_several_batches():
+    keys = [(1, 0, 0)] * 3 + [(1, 0, 1)] * 4 + [(2, 0, 0)]
+    whole = pa.RecordBatch.from_pylist([{"bucket": b, "i": i, "j": j, "node": k} for k, (b, i, j) in enumerate(keys)])
+    for cuts in ([0, 8], [0, 1, 2, 5, 8], [0, 0, 3, 7, 8], list(range(9))):
+        got = [c["node"].to_pylist() for c in minhash.whole_cells(iter([whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]))]
+        assert got == [[0, 1, 2], [3, 4, 5, 6], [7]]
+    assert list(minhash.whole_cells(iter([]))) == []
+
+
 def test_lots_of_one_hub(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LOT", 3)
     base = [f"w{k}" for k in range(300)]
