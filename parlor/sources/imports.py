@@ -198,6 +198,8 @@ def load_members(validated: DataFrame, organisation: str) -> tuple[DataFrame, Da
     Every new member gets all members of the organisation as contacts.  The assignment is kept as one row per new
     member; ``assigned_contacts`` opens it for the users asked for.
     """
+    if "domain_id" not in validated.columns:  # a batch of no domain
+        validated = validated.withColumn("domain_id", F.lit(None).cast("int"))
     errors = validated.agg(F.coalesce(F.sum("error"), F.lit(0))).scalar()
     users = validated.where(errors == 0).select(
         X.short_id("domain_id", "ident", "email").alias("id"), "email", "firstname", "lastname", F.col("ident").alias("username"), "mobile", "areacode", "domain_id")
